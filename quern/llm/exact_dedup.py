@@ -35,23 +35,23 @@ def _cell(digest: Column, j: int, cells: int) -> Column:
     return F.pmod(F.xxhash64(digest, F.lit(j)), F.lit(cells).cast("long"))
 
 
-def _cells_for(rows: int) -> int:
+def cells_for(rows: int) -> int:
     cells = 1 << 12
     while cells < min(MAX_CELLS, rows * CELLS_PER_ROW):
         cells *= 2
     return cells
 
 
-def repeated_cells(digests: DataFrame, digest: str, cells: int) -> DataFrame:
-    """Words of the filter: (word, bits), a bit set where two rows or more fell on its cell."""
+def filter_words(digests: DataFrame, digest: str, cells: int, least: int = 2) -> DataFrame:
+    """Words of the filter: (word, bits), a bit set where ``least`` rows or more fell on its cell."""
     hit = digests.select(F.explode(F.array(*[_cell(F.col(digest), j, cells) for j in range(HASHES)])).alias("cell"))
-    twice = hit.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    twice = hit.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     return twice.groupBy(F.shiftright("cell", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits")
     )
 
 
-def maybe_repeated(df: DataFrame, digest: str, words: DataFrame, cells: int, flag: str) -> DataFrame:
+def maybe_in(df: DataFrame, digest: str, words: DataFrame, cells: int, flag: str) -> DataFrame:
     """``df`` with a flag: false only for rows whose digest occurs once."""
     kept, hits = list(df.columns), []
     for j in range(HASHES):
@@ -76,9 +76,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
         "digests",
     )
-    cells = _cells_for(digests.count())
-    words = written(repeated_cells(digests, "text_sha256", cells), "filter")
-    tested = maybe_repeated(digests, "text_sha256", words, cells, "again")
+    cells = cells_for(digests.count())
+    words = written(filter_words(digests, "text_sha256", cells), "filter")
+    tested = maybe_in(digests, "text_sha256", words, cells, "again")
     alone = tested.filter("not again").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
@@ -104,9 +104,9 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.sha2(normalised(docs[text_col]), 256).alias("digest")
     )
     digests = written(rows.select("digest"), "digests")
-    cells = _cells_for(digests.count())
-    words = written(repeated_cells(digests, "digest", cells), "filter")
-    tested = maybe_repeated(rows, "digest", words, cells, "again")
+    cells = cells_for(digests.count())
+    words = written(filter_words(digests, "digest", cells), "filter")
+    tested = maybe_in(rows, "digest", words, cells, "again")
     row = F.col("row")
     order = F.struct(F.length(F.coalesce(row[text_col], F.lit(""))).alias("chars"), (-row[id_col]).alias("neg_id"))
     best = tested.filter("again").groupBy("digest").agg(F.max_by("row", order).alias("row"))

@@ -2,16 +2,72 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat_format, exact_dedup, mixing
+from quern.llm import byte_bpe, chat_format, exact_dedup, jaccard_join, language_id, mixing, neighbours, quality, token_files, toxicity
+from quern.llm.shared import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def public_tokenizer(name: str) -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
+
+
+def _remainder(n: int, id_col: str = "doc_id"):
+    """crc32 of the id as text, modulo n; null for a null id."""
+    return F.crc32(F.col(id_col).cast("string")) % n
+
+
+def _held_out(n: int, remainder: int):
+    return F.coalesce(_remainder(n) == remainder, F.lit(False)).alias("held_out")
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(byte_bpe.round_trip(_table(spark, sf_dir, "documents"), *public_tokenizer("byte_bpe_50k.tiktoken")))
+
+
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, books, entries = neighbours.build(neighbours.usable(_table(spark, sf_dir, "embeddings")))
+    return neighbours.search(index, books, entries, index.filter("vec_id % 20 = 0"), k=20)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    filters = language_id.learn(docs.filter(_remainder(4) != 2))
+    return language_id.identify(docs, filters).select("doc_id", _held_out(4, 2), "lang_pred", "score")
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(_table(spark, sf_dir, "documents"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), path, *public_tokenizer("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.filter(_remainder(5) != 0))
+    return toxicity.score(docs, model).select("doc_id", _held_out(5, 0), "score", "predicted")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.learn(docs, labels.filter(_remainder(5) != 0))
+    found = quality.judge(docs, model)
+    return found.select("doc_id", _held_out(5, 0), "doc_score", "host_posterior", "path_posterior", "score", "kept")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -37,7 +93,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup, "op9_mixing": op9_mixing, "op10_chat_format": op10_chat_format}
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_neighbours": op2_neighbours,
+    "op3_language_id": op3_language_id,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op5_token_files": op5_token_files,
+    "op6_toxicity": op6_toxicity,
+    "op7_quality": op7_quality,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_mixing": op9_mixing,
+    "op10_chat_format": op10_chat_format,
+}
 
 SQL = {
     "op8_exact_dedup": r"""

@@ -92,7 +92,8 @@ class Codebooks:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
 
 
 def build(vectors: DataFrame) -> tuple[DataFrame, Codebooks, dict[int, int]]:
@@ -100,7 +101,7 @@ def build(vectors: DataFrame) -> tuple[DataFrame, Codebooks, dict[int, int]]:
     vectors = written(vectors, "vectors")
     n = vectors.count()
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["vector"]
-    x = np.array(sample.tolist(), float).reshape(len(sample), -1)
+    x = np.array(sample.tolist(), float).reshape(len(sample), len(sample.iloc[0]) if len(sample) else 0)
     k = int(min(256, max(4, 2 ** round(np.log2(max(1, n / 50)) / 2))))
     half = x.shape[1] // 2
     books = Codebooks(_kmeans(x[:, :half], k), _kmeans(x[:, half:], k)) if len(x) else Codebooks(np.zeros((1, 1)), np.zeros((1, 1)))

@@ -171,10 +171,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     )
 
     blocks = spark.read.parquet(path)
-    per_shard = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row per written partition
+    per_shard = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     per_shard = per_shard.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     found = blocks.select("shard", "shard_start", "doc_ids", "lengths", "codes").mapInArrow(
         run, "shard int, doc_id long, place long, n_tokens long, ids binary"
     )
-    return found.join(per_shard, "shard").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids")
+    # One row for each partition that was written, as many as spark.sql.shuffle.partitions: small enough to broadcast.
+    return found.join(F.broadcast(per_shard), "shard").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids")

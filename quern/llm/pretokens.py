@@ -1,9 +1,10 @@
 """Splitting text for byte-level BPE, with a memo of pieces that a worker has seen.
 
-A *unit* is a run of white space and the run of other characters behind it.
-No pre-token of the byte-level pattern crosses the start of such a run, so
-units can be encoded one by one and their ids put side by side.  Most units of
-a corpus repeat; each Python worker keeps the ids of those it has met.
+A *unit* is a run of white space and the run of other characters behind it,
+less the punctuation at its end if that follows a letter or digit.  No pre-token
+of the byte-level pattern crosses the edges of units, so they can be encoded one
+by one and their ids put side by side.  Most units of a corpus repeat; each
+Python worker keeps the ids of those it has met.
 """
 
 from __future__ import annotations
@@ -17,9 +18,15 @@ import regex
 
 #: Unicode white space, as the pattern's \s has it.
 _SPACE = "\t-\r \x85\xa0  -     　"
-_UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_ENDS = ".,|;:!?"
+_PLAIN = "A-Za-z0-9À-ÖØ-öø-ÿ"
+_UNIT = re.compile(
+    rf"(?<=[{_PLAIN}])[{_ENDS}]++(?=[{_SPACE}]|\Z)|[{_SPACE}]*+[^{_SPACE}{_ENDS}]*+(?:(?<=[{_PLAIN}])(?=[{_ENDS}]+(?:[{_SPACE}]|\Z))|[^{_SPACE}]*+)"
+)
+#: A word with a blank before it or none: one pre-token.
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 #: Entries of the memo, about 200 bytes each; it is emptied when full.
-MEMO = 1_000_000
+MEMO = 1_200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -41,28 +48,36 @@ class UnitEncoder:
         self.to_chars = dict(enumerate(byte_alphabet()))
         self.memo: dict[str, bytes] = {}
 
-    def _learn(self, units: set[str]) -> None:
-        if len(self.memo) + len(units) > MEMO:
+    def _learn(self, units: set[str]) -> bool:
+        """Adds the units to the memo; true if it was emptied first."""
+        emptied = len(self.memo) + len(units) > MEMO
+        if emptied:
             self.memo.clear()
         order, pieces, ends = list(units), [], []
+        word, split, chars = _WORD.match, self.split, self.to_chars
         for unit in order:
-            pieces += [p.encode().decode("latin-1").translate(self.to_chars) for p in self.split(unit)]
+            if word(unit):
+                if unit.isascii():
+                    pieces.append("Ġ" + unit[1:] if unit[0] == " " else unit)
+                else:
+                    pieces.append(unit.encode().decode("latin-1").translate(chars))
+            else:
+                pieces += [p.encode().decode("latin-1").translate(chars) for p in split(unit)]
             ends.append(len(pieces))
         ids, at = self.encode_pieces(pieces), 0
         for unit, end in zip(order, ends, strict=True):
-            own = [i for piece in ids[at:end] for i in piece]
+            own = ids[at] if end - at == 1 else [i for piece in ids[at:end] for i in piece]
             self.memo[unit] = struct.pack(f"<{len(own)}I", *own)
             at = end
+        return emptied
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text is empty."""
         found = [_UNIT.findall(t) if t else [] for t in texts]
-        new = {u for units in found for u in units}
-        new.difference_update(self.memo.keys() & new)
-        if new:
-            self._learn(new)
-            if any(u not in self.memo for units in found for u in units):  # the memo was emptied in between
-                self._learn({u for units in found for u in units if u not in self.memo})
+        every = set().union(*found)
+        new = every.difference(self.memo)
+        if new and self._learn(new) and len(new) < len(every):
+            self._learn(every.difference(self.memo))
         get = self.memo.__getitem__
         return [np.frombuffer(b"".join(map(get, units)), "<u4") for units in found]
 

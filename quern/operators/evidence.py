@@ -151,7 +151,8 @@ def verified_claims(answers: DataFrame, evidence: DataFrame, least: int = 2, sha
     """
     claims = answers.select("key", F.posexplode(sentences(F.col("answer"))).alias("claim_no", "claim"))
     claims = claims.withColumn("words", _words(F.col("claim"))).withColumn("numbers", F.array_distinct(F.regexp_extract_all("claim", F.lit(r"\d+"), F.lit(0))))
-    facts = evidence.select("key", F.posexplode(sentences(F.col("evidence"))).alias("fact_no", "fact"))
+    facts = evidence.distinct().select("key", "evidence", F.posexplode(sentences(F.col("evidence"))).alias("pos", "fact"))
+    facts = facts.select("key", F.xxhash64("evidence", "pos").alias("fact_no"), "fact")
     numbers = facts.select("key", "fact_no", F.regexp_extract_all("fact", F.lit(r"\d+"), F.lit(0)).alias("fact_numbers"))
     words = facts.select("key", "fact_no", F.explode(_words(F.col("fact"))).alias("word"))
     met = claims.select("key", "claim_no", F.explode("words").alias("word")).join(words, ["key", "word"]).groupBy("key", "claim_no", "fact_no").agg(F.count(F.lit(1)).alias("shared"))

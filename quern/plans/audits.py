@@ -454,6 +454,38 @@ SQL = {
         select chunk_id, cause, cause = now as accepted from a""",
     "stale_points": f"""with {CHUNKS_SQL} select chunk_id, case when chunk_id % 19 = 0 then 'POINT_MISSING' else 'STALE_POINT' end as state from chunks
         where (chunk_id % 23 <> 0) <> (chunk_id % 19 <> 0)""",
+    "asset_links": r"""
+        with u as (select distinct page_id, unnest(regexp_extract_all(html, '(?i)(?:href|src)="([^"]+)"', 1)) as url from pages),
+        n as (select *, regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1) as file_name from u)
+        select page_id, url, file_name, lower(regexp_extract(file_name, '\.([A-Za-z0-9]{1,8})$', 1)) as extension from n""",
+    "canonical_keys": r"""
+        with d as (select doc_id, lang, text, lower(regexp_replace(string_split(text, chr(10))[1], '[^\p{Hangul}A-Za-z0-9]', '', 'g')) as k,
+                   '2024' || lpad(cast(doc_id % 14 as varchar), 2, '0') || lpad(cast(doc_id % 33 as varchar), 2, '0') as d8 from documents)
+        select doc_id, lang || ':' || case when k = '' then 'unknown' else k end as canonical_key, case when length(text) > 260 then substring(text, 1, 260) || '...' else text end as snippet,
+               case when try_strptime(d8, '%Y%m%d') is not null then '2024. ' || (doc_id % 14) || '. ' || (doc_id % 33) || '.' else 'd. ' || d8 end as shown_date from d""",
+    "short_chunk_classes": r"""
+        with t as (select page_id, t from (select page_id, unnest(string_split_regex(regexp_replace(html, '<', chr(1) || '<', 'g'), chr(1))) as t from pages) where length(t) < 200 and t <> ''),
+        v as (select page_id, t, SEEN as seen from t), w as (select *, regexp_replace(seen, '\s+', '', 'g') as tight from v),
+        c as (select page_id, case when contains(lower(t), '<img') and length(tight) <= 20 then 'image_only'
+                when regexp_matches(tight, '^<[^>]{1,45}>?$') or regexp_matches(tight, '^\d{4}\.\d{1,2}\.\d{1,2}(,\d{4}\.\d{1,2}\.\d{1,2})*>?$') then 'revision_marker'
+                when length(tight) <= 30 and regexp_matches(tight, '^[\d.,:;()\[\]\-_/\\]+$') then 'layout_number' else 'ambiguous_short' end as category from w)
+        select category, count(*) as chunks, count(distinct page_id) as pages, case category when 'image_only' then 'suppress_or_downrank' when 'revision_marker' then 'suppress_except_revision_questions'
+               when 'layout_number' then 'suppress' else 'manual_review' end as action from c group by 1""".replace("SEEN", _seen("t")),
+    "quality_gate": f"""
+        with {CHUNKS_SQL}, s as (select document_id, chunk_id, sort_order, title, {_seen('chunk_text')} as seen, {_compact('chunk_text')} as body, {_compact('title')} as head from chunks),
+        q as (select *, regexp_replace(seen, '\\s+', '', 'g') as tight, lower(seen) as low, length(regexp_replace(seen, '[^\\p{{L}}\\p{{N}}]', '', 'g')) as meaning,
+                     regexp_matches(seen, '(?is)(?:다[.!?]?|함[.!?]?|됨[.!?]?)$') as sentence from s),
+        e as (select *, case when trim(seen) = '' then 'EMPTY_TEXT' when regexp_matches(low, 'contents|목차') and regexp_matches(seen, '\\.{{5,}}') then 'TABLE_OF_CONTENTS'
+                when (meaning < 8 and length(tight) < 80) or regexp_matches(tight, '(?i)^(p\\.?\\d+)?[\\^()\\[\\].,;:ㆍ·\\-0-9]+$') then 'MEANINGLESS_FRAGMENT' end as early from q),
+        d as (select *, case when early is null and body <> '' then row_number() over (partition by document_id, body, early is null order by sort_order, chunk_id) else 1 end as copy,
+                regexp_matches(low, '{"|".join(audit.NAVIGATION)}|[>→]') and regexp_matches(low, '{"|".join(audit.ACTIONS)}') and not sentence as navigation,
+                length(regexp_replace(regexp_replace(low, '{"|".join(sorted(audit.NAVIGATION + audit.ACTIONS, key=len, reverse=True))}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]', '', 'g')) as rest from e),
+        r as (select document_id, chunk_id, early, case when early is not null then early when copy > 1 then 'DUPLICATE_TEXT'
+                when length(seen) <= 160 and navigation and rest >= 4 then 'NAVIGATION_WITH_SUBJECT' when length(seen) <= 160 and navigation then 'NAVIGATION_NOTICE'
+                when length(seen) <= 160 and not sentence and head <> '' and (contains(head, body) or contains(body, head)) then 'TITLE_OR_HEADING_ONLY'
+                when length(seen) < 120 and sentence then 'SHORT_COMPLETE_STATEMENT' when length(seen) < 120 then 'SHORT_AMBIGUOUS' else 'STRUCTURAL_CHECKS_PASSED' end as reason from d)
+        select document_id, chunk_id, reason, case when early is not null or reason = 'DUPLICATE_TEXT' then 'REJECT' when reason in ('NAVIGATION_NOTICE', 'TITLE_OR_HEADING_ONLY') then 'CONTEXT_ONLY'
+               when reason in ('NAVIGATION_WITH_SUBJECT', 'SHORT_AMBIGUOUS') then 'REVIEW' else 'PASS' end as status from r""",
     "keyset_page": f"with {CHUNKS_SQL} select chunk_id, target, title from chunks where chunk_id > 1000000 order by chunk_id limit 50",
     "contained_short_duplicates": f"""with {CHUNKS_SQL}, b as (select document_id, chunk_id, length(chunk_text) as n, {_compact('chunk_text')} as body from chunks)
         select s.document_id, s.chunk_id, min(l.chunk_id) as holder_id from b s join b l on s.document_id = l.document_id and l.n > s.n and contains(l.body, s.body)

@@ -174,7 +174,14 @@ def _policy(i: int, most: int, per_doc: int, limit: int) -> str:
     return f"(select {i} as policy, count(distinct query_id) as questions, count(*) filter (rank > 8) as hits from ({cte}) where state = 'APPLIED')"
 
 
-_CLAIM_WORDS = "list_distinct(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: length(t) >= 2))"
+_SENTENCES = r"list_filter(string_split_regex(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n+'), lambda s: trim(s) <> '')"
+_WORDS = r"list_distinct(list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: length(t) >= 2))"
+_CLAIMS = f"""with a as (select conv_id as key, {_SENTENCES.format("text")} as l from conversations where role = 'assistant' and turn = 1),
+c as (select key, claim, claim_no, {_WORDS.format("claim")} as words, list_distinct(regexp_extract_all(claim, '\\d+')) as numbers from (select key, unnest(l) as claim, generate_subscripts(l, 1) - 1 as claim_no from a)),
+e as (select distinct conv_id as key, text from conversations where role = 'assistant' and turn > 1),
+f as (select key, row_number() over () as fact_no, {_WORDS.format("fact")} as words, regexp_extract_all(fact, '\\d+') as numbers from (select key, unnest({_SENTENCES.format("text")}) as fact from e)),
+m as (select c.key, claim_no, max(len(list_intersect(c.words, f.words))) as shared from c join f on c.key = f.key and len(list_intersect(c.words, f.words)) > 0 and len(list_filter(c.numbers, lambda n: not list_contains(f.numbers, n))) = 0 group by 1, 2),
+v as (select key, claim_no, claim, coalesce(shared, 0) as shared, case when len(words) = 0 then 0.0 else cast(round(coalesce(shared, 0) / len(words), 6) as double) end as coverage from c left join m using (key, claim_no))"""
 
 SQL = {
     "keyword_scores": f"{_CANDIDATES} select query_id, chunk_id, {_KEYWORD} as keyword_score from cand",
@@ -198,6 +205,8 @@ SQL = {
           when regexp_matches(chunk_text, '(?i)\\b(click|menu|download|see also|license)\\b') or length(trim(chunk_text)) < 20 then 'CONTEXT_ONLY' else 'EVIDENCE' end as flag, count(*) as chunks from chunks group by 1""",
     "audit_groups": f"""{_CANDIDATES} select query_id, chunk_id, concat_ws(',', case when len(list_filter(terms[1:2], lambda t: contains(body, t))) > 0 then '0' end,
           case when len(list_filter(terms[3:4], lambda t: contains(body, t))) > 0 then '1' end, case when len(list_filter(terms[5:6], lambda t: contains(body, t))) > 0 then '2' end) as matched_groups from cand""",
+    "claim_verification": f"{_CLAIMS} select key, claim_no, shared, coverage, shared >= 2 and coverage >= 0.34 as supported from v",
+    "answer_repair": f"{_CLAIMS} select key, coalesce(string_agg(case when shared >= 2 and coverage >= 0.34 then claim end, ' ' order by claim_no), '') as answer from v group by key",
     "stage_recall": f"{_TRACES} select * from recall",
     "stage_survival": f"{_TRACES} select * from surv",
     "stage_summary": f"""{_TRACES} select stage, count(*) as cases, count(*) filter (direct_hit) as direct_hits, round(count(*) filter (direct_hit) / count(*), 6) as direct_rate,

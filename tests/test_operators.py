@@ -5,9 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions import cleaning, terms
+from quern.functions import claims, cleaning, terms
 from quern.operators import audit, chunking, evaluation, evidence, lexical, ranking
-from quern.sources import payloads, sinks
+from quern.sources import folders, payloads, sinks
 from quern.streaming import refresh
 
 
@@ -217,3 +217,22 @@ def test_entry_without_llm(spark):
     import __spark_entry__ as e
 
     assert "bm25_topk" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_numbers_have_one_form():
+    assert claims.numeric_tokens("1억 2,000만 원을 2024년 3월 5일까지, 30일 이내 12.50% 7") == ["money:120000000", "date:2024-03-05", "days:30", "percent:12.5", "number:7"]
+    assert claims.numeric_tokens("2024. 3. 5. 5,000원") == ["date:2024-03-05", "money:5000"] and claims.numeric_tokens(None) == []
+
+
+def test_anchors_and_artifacts(spark):
+    df = spark.createDataFrame([("도로교통법 제 5 조의 2 와 별표 3", "a\x07\r\nHWPHYPERLINK_URL\nhttps\\://x.kr 0http://y")], "q string, t string")
+    r = df.select(claims.provisions(F.col("q")).alias("p"), claims.named_titles(F.col("q")).alias("n"), claims.without_artifacts(F.col("t")).alias("t")).first()
+    assert r["p"] == ["제5조의2", "별표3"] and r["n"] == ["도로교통법"] and "HWP" not in r["t"] and "https://x.kr http://y" in r["t"]
+
+
+def test_folder_source(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for name, text in (("a.txt", "one"), ("a.pdf", "%PDF"), ("b.md", "two"), ("c.exe", "no")):
+        (tmp_path / "d" / name).write_text(text)
+    got = {r["base"]: (r["kind"], r["text"]) for r in folders.folder_documents(spark, str(tmp_path)).collect()}
+    assert got == {"a": ("pdf", None), "b": ("md", "two")}

@@ -113,12 +113,12 @@ def frequent_cells(docs: DataFrame) -> np.ndarray:
     return marks
 
 
-def _bitmap(h: np.ndarray) -> np.ndarray:
-    """Bits of the set in the least power of two of bits above twice its size, 64 at least."""
-    width = max(64, 1 << int(2 * len(h) - 1).bit_length()) if len(h) else 64
+def _bitmap(h: np.ndarray) -> bytes:
+    """Bits of the set in the least power of two of bits from eight times its size, 64 at least."""
+    width = max(64, 1 << int(8 * len(h) - 1).bit_length()) if len(h) else 64
     out = np.zeros(width, bool)
     out[((h >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)] = True
-    return np.packbits(out, bitorder="little").view(np.uint64)
+    return np.packbits(out, bitorder="little").tobytes()
 
 
 def _sketches(docs: DataFrame, marks: np.ndarray) -> DataFrame:
@@ -138,7 +138,7 @@ def _sketches(docs: DataFrame, marks: np.ndarray) -> DataFrame:
                     n.append(len(h))
                     key.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                     prefix.append(order[: len(h) - -(-len(h) * NUM // DEN) + 1].view(np.int64))
-                    bits.append(_bitmap(h).tobytes())
+                    bits.append(_bitmap(h))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), rows.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
                     ["row_no", "doc_id", "n", "key", "prefix", "bits"],
@@ -148,45 +148,45 @@ def _sketches(docs: DataFrame, marks: np.ndarray) -> DataFrame:
     return written(rows.mapInArrow(run, "row_no long, doc_id long, n long, key binary, prefix array<long>, bits binary"), "sketches")
 
 
-def _folded(bits: np.ndarray, words: int) -> np.ndarray:
-    """Bitmaps (rows, more words) at a smaller width: halves are ORed until it fits."""
-    while bits.shape[-1] > words:
-        half = bits.shape[-1] // 2
-        bits = bits[..., :half] | bits[..., half:]
+def _folded(bits: int, width: int, to: int) -> int:
+    """A bitmap at a smaller width: halves are ORed until it fits."""
+    while width > to:
+        width //= 2
+        bits = (bits >> width) | (bits & ((1 << width) - 1))
     return bits
 
 
 class _Node:
     """ORed bitmap, range of sizes and the most by which a member's size exceeds its bits; children or members."""
 
-    def __init__(self, bits: np.ndarray, low: int, high: int, slack: int, components: set, children: list, members: tuple | None):
-        self.bits, self.low, self.high, self.slack = bits, low, high, slack
+    def __init__(self, bits: int, width: int, low: int, high: int, slack: int, components: set, children: list, members: list | None):
+        self.bits, self.width, self.low, self.high, self.slack = bits, width, low, high, slack
         self.components, self.children, self.members = components, children, members
 
 
-def _fold_to_least(rows: list[np.ndarray]) -> np.ndarray:
-    words = min(len(r) for r in rows)
-    return np.stack([_folded(r, words) for r in rows])
+def _or_of(parts: list[tuple[int, int]]) -> tuple[int, int]:
+    width, bits = min(w for _, w in parts), 0
+    for b, w in parts:
+        bits |= _folded(b, w, width)
+    return bits, width
 
 
-def signature_tree(nodes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, bits: list[np.ndarray]) -> _Node:
-    """A tree over classes, in order of size and then of the lowest words of their bitmaps."""
-    order = sorted(range(len(nodes)), key=lambda i: (int(np.log(sizes[i]) * 8), bits[i][0], sizes[i]))
+def signature_tree(rows: list[tuple[int, int, int, bytes]]) -> _Node:
+    """A tree over classes (node, component, size, bitmap), in order of size and then of the lowest bits."""
+    rows = sorted(rows, key=lambda r: (r[2].bit_length(), r[3][:8], r[2], r[0]))
     level = []
-    for a in range(0, len(order), LEAF):
-        own = order[a : a + LEAF]
-        b = _fold_to_least([bits[i] for i in own])
-        s = sizes[own]
-        set_bits = np.bitwise_count(b).sum(1, dtype=np.int64)
-        level.append(_Node(np.bitwise_or.reduce(b), int(s.min()), int(s.max()), int((s - set_bits).max()), set(comps[own].tolist()), [], (nodes[own], s, comps[own], b)))
+    for a in range(0, len(rows), LEAF):
+        own = [(node, comp, n, int.from_bytes(b, "little"), 8 * len(b)) for node, comp, n, b in rows[a : a + LEAF]]
+        bits, width = _or_of([(r[3], r[4]) for r in own])
+        slack = max(n - _folded(b, w, width).bit_count() for _, _, n, b, w in own)
+        level.append(_Node(bits, width, min(r[2] for r in own), max(r[2] for r in own), slack, {r[1] for r in own}, [], own))
     while len(level) > 1:
         up = []
         for a in range(0, len(level), FANOUT):
             c = level[a : a + FANOUT]
-            words = min(len(x.bits) for x in c)
-            merged = np.bitwise_or.reduce(np.stack([_folded(x.bits, words) for x in c]))
-            slack = max(x.slack if len(x.bits) == words else x.high for x in c)  # folding loses bits
-            up.append(_Node(merged, min(x.low for x in c), max(x.high for x in c), slack, set().union(*(x.components for x in c)), c, None))
+            bits, width = _or_of([(x.bits, x.width) for x in c])
+            slack = max(x.slack if x.width == width else x.high for x in c)  # folding loses bits
+            up.append(_Node(bits, width, min(x.low for x in c), max(x.high for x in c), slack, set().union(*(x.components for x in c)), c, None))
         level = up
     return level[0]
 
@@ -197,31 +197,28 @@ def _possible(a: _Node, b: _Node) -> bool:
         return False
     if len(a.components) == 1 and a.components == b.components:
         return False
-    words = min(len(a.bits), len(b.bits))
-    common = int(np.bitwise_count(_folded(a.bits, words) & _folded(b.bits, words)).sum())
-    most = min(a.high, b.high)
-    if len(a.bits) == words:
-        most = min(most, a.slack + common)
-    if len(b.bits) == words:
-        most = min(most, b.slack + common)
+    width, most = min(a.width, b.width), min(a.high, b.high)
+    common = (_folded(a.bits, a.width, width) & _folded(b.bits, b.width, width)).bit_count()
+    most = min([most, *(x.slack + common for x in (a, b) if x.width == width)])
     return most * (NUM + DEN) >= NUM * (a.low + b.low)
 
 
+def may_reach(n: int, x: int, x_width: int, m: int, y: int, y_width: int) -> bool:
+    """Whether sizes and bitmaps of two sets allow the threshold: a bit of one that the other lacks is a member outside the overlap."""
+    if n * DEN < m * NUM or m * DEN < n * NUM:
+        return False
+    width = min(x_width, y_width)
+    x, y = _folded(x, x_width, width), _folded(y, y_width, width)
+    common = (x & y).bit_count()
+    most = min(n - x.bit_count(), m - y.bit_count()) + common
+    return most * (NUM + DEN) >= NUM * (n + m)
+
+
 def _leaf_pairs(a: _Node, b: _Node) -> Iterator[tuple[int, int]]:
-    nodes_a, sizes_a, comps_a, bits_a = a.members
-    nodes_b, sizes_b, comps_b, bits_b = b.members
-    words = min(bits_a.shape[1], bits_b.shape[1])
-    x, y = _folded(bits_a, words), _folded(bits_b, words)
-    for i in range(len(nodes_a)):
-        only_x = np.bitwise_count(x[i] & ~y).sum(1, dtype=np.int64)
-        only_y = np.bitwise_count(y & ~x[i]).sum(1, dtype=np.int64)
-        most = np.minimum(sizes_a[i] - only_x, sizes_b - only_y)
-        ok = (most * (NUM + DEN) >= NUM * (sizes_a[i] + sizes_b)) & (comps_b != comps_a[i])
-        if a is b:
-            ok[: i + 1] = False
-        for j in np.flatnonzero(ok):
-            p, q = int(nodes_a[i]), int(nodes_b[j])
-            yield (p, q) if p < q else (q, p)
+    for i, (p, cp, n, x, xw) in enumerate(a.members):
+        for q, cq, m, y, yw in a.members[i + 1 :] if a is b else b.members:
+            if cp != cq and may_reach(n, x, xw, m, y, yw):
+                yield (p, q) if p < q else (q, p)
 
 
 def tree_join(tree: _Node) -> Iterator[tuple[int, int]]:
@@ -242,38 +239,44 @@ def tree_join(tree: _Node) -> Iterator[tuple[int, int]]:
 
 
 def _bucket_pairs(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of buckets; rows: (token, node, comp, n, bits), clustered and sorted by token."""
+    """Candidate pairs (a, b) of buckets; rows: (bucket, node, comp, n, bits), clustered and sorted by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, held = None, []
+        bucket, held, pairs = None, [], set()
 
         def found() -> pa.RecordBatch:
-            nodes, comps, sizes = (np.array([r[i] for r in held], np.int64) for i in range(3))
-            pairs = list(tree_join(signature_tree(nodes, sizes, comps, [np.frombuffer(r[3], np.uint64) for r in held])))
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+            out = [pa.array(x, pa.int64()) for x in (zip(*pairs, strict=True) if pairs else ((), ()))]
+            pairs.clear()
+            return pa.RecordBatch.from_arrays(out, ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            for t, *row in zip(*columns, strict=True):
-                if t != token:
-                    if len(held) > 1:
+            for t, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if t != bucket:
+                    pairs.update(tree_join(signature_tree(held)) if len(held) > 1 else ())
+                    bucket, held = t, []
+                    if len(pairs) > 100_000:
                         yield found()
-                    token, held = t, []
-                held.append(row)
-        if len(held) > 1:
-            yield found()
+                held.append(tuple(row))
+        pairs.update(tree_join(signature_tree(held)) if len(held) > 1 else ())
+        yield found()
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _only(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` that may have a value of ``wanted`` (one column): the others are left out before any shuffle."""
+    name = wanted.columns[0]
+    cells = cells_for(wanted.count())
+    words = written(filter_words(wanted, name, cells, least=1), "filter")
+    return maybe_in(df, column, words, cells, "near").filter("near").select(*df.columns)
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """The links among pairs (a, b): texts are fetched for the classes of pairs only, through a filter of their ids."""
     pairs = written(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = written(wanted.join(reps.select("node", "doc_id", "key"), "node"), "wanted")
-    cells = cells_for(wanted.count())
-    words = written(filter_words(wanted.select("doc_id"), "doc_id", cells, least=1), "filter")
-    near = maybe_in(docs, "doc_id", words, cells, "near").filter("near").select("doc_id", "text")
+    near = _only(docs, "doc_id", wanted.select("doc_id"))
     texts = near.join(wanted.select(F.col("doc_id").alias("d"), "node", "key"), F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "key", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,24 +324,37 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: doc_id, n_shingles, component_id (null for a null id whose component has no other)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = _sketches(docs, frequent_cells(docs))
-    classes = sketches.filter("n > 0").groupBy("key").agg(F.min("row_no").alias("node"), F.min("doc_id").alias("low"), F.first("n").alias("n"))
-    classes = written(classes, "classes")
-    reps = sketches.join(classes.select("node"), F.col("row_no") == F.col("node"), "left_semi").withColumnRenamed("row_no", "node")
-    reps = reps.select("node", "doc_id", "key", "n", "prefix", "bits")
-    buckets = reps.select(F.explode("prefix").alias("token"), "node", "n")
+    # Sets without an equal are a class of their own as they stand; only the others are shuffled to find their class.
+    full = sketches.filter("n > 0")
+    cells = cells_for(sketches.count())
+    words = written(filter_words(full.select("key"), "key", cells), "filter")
+    tested = maybe_in(full, "key", words, cells, "again")
+    again = tested.filter("again")
+    shared = again.groupBy("key").agg(F.min("row_no").alias("node"), F.min("doc_id").alias("low"))
+    shared = written(shared, "shared")
+    own = tested.filter("not again").select(F.col("row_no").alias("node"), "doc_id", "key", "n", "prefix", "bits")
+    first_of = again.withColumnRenamed("row_no", "node").join(shared.select("node"), "node", "left_semi").select(*own.columns)
+    reps = own.unionByName(first_of)
+    classes = written(own.select("key", "node", F.col("doc_id").alias("low")).unionByName(shared.select("key", "node", "low")), "classes")
     whole = Window.partitionBy("token")
-    hub = F.min_by("node", F.xxhash64("node")).over(whole)
-    buckets = buckets.withColumn("members", F.count(F.lit(1)).over(whole)).filter("members > 1")
-    buckets = written(buckets.withColumn("hub", hub).select("token", "node", "n", "hub"), "buckets")
-    stars = buckets.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    hub = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).over(whole)
+    buckets = reps.select(F.explode("prefix").alias("token"), "node", F.col("n").cast("int").alias("n"))
+    buckets = buckets.withColumn("members", F.count(F.lit(1)).over(whole)).withColumn("hub", hub).filter("members > 1")
+    buckets = written(buckets.select("token", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
+    stars = buckets.filter(f"node <> hub and n * {DEN} >= hub_n * {NUM} and hub_n * {DEN} >= n * {NUM}")
+    stars = written(stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "stars")
     bits = reps.select("node", "n", "bits")
     first = _verified(_bounded(stars, bits), reps, docs)
     joined = checkpointed(components(first))
     labelled = buckets.join(joined, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("comp"))
-    mixed = labelled.withColumn("mixed", F.min("comp").over(whole) != F.max("comp").over(whole)).filter("mixed")
-    mixed = written(mixed.select("token", "node", "comp", "n"), "mixed")
-    rows = mixed.join(bits.select("node", "bits"), "node").select("token", "node", "comp", "n", "bits")
-    rows = rows.repartition("token").sortWithinPartitions("token")
+    # Buckets of the same members are searched once.
+    mixed = labelled.withColumn("mixed", F.min("comp").over(whole) != F.max("comp").over(whole))
+    mixed = mixed.withColumn("members", F.struct(F.count(F.lit(1)).over(whole), F.bit_xor(F.xxhash64("node")).over(whole), F.bit_xor(F.xxhash64("node", F.lit(1))).over(whole)))
+    mixed = mixed.filter("mixed").groupBy(F.xxhash64("members").alias("bucket"), "node").agg(F.min("comp").alias("comp"), F.min("n").alias("n"))
+    mixed = written(mixed, "mixed")
+    near = _only(bits, "node", mixed.select("node").distinct())
+    rows = mixed.join(near.select("node", "bits"), "node").select("bucket", "node", "comp", "n", "bits")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket")
     second = _verified(_bucket_pairs(rows).join(stars, ["a", "b"], "left_anti"), reps, docs)
     joined = components(first.unionByName(second))
     of_class = classes.join(joined, "node", "left").select("key", "low", F.coalesce("component", "node").alias("component"))
@@ -358,17 +374,13 @@ def _bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for n, x, m, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                p, q = _fold_to_least([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-                most = min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
-                keep.append(most * (NUM + DEN) >= NUM * (n + m))
+                keep.append(may_reach(n, int.from_bytes(x, "little"), 8 * len(x), m, int.from_bytes(y, "little"), 8 * len(y)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    sizes = bits.select("node", "n")
-    near = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("m")), "b")
-    near = near.filter(f"n * {DEN} >= m * {NUM} and m * {DEN} >= n * {NUM}")
-    x = bits.select(F.col("node").alias("a"), F.col("bits").alias("x"))
-    y = bits.select(F.col("node").alias("b"), F.col("bits").alias("y"))
-    return near.join(x, "a").join(y, "b").select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a long, b long")
+    near = written(_only(bits, "node", pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "bits")
+    x = near.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x"))
+    y = near.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a long, b long")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

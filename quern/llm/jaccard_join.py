@@ -12,11 +12,15 @@
    whole.  Leaves hold classes of like size with bitmaps of their shingles,
    nodes the OR of the bitmaps and the range of sizes; a traversal of pairs of
    nodes leaves out those whose maximum possible overlap is too small, or that
-   lie in one component.
-5. What remains is verified on the sets themselves; components of the verified
-   links are the result.
+   lie in one component.  Classes that may be linked form candidate groups.
+5. Candidate groups are verified on the sets themselves; only links that join
+   two components of a group are kept, so their number never exceeds its
+   members.  Components of the verified links are the result.
 
-Which shingles count as frequent comes from a count of all of them in 2**20
+Buckets and groups of any size are dealt as pairs of blocks, so that no task
+holds more than two blocks of one.
+
+Which shingles count as frequent comes from a count of all of them in 2**22
 cells; it steers the size of buckets, never the result.  Null texts and texts
 without words have an empty set and are alone; with fewer than five words the
 whole sequence is the only shingle.  Equal rows are one class.  Shingles are
@@ -40,12 +44,15 @@ from quern.llm.shared import checkpointed, written
 WIDTH = 5
 #: Threshold as a fraction: 100 * overlap >= 80 * union.
 NUM, DEN = 4, 5
-CELLS = 1 << 20
+CELLS = 1 << 22
 MEMO = 1_000_000
 LEAF = 32
 FANOUT = 8
-#: Partners of a class that are verified in one call.
+#: A cell is frequent from this count on, summed over the tasks in which it stands out.
+FREQUENT = 24
+#: Partners of a class that are verified in one call, and the blocks in which buckets and groups are dealt.
 PARTNERS = 256
+BUCKET_BLOCK, GROUP_BLOCK = 2048, 512
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -103,19 +110,17 @@ def frequent_cells(docs: DataFrame) -> np.ndarray:
             seen += np.bincount(np.concatenate(held), minlength=CELLS)
         total = int(seen.sum())
         high = np.flatnonzero(seen >= max(4, 3 * total / CELLS))
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *high.tolist()], pa.int64()), pa.array([total, *seen[high].tolist()], pa.int64())], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(seen[high])], ["cell", "n"])
 
-    counts = checkpointed(docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")))
-    total = counts.filter("cell = -1").first()
-    least = max(32, 3 * (total["n"] if total else 0) / CELLS)
+    counts = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     marks = np.zeros(CELLS, bool)  # at most CELLS numbers reach the driver, whatever the input
-    marks[[r["cell"] for r in counts.filter((F.col("cell") >= 0) & (F.col("n") >= least)).select("cell").toLocalIterator()]] = True
+    marks[[r["cell"] for r in counts.filter(F.col("n") >= FREQUENT).select("cell").toLocalIterator()]] = True
     return marks
 
 
-def _bitmap(h: np.ndarray) -> bytes:
-    """Bits of the set in the least power of two of bits from eight times its size, 64 at least."""
-    width = max(64, 1 << int(8 * len(h) - 1).bit_length()) if len(h) else 64
+def _bitmap(h: np.ndarray, bits_each: int = 1) -> bytes:
+    """Bits of the set in the least power of two of bits from ``bits_each`` times its size, 64 at least."""
+    width = max(64, 1 << int(bits_each * len(h) - 1).bit_length()) if len(h) else 64
     out = np.zeros(width, bool)
     out[((h >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -214,22 +219,41 @@ def may_reach(n: int, x: int, x_width: int, m: int, y: int, y_width: int) -> boo
     return most * (NUM + DEN) >= NUM * (n + m)
 
 
-def _leaf_pairs(a: _Node, b: _Node) -> Iterator[tuple[int, int]]:
+class Sets:
+    """Disjoint sets of numbers."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.root(x)] = self.root(y)
+
+
+def _leaf_pairs(a: _Node, b: _Node, sets: Sets) -> Iterator[tuple[int, int]]:
     for i, (p, cp, n, x, xw) in enumerate(a.members):
         for q, cq, m, y, yw in a.members[i + 1 :] if a is b else b.members:
-            if cp != cq and may_reach(n, x, xw, m, y, yw):
+            if cp != cq and sets.root(p) != sets.root(q) and may_reach(n, x, xw, m, y, yw):
                 yield (p, q) if p < q else (q, p)
 
 
-def tree_join(tree: _Node) -> Iterator[tuple[int, int]]:
-    """Dual traversal of a tree with itself: pairs of classes of different components that may reach the threshold."""
+def tree_join(tree: _Node, sets: Sets) -> Iterator[tuple[int, int]]:
+    """Dual traversal of a tree with itself: pairs of classes of different components that may reach the threshold.
+
+    Pairs that the caller has put into one of ``sets`` meanwhile are left out.
+    """
     todo = [(tree, tree)]
     while todo:
         a, b = todo.pop()
         if not _possible(a, b):
             continue
         if a.members is not None and b.members is not None:
-            yield from _leaf_pairs(a, b)
+            yield from _leaf_pairs(a, b, sets)
         elif a is b:
             todo += [(a.children[i], a.children[j]) for i in range(len(a.children)) for j in range(i, len(a.children))]
         elif b.members is not None or (a.members is None and a.high - a.low >= b.high - b.low):
@@ -238,29 +262,93 @@ def tree_join(tree: _Node) -> Iterator[tuple[int, int]]:
             todo += [(a, c) for c in b.children]
 
 
-def _bucket_pairs(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of buckets; rows: (bucket, node, comp, n, bits), clustered and sorted by bucket."""
+def _dealt(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """``rows`` with (i, j): members of a key beyond ``block`` are dealt to pairs of blocks, so that every pair of members meets."""
+    large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > block)
+    large = checkpointed(large.select(F.col(key).alias("large_key"), F.ceil(F.col("size") / block).cast("int").alias("blocks")))
+    dealt = rows.join(large, F.col(key) == F.col("large_key"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(*rows.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held, pairs = None, [], set()
 
-        def found() -> pa.RecordBatch:
-            out = [pa.array(x, pa.int64()) for x in (zip(*pairs, strict=True) if pairs else ((), ()))]
-            pairs.clear()
-            return pa.RecordBatch.from_arrays(out, ["a", "b"])
+def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
+    """Rows without their first three columns, by runs of equal values in these."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in range(width)), strict=True):
+            if row[:3] != key:
+                if held:
+                    yield held
+                key, held = row[:3], []
+            held.append(row[3:])
+    if held:
+        yield held
 
-        for batch in batches:
-            for t, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if t != bucket:
-                    pairs.update(tree_join(signature_tree(held)) if len(held) > 1 else ())
-                    bucket, held = t, []
-                    if len(pairs) > 100_000:
-                        yield found()
-                held.append(tuple(row))
-        pairs.update(tree_join(signature_tree(held)) if len(held) > 1 else ())
-        yield found()
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+def _candidate_groups(rows: DataFrame) -> DataFrame:
+    """(grp, node, comp) of classes of a bucket that may be linked, directly or by others; rows: (bucket, i, j, node, comp, n, bits), sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: set[tuple[int, int, int]] = set()
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ((), (), ()))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, ["grp", "node", "comp"])
+
+        for held in _runs(batches, 7):
+            if len(held) < 2:
+                continue
+            sets, comps = Sets(), {r[0]: r[1] for r in held}
+            for p, q in tree_join(signature_tree(held), sets):
+                sets.join(p, q)
+            groups: dict[int, list[int]] = {}
+            for node in sets.up:
+                groups.setdefault(sets.root(node), []).append(node)
+            for root, nodes in groups.items():
+                nodes = sorted({root, *nodes})
+                name = int.from_bytes(hashlib.blake2b(np.array(nodes).tobytes(), digest_size=8).digest(), "little", signed=True)
+                out.update((name, node, comps[node]) for node in nodes)
+            if len(out) > 100_000:
+                yield flush()
+        yield flush()
+
+    return rows.mapInArrow(run, "grp long, node long, comp long").dropDuplicates(["grp", "node"])
+
+
+def _verified_groups(groups: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join components of candidate groups (grp, node, comp)."""
+    groups = written(groups, "groups")
+    sets_of = _sets_of(groups.select("node").distinct(), reps, docs)
+    rows = _dealt(groups, "grp", GROUP_BLOCK).join(sets_of, "node").select("grp", "i", "j", "node", "comp", "members")
+    rows = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _runs(batches, 6):
+            links, sets = [], Sets()
+            own = sorted(held, key=lambda r: len(r[2]))
+            arrays = [np.frombuffer(r[2], np.uint64) for r in own]
+            bits = [_bitmap(h, 32) for h in arrays]
+            bits = [(int.from_bytes(b, "little"), 8 * len(b)) for b in bits]
+            for x, (p, cp, _) in enumerate(own):
+                for y in range(x + 1, len(own)):
+                    q, cq, _ = own[y]
+                    if len(arrays[x]) * DEN < len(arrays[y]) * NUM:
+                        break
+                    # Components are named by nodes, so both fit one numbering: a node's own component is reached through its name.
+                    if sets.root(cp) == sets.root(cq) or not may_reach(len(arrays[x]), *bits[x], len(arrays[y]), *bits[y]):
+                        continue
+                    if _linked(arrays[x], arrays[y]):
+                        sets.join(cp, cq)
+                        links.append((p, q))
+            yield pa.RecordBatch.from_arrays([pa.array([k[c] for k in links], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    return written(rows.mapInArrow(run, "a long, b long"), "links")
+
+
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    overlap = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * overlap >= 80 * (len(x) + len(y) - overlap)
 
 
 def _only(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
@@ -271,11 +359,9 @@ def _only(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return maybe_in(df, column, words, cells, "near").filter("near").select(*df.columns)
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links among pairs (a, b): texts are fetched for the classes of pairs only, through a filter of their ids."""
-    pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = written(wanted.join(reps.select("node", "doc_id", "key"), "node"), "wanted")
+def _sets_of(nodes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, members) of some classes: texts are fetched through a filter of their ids, and sets made anew."""
+    wanted = written(nodes.join(reps.select("node", "doc_id", "key"), "node"), "wanted")
     near = _only(docs, "doc_id", wanted.select("doc_id"))
     texts = near.join(wanted.select(F.col("doc_id").alias("d"), "node", "key"), F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "key", "text")
 
@@ -283,15 +369,21 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 rows = batch.slice(a, 500)
-                nodes, out = [], []
+                names, out = [], []
                 for node, key, text in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
                     own = shingles(text).tobytes()
                     if hashlib.blake2b(own, digest_size=16).digest() == key:
-                        nodes.append(node)
+                        names.append(node)
                         out.append(own)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], ["node", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], ["node", "members"])
 
-    found = written(texts.mapInArrow(sets, "node long, members binary"), "sets").dropDuplicates(["node"])
+    return written(texts.mapInArrow(sets, "node long, members binary"), "sets").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links among pairs (a, b)."""
+    pairs = written(pairs, "pairs")
+    found = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), reps, docs)
     # A class with many partners is dealt over several calls, each with its own copy of the class's set.
     counted = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners"))
     parts = counted.withColumn("parts", F.ceil(F.col("partners") / PARTNERS).cast("long"))
@@ -311,8 +403,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
                 if b is None:
                     own = h
                     continue
-                overlap = len(np.intersect1d(own, h, assume_unique=True))
-                if 100 * overlap >= 80 * (len(own) + len(h) - overlap):
+                if _linked(own, h):
                     links[0].append(a)
                     links[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
@@ -353,9 +444,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mixed = mixed.filter("mixed").groupBy(F.xxhash64("members").alias("bucket"), "node").agg(F.min("comp").alias("comp"), F.min("n").alias("n"))
     mixed = written(mixed, "mixed")
     near = _only(bits, "node", mixed.select("node").distinct())
-    rows = mixed.join(near.select("node", "bits"), "node").select("bucket", "node", "comp", "n", "bits")
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket")
-    second = _verified(_bucket_pairs(rows).join(stars, ["a", "b"], "left_anti"), reps, docs)
+    rows = _dealt(mixed, "bucket", BUCKET_BLOCK).join(near.select("node", "bits"), "node").select("bucket", "i", "j", "node", "comp", "n", "bits")
+    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    second = _verified_groups(_candidate_groups(rows), reps, docs)
     joined = components(first.unionByName(second))
     of_class = classes.join(joined, "node", "left").select("key", "low", F.coalesce("component", "node").alias("component"))
     lowest = of_class.groupBy("component").agg(F.min("low").alias("component_id"))

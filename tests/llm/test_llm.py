@@ -113,11 +113,15 @@ def _brute_groups(rows):
     return Counter((i, len(s), low.get(root(k))) for k, (i, s) in enumerate(sets))
 
 
-def test_jaccard_groups_equal_brute_force(spark, odd, documents):
+@pytest.mark.parametrize("blocks", [False, True])
+def test_jaccard_groups_equal_brute_force(spark, odd, documents, blocks, monkeypatch):
     base = "the quick brown fox jumps over the lazy dog and then runs away from all of the other animals in the wood " * 2
     w = [f"w{i}" for i in range(100)]
     chain = [" ".join([*w[:k], *[f"z{k}_{i}" for i in range(k, 100)]]) for k in range(99, 60, -3)]
     extra = [(100 + i, t, "en", "s", 1, "") for i, t in enumerate([base, base.upper(), base + " end", "a b", "A  b", "a b c", *chain, " ".join(w)])]
+    if blocks:  # groups and buckets beyond a block of two
+        monkeypatch.setattr(jaccard_join, "BUCKET_BLOCK", 2)
+        monkeypatch.setattr(jaccard_join, "GROUP_BLOCK", 2)
     for df in (documents.limit(120), odd.unionByName(spark.createDataFrame(extra, SCHEMA)), odd.limit(0)):
         got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_groups(df).collect())
         assert got == _brute_groups(_texts(df))
@@ -131,9 +135,9 @@ def test_signature_tree_loses_no_pair():
         for _ in range(3):
             keep = base[rng.random(len(base)) > 0.06]
             sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, rng.integers(0, 10)).astype(np.uint64)])))
-    nodes = np.arange(len(sets))
-    tree = jaccard_join.signature_tree(nodes, np.array([len(s) for s in sets]), nodes, [jaccard_join._bitmap(s) for s in sets])
-    found = set(jaccard_join.tree_join(tree))
+    nodes = range(len(sets))
+    tree = jaccard_join.signature_tree([(i, i, len(s), jaccard_join._bitmap(s, 8)) for i, s in enumerate(sets)])
+    found = set(jaccard_join.tree_join(tree, jaccard_join.Sets()))
     true = {
         (a, b) for a in nodes for b in nodes if a < b and (o := len(np.intersect1d(sets[a], sets[b]))) * 5 >= 4 * (len(sets[a]) + len(sets[b]) - o)
     }

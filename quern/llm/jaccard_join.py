@@ -12,8 +12,8 @@
    whole.  Leaves hold classes of like size with bitmaps of their shingles,
    nodes the OR of the bitmaps and the range of sizes; a traversal of pairs of
    nodes leaves out those whose maximum possible overlap is too small, or that
-   lie in one component.  Classes that may be linked form candidate groups.
-5. Candidate groups are verified on the sets themselves; only links that join
+   lie in one component.  Classes tied together by possible links form groups.
+5. Groups are verified on the sets themselves; only links that join
    two components of a group are kept, so their number never exceeds its
    members.  Components of the verified links are the result.
 
@@ -285,40 +285,33 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]
         yield held
 
 
-def _candidate_groups(rows: DataFrame) -> DataFrame:
-    """(grp, node, comp) of classes of a bucket that may be linked, directly or by others; rows: (bucket, i, j, node, comp, n, bits), sorted."""
+def _candidate_links(rows: DataFrame) -> DataFrame:
+    """(a, b): links that tie classes of a bucket that may reach the threshold together; rows: (bucket, i, j, node, comp, n, bits), sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: set[tuple[int, int, int]] = set()
+        out: set[tuple[int, int]] = set()
 
         def flush() -> pa.RecordBatch:
-            columns = [pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ((), (), ()))]
+            columns = [pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ((), ()))]
             out.clear()
-            return pa.RecordBatch.from_arrays(columns, ["grp", "node", "comp"])
+            return pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
         for held in _runs(batches, 7):
             if len(held) < 2:
                 continue
-            sets, comps = Sets(), {r[0]: r[1] for r in held}
+            sets = Sets()
             for p, q in tree_join(signature_tree(held), sets):
                 sets.join(p, q)
-            groups: dict[int, list[int]] = {}
-            for node in sets.up:
-                groups.setdefault(sets.root(node), []).append(node)
-            for root, nodes in groups.items():
-                nodes = sorted({root, *nodes})
-                name = int.from_bytes(hashlib.blake2b(np.array(nodes).tobytes(), digest_size=8).digest(), "little", signed=True)
-                out.update((name, node, comps[node]) for node in nodes)
+            out.update((root, node) for node in sets.up if (root := sets.root(node)) != node)
             if len(out) > 100_000:
                 yield flush()
         yield flush()
 
-    return rows.mapInArrow(run, "grp long, node long, comp long").dropDuplicates(["grp", "node"])
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified_groups(groups: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) that join components of candidate groups (grp, node, comp)."""
-    groups = written(groups, "groups")
+    """Links (a, b) that join components of candidate groups (grp, node, comp); a class is in one group."""
     sets_of = _sets_of(groups.select("node").distinct(), reps, docs)
     rows = _dealt(groups, "grp", GROUP_BLOCK).join(sets_of, "node").select("grp", "i", "j", "node", "comp", "members")
     rows = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
@@ -446,7 +439,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = _only(bits, "node", mixed.select("node").distinct())
     rows = _dealt(mixed, "bucket", BUCKET_BLOCK).join(near.select("node", "bits"), "node").select("bucket", "i", "j", "node", "comp", "n", "bits")
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    second = _verified_groups(_candidate_groups(rows), reps, docs)
+    # Classes that candidate links tie together are verified as one group, so no set is fetched or shipped for each of its buckets.
+    tied = components(_candidate_links(rows)).withColumnRenamed("component", "grp")
+    tied = tied.join(joined, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("comp"))
+    second = _verified_groups(written(tied, "tied"), reps, docs)
     joined = components(first.unionByName(second))
     of_class = classes.join(joined, "node", "left").select("key", "low", F.coalesce("component", "node").alias("component"))
     lowest = of_class.groupBy("component").agg(F.min("low").alias("component_id"))

@@ -39,13 +39,13 @@ from pyspark.sql import functions as F
 
 from quern.llm.components import components
 from quern.llm.exact_dedup import cells_for, filter_words, maybe_in
-from quern.llm.shared import checkpointed, written
+from quern.llm.shared import bounded_batches, checkpointed, written
 
 WIDTH = 5
 #: Threshold as a fraction: 100 * overlap >= 80 * union.
 NUM, DEN = 4, 5
 CELLS = 1 << 22
-MEMO = 1_000_000
+MEMO = 300_000
 LEAF = 32
 FANOUT = 8
 #: A cell is frequent from this count on, summed over the tasks in which it stands out.
@@ -96,21 +96,21 @@ def frequent_cells(docs: DataFrame) -> np.ndarray:
     """A mark for each of the cells whose shingles are far more frequent than the mean cell's; docs: (text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(CELLS, np.int64)
+        seen = np.zeros(CELLS, np.int32)
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 held.append(_cell(shingles(text)))
                 size += len(held[-1])
-                if size > CELLS:
-                    seen += np.bincount(np.concatenate(held), minlength=CELLS)
+                if size > 1 << 20:
+                    seen += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.int32)
                     held, size = [], 0
         if held:
-            seen += np.bincount(np.concatenate(held), minlength=CELLS)
+            seen += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.int32)
         total = int(seen.sum())
         high = np.flatnonzero(seen >= max(4, 3 * total / CELLS))
-        yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(seen[high])], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(seen[high].astype(np.int64))], ["cell", "n"])
 
     counts = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     marks = np.zeros(CELLS, bool)  # at most CELLS numbers reach the driver, whatever the input
@@ -406,6 +406,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (null for a null id whose component has no other)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = _sketches(docs, frequent_cells(docs))
     # Sets without an equal are a class of their own as they stand; only the others are shuffled to find their class.

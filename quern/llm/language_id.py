@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.shared import bounded_batches
+
 SAMPLE = 1500
 #: N-grams kept of a language: those in this share of its sampled texts at least.
 COMMON = 0.02
@@ -81,6 +83,7 @@ class Filters:
 
 def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Filters:
     """Filters from rows with a language; what reaches the driver is the n-grams common in a bounded sample."""
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     sample = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).select("lang", "text")
@@ -109,6 +112,7 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -
 
 def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text; the filters (2 MB for 64 languages) are broadcast."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ _UNIT = re.compile(
 #: A word with a blank before it or none: one pre-token.
 _WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 #: Entries of the memo, about 200 bytes each; it is emptied when full.
-MEMO = 1_200_000
+MEMO = 400_000
 
 
 def byte_alphabet() -> list[str]:

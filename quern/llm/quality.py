@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.fitting import Logistic, sampled_labels
-from quern.llm.shared import written
+from quern.llm.shared import bounded_batches, written
 
 SAMPLE = 4000
 KEEP_FROM = 0.5
@@ -48,6 +48,7 @@ def features(text: str | None) -> list[float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Logistic:
+    bounded_batches(docs.sparkSession)
     chosen = sampled_labels(labels, label, SAMPLE, id_col)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
     sample = texts.join(F.broadcast(chosen), "doc_id").select("label", "text")
@@ -124,6 +125,7 @@ def judge(
     docs: DataFrame, model: Logistic, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang"
 ) -> DataFrame:
     """(doc_id, doc_score, host_posterior, path_posterior, score, kept) of every document."""
+    bounded_batches(docs.sparkSession)
     scored = written(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"),
@@ -143,6 +145,7 @@ def keep_good(
     docs: DataFrame, model: Logistic, text_col: str = "text", host_col: str = "source", path_col: str = "lang"
 ) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns; only (host, path, evidence) is gathered for the groups."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[host_col].cast("string").alias("host"),
         docs[path_col].cast("string").alias("path"), evidence(docs[text_col], model).alias("p"),

@@ -23,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows from here on: a batch of long texts is held by the JVM and by Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: lineage ends there and survives lost executors."""
     spark = df.sparkSession

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.pretokens import UnitEncoder, parts
+from quern.llm.shared import bounded_batches
 
 _MAGIC = b"DAC1"
 _RANK_BYTES = 64
@@ -116,6 +117,7 @@ def write_tokens(
     docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
     """Writes the ids of all texts, each with the end id behind it, in ascending order of document ids."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, shard = _encoder(tokenizer_path, pattern), TaskContext.get().partitionId()

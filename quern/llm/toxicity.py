@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.fitting import Logistic, sampled_labels
+from quern.llm.shared import bounded_batches
 
 SAMPLE = 4000
 WINDOW_WORDS = 12
@@ -93,6 +94,7 @@ def _dictionaries(counts: pd.DataFrame, docs: dict[int, int]) -> tuple[bytes, by
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Dictionaries and calibration from a bounded sample, joined by broadcast to the texts."""
+    bounded_batches(docs.sparkSession)
     chosen = sampled_labels(labels, label, SAMPLE, id_col)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
     sample = texts.join(F.broadcast(chosen), "doc_id").select("label", "text", F.pmod(F.xxhash64("text"), F.lit(10)).alias("part"))
@@ -128,6 +130,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted) of every whole text."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

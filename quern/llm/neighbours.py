@@ -3,8 +3,9 @@
 The two halves of a vector are quantised apart, so that k + k centroids make
 k * k cells.  A query visits centroid pairs in order of summed distance (here
 the negative inner product, which is the sum over the halves) with a heap, until
-the visited cells hold its share of the index; entries of visited cells are
-reranked by the exact measure in double precision.
+the visited cells hold its share of the index and as many entries as it asks
+for, or all; entries of visited cells are reranked by the exact measure in
+double precision.
 
 Codebooks are fitted on at most ``SAMPLE`` vectors, the first by hash of the id;
 every vector is indexed.  Lists of a first-half centroid are dealt in parts of
@@ -33,7 +34,7 @@ from quern.llm.shared import written
 
 SAMPLE = 20_000
 STEPS = 12
-SHARE = 0.65
+SHARE = 0.8
 CROWD = 4
 PART = 8192
 
@@ -68,22 +69,24 @@ class Codebooks:
     def __init__(self, first: np.ndarray, second: np.ndarray):
         self.first, self.second, self.half = first, second, first.shape[1]
         self.weights = np.zeros((len(first), len(second)))
+        self.entries = self.weights
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _nearest(x[:, : self.half], self.first), _nearest(x[:, self.half :], self.second)
 
-    def visits(self, q: np.ndarray, share: float) -> dict[int, list[int]]:
-        """Second-half centroids by first-half centroid of the cells that a query visits."""
+    def visits(self, q: np.ndarray, share: float, least: int = 0) -> dict[int, list[int]]:
+        """Second-half centroids by first-half centroid of the cells that a query visits: its share, and ``least`` entries or all."""
         near, far = self.first @ q[: self.half], self.second @ q[self.half :]
         rows, columns = np.argsort(-near, kind="stable"), np.argsort(-far, kind="stable")
-        wanted, got, out = share * self.weights.sum(), 0.0, {}
+        wanted, got, held, out = share * self.weights.sum(), 0.0, 0, {}
         heap, reached = [(-(near[rows[0]] + far[columns[0]]), 0, 0)], {(0, 0)}
-        while heap and got < wanted:
+        while heap and (got < wanted or held < least):
             _, i, j = heapq.heappop(heap)
             r, c = int(rows[i]), int(columns[j])
             if self.weights[r, c]:
                 out.setdefault(r, []).append(c)
                 got += self.weights[r, c]
+                held += self.entries[r, c]
             for a, b in ((i + 1, j), (i, j + 1)):
                 if a < len(rows) and b < len(columns) and (a, b) not in reached:
                     reached.add((a, b))
@@ -115,6 +118,7 @@ def build(vectors: DataFrame) -> tuple[DataFrame, Codebooks, dict[int, int]]:
     counts = index.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 256 * 256 rows
     cells = np.zeros((len(books.first), len(books.second)))
     cells[counts["c1"], counts["c2"]] = counts["n"]
+    books.entries = cells
     books.weights = np.minimum(cells, CROWD * cells[cells > 0].mean()) if len(counts) else cells
     return index, books, {i: int(v) for i, v in enumerate(cells.sum(1)) if v}
 
@@ -128,8 +132,9 @@ def search(index: DataFrame, books: Codebooks, entries: dict[int, int], queries:
             for a in range(0, batch.num_rows, 200):
                 rows = batch.slice(a, 200)
                 at, c1, part, c2s = [], [], [], []
-                for i, q in enumerate(_matrix(rows.column(1))):
-                    for c, own in books.visits(q, share).items():
+                # A query's own rows, all that repeat its id, are no candidates.
+                for i, (q, same) in enumerate(zip(_matrix(rows.column(1)), rows.column(2).to_pylist(), strict=True)):
+                    for c, own in books.visits(q, share, k + same).items():
                         for p in range(parts[c]):
                             at.append(i), c1.append(c), part.append(p), c2s.append(own)
                 take = pa.array(at, pa.int64())
@@ -139,7 +144,9 @@ def search(index: DataFrame, books: Codebooks, entries: dict[int, int], queries:
                 )
 
     kind = "c1 int, part int, kind int, id long, c2s array<int>, vector array<double>"
-    asked = queries.select("vec_id", "vector").mapInArrow(route, kind)
+    same = index.groupBy("vec_id").agg(F.count(F.lit(1)).alias("same"))
+    asked = queries.select("vec_id", "vector").join(same, "vec_id", "left").select("vec_id", "vector", F.coalesce("same", F.lit(0)).alias("same"))
+    asked = asked.mapInArrow(route, kind)
     of_list = F.create_map(*[x for c, n in parts.items() for x in (F.lit(c), F.lit(n))]) if parts else F.create_map(F.lit(0), F.lit(1))
     held = index.select(
         "c1", F.pmod(F.xxhash64("vec_id"), of_list[F.col("c1")]).cast("int").alias("part"), F.lit(0).alias("kind"),

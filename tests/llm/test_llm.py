@@ -180,6 +180,30 @@ def test_neighbours_recall_and_scores(spark):
     assert neighbours.search(*empty, empty[0]).count() == 0
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_neighbours_recall_on_the_plain_tables(spark, size):
+    df = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet").select("vec_id", "embedding")
+    index, books, entries = neighbours.build(neighbours.usable(df))
+    got: dict = {}
+    for r in neighbours.search(index, books, entries, index.filter("vec_id % 20 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    rows = sorted((r["vec_id"], r["embedding"]) for r in df.collect())
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    best = {q: [k for k in np.lexsort((ids, -(x * v).sum(1))) if ids[k] != q][:20] for q, v in zip(ids, x, strict=True) if q % 20 == 0}
+    assert set(got) == set(best) and all(len(v) == 20 for v in got.values())
+    assert sum(len(got[q] & set(ids[at])) for q, at in best.items()) >= 0.93 * 20 * len(best)
+
+
+@pytest.mark.parametrize("n", [1, 2, 12, 19, 21, 27])
+def test_neighbours_among_few_vectors_are_enough(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(n)] + [(0, rng.normal(size=16).tolist()) for _ in range(4)]
+    index, books, entries = neighbours.build(neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    found = Counter(r["query_id"] for r in neighbours.search(index, books, entries, index.dropDuplicates(["vec_id"])).collect())
+    rows_of = Counter(i for i, _ in rows)
+    assert found == Counter({i: min(20, len(rows) - rows_of[i]) for i in range(n)})
+
+
 def test_language_id_held_out(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = queries.op3_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")

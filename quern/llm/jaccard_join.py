@@ -34,12 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
 from quern.llm.exact_dedup import cells_for, filter_words, maybe_in
-from quern.llm.shared import bounded_batches, checkpointed, written
+from quern.llm.shared import bounded_batches, checkpointed, row_key, written
 
 WIDTH = 5
 #: Threshold as a fraction: 100 * overlap >= 80 * union.
@@ -127,7 +127,7 @@ def _bitmap(h: np.ndarray, bits_each: int = 1) -> bytes:
 
 
 def _sketches(docs: DataFrame, marks: np.ndarray) -> DataFrame:
-    """(row_no, doc_id, n, key, prefix, bits) of every document, in the shared folder."""
+    """(row_no, doc_id, row_key, n, key, prefix, bits) of every document, in the shared folder."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +136,7 @@ def _sketches(docs: DataFrame, marks: np.ndarray) -> DataFrame:
             for a in range(0, batch.num_rows, 1000):
                 rows = batch.slice(a, 1000)
                 n, key, prefix, bits = [], [], [], []
-                for text in rows.column(2).to_pylist():
+                for text in rows.column(3).to_pylist():
                     h = shingles(text)
                     last = frequent[_cell(h)]
                     order = np.concatenate([h[~last], h[last]])
@@ -145,12 +145,12 @@ def _sketches(docs: DataFrame, marks: np.ndarray) -> DataFrame:
                     prefix.append(order[: len(h) - -(-len(h) * NUM // DEN) + 1].view(np.int64))
                     bits.append(_bitmap(h))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                    ["row_no", "doc_id", "n", "key", "prefix", "bits"],
+                    [*rows.columns[:3], pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                    ["row_no", "doc_id", "row_key", "n", "key", "prefix", "bits"],
                 )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "text")
-    return written(rows.mapInArrow(run, "row_no long, doc_id long, n long, key binary, prefix array<long>, bits binary"), "sketches")
+    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "row_key", "text")
+    return written(rows.mapInArrow(run, "row_no long, doc_id long, row_key binary, n long, key binary, prefix array<long>, bits binary"), "sketches")
 
 
 def _folded(bits: int, width: int, to: int) -> int:
@@ -406,8 +406,14 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (null for a null id whose component has no other)."""
+    found = _components_of_rows(docs, id_col, text_col, F.lit(None).cast("binary"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _components_of_rows(docs: DataFrame, id_col: str, text_col: str, row_key: Column) -> DataFrame:
+    """(doc_id, row_no, row_key, n, component, component_id) of every row; the last two are null for an empty set."""
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key.alias("row_key"))
     sketches = _sketches(docs, frequent_cells(docs))
     # Sets without an equal are a class of their own as they stand; only the others are shuffled to find their class.
     full = sketches.filter("n > 0")
@@ -447,12 +453,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = components(first.unionByName(second))
     of_class = classes.join(joined, "node", "left").select("key", "low", F.coalesce("component", "node").alias("component"))
     lowest = of_class.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = written(of_class.select("key", "component").join(lowest, "component").select("key", "component_id"), "named")
-    return (
-        sketches.select("doc_id", "n", "key")
-        .join(named, "key", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+    named = written(of_class.select("key", "component").join(lowest, "component").select("key", "component", "component_id"), "named")
+    # Empty sets share a key but no component.
+    rows = sketches.select("doc_id", "row_no", "row_key", "n", "key").join(named, "key", "left")
+    return rows.select("doc_id", "row_no", "row_key", "n", "component", "component_id")
 
 
 def _bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
@@ -472,12 +476,22 @@ def _bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their group; texts that no filter marks as dropped aren't shuffled."""
-    groups = written(similar_groups(docs, id_col, text_col), "groups")
-    dropped = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    """One row of each group, that of the least id (null ids last); texts that no filter marks as dropped aren't shuffled.
+
+    Rows are told apart by a digest of id and text, so a row that repeats an id
+    shares no other row's fate.  Of rows that repeat both, any one stays.
+    """
+    key = row_key(docs[id_col].cast("long"), docs[text_col])
+    rows = written(_components_of_rows(docs, id_col, text_col, key).filter("component is not null").select("component", "doc_id", "row_key", "row_no"), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "row_key", "row_no")
+    best = rows.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.min(order).alias("top")).filter("members > 1")
+    best = best.select("component", F.col("top.row_key").alias("top_key"), F.col("top.row_no").alias("top_row"))
+    dropped = rows.join(best, "component").filter("row_no <> top_row").groupBy(F.col("row_key").alias("gone")).agg(F.max(F.col("row_key") == F.col("top_key")).alias("one_stays"))
+    dropped = written(dropped, "dropped")
     cells = cells_for(dropped.count())
     words = written(filter_words(dropped, "gone", cells, least=1), "filter")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("gone"))
-    tested = maybe_in(rows, "gone", words, cells, "near")
-    some = tested.filter("near").join(dropped, "gone", "left_anti")
-    return tested.filter("not near").select("row.*").unionByName(some.select("row.*"))
+    tagged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("gone"))
+    tested = maybe_in(tagged, "gone", words, cells, "near")
+    some = tested.filter("near").join(dropped, "gone", "left")
+    again = some.filter("one_stays").groupBy("gone").agg(F.any_value("row").alias("row"))
+    return tested.filter("not near").select("row.*").unionByName(some.filter("one_stays is null").select("row.*")).unionByName(again.select("row.*"))

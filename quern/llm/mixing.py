@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import written
+from quern.llm.shared import row_key, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -64,7 +64,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def mixed_stream(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7):
+def mixed_stream(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7, key_of_row: Column | None = None):
     """(sizes, sources, stream): tables in the shared folder and the mix as a DataFrame.
 
     stream: slot, sid, pass_no, row_no, first_word, words; one row for each
@@ -74,7 +74,7 @@ def mixed_stream(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     raw = written(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"),
-            F.monotonically_increasing_id().alias("row_no"),
+            F.monotonically_increasing_id().alias("row_no"), *([] if key_of_row is None else [key_of_row.alias("row_key")]),
         ),
         "sizes",
     )
@@ -149,20 +149,29 @@ def _slots(spark, sources: DataFrame, block: int, wanted: float) -> DataFrame:
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, source, size, source_size, target of its source, and the words the mix takes of it."""
-    raw, sources, stream = mixed_stream(docs, id_col, source_col, text_col)
+    return _taken(docs, id_col, source_col, text_col).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def _taken(docs: DataFrame, id_col: str, source_col: str, text_col: str, key_of_row: Column | None = None) -> DataFrame:
+    raw, sources, stream = mixed_stream(docs, id_col, source_col, text_col, key_of_row=key_of_row)
     got = stream.groupBy("row_no").agg(F.sum("words").alias("taken"))
     named = raw.join(sources.select(F.col("source").alias("src"), "source_size", "target"), F.col("source").eqNullSafe(F.col("src"))).drop("src")
-    return named.join(got, "row_no", "left").select(
-        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
-    )
+    return named.join(got, "row_no", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the mix takes, once for each pass that takes at least half of a row's words."""
-    tagged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    share = mixture(docs, id_col, source_col, text_col)
-    copies = share.select(F.col("doc_id").alias("id"), "size", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("copies"))
-    copies = copies.filter("copies > 0").groupBy("id", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    on = F.col("row")[id_col].eqNullSafe(F.col("id")) & (word_count(F.col("row")[text_col]) == F.col("size"))
-    each = tagged.join(copies, on).withColumn("copies", F.greatest(F.lit(1), F.round(F.col("copies") / F.col("rows"))).cast("int"))
-    return each.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+    """The rows of ``docs`` that the mix takes, once for each pass that takes at least half of a row's words.
+
+    Rows are told apart by a digest of id, source and text.  Those that repeat
+    all three get the numbers of copies of their group, the largest first.
+    """
+    key = row_key(docs[id_col], docs[source_col], docs[text_col])
+    tagged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("row_key"))
+    share = _taken(docs, id_col, source_col, text_col, key).filter("size > 0").select("row_key", F.round(F.col("taken") / F.col("size")).alias("copies"))
+    passes = F.array(*[F.count_if(F.col("copies") >= p) for p in range(1, MAX_PASSES + 1)])
+    copies = share.groupBy("row_key").agg(F.count(F.lit(1)).alias("rows"), passes.alias("passes")).filter("passes[0] > 0")
+    each = tagged.join(copies, "row_key")
+    order = Window.partitionBy("row_key").orderBy(F.xxhash64(F.to_json("row")))
+    again = each.filter("rows > 1").withColumn("k", F.row_number().over(order))
+    each = each.filter("rows = 1").withColumn("k", F.lit(1)).unionByName(again)
+    return each.select("row", F.explode(F.filter("passes", lambda n: n >= F.col("k"))).alias("copy")).select("row.*")

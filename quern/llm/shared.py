@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(*columns: Column) -> Column:
+    """128 bits that tell rows apart by these columns; null differs from any value."""
+    parts = [F.coalesce(F.concat(F.octet_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in columns]
+    return F.unhex(F.md5(F.concat(*parts)))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """An eager reliable checkpoint, for the small tables of iterations."""
     shared_dir(df.sparkSession)

@@ -346,6 +346,30 @@ def test_near_stage_keeps_one_of_each(spark, documents):
     assert kept == sorted({c for _, _, c in _brute_groups(_texts(documents))})
 
 
+def test_stages_decide_by_row_where_ids_repeat(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base, "s"), (8, base + " end", "s"), (8, "a clean text of its own that no other row holds", "s"), (None, base + " last", "s"),
+            (None, " ".join(f"n{i}" for i in range(60)), "s"), (None, " ".join(f"n{i}" for i in range(60)) + " x", "s"),
+            (9, "equal rows of one id and text", "s"), (9, "equal rows of one id and text", "s"), (5, "", "s"), (None, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard_join.keep_one_of_each(docs).collect())
+    assert kept[1, base] == 1 and (8, base + " end") not in kept and (None, base + " last") not in kept
+    assert kept[8, rows[2][1]] == 1 and kept[9, rows[6][1]] == 1 and kept[5, ""] == 1 and kept[None, None] == 1
+    assert kept[None, rows[4][1]] + kept[None, rows[5][1]] == 1 and sum(kept.values()) == 6
+
+
+def test_mix_counts_rows_where_ids_repeat(spark):
+    # A third source of little weight takes a part of its rows, all of one id and one length.
+    rows = [(i, "b " * 16 + f"t{i}", s) for s in "ab" for i in range(400)] + [(7, " ".join(f"{x}" for x in range(k, k + 16)), "c") for k in range(400)] + [(7, "same " * 16, "c")] * 80
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(1).localCheckpoint()
+    want = Counter()
+    for r in mixing.mixture(docs).collect():
+        want[r["source"], r["doc_id"], r["size"]] += int(np.floor(r["taken"] / r["size"] + 0.5))
+    got = mixing.mixed_documents(docs).collect()
+    assert Counter((r["source"], r["doc_id"], len(r["text"].split())) for r in got) == +want
+    assert 0 < want["c", 7, 16] < 480
+
+
 def test_registered(spark):
     for n in range(1, 11):
         assert len([q for q in queries.QUERIES if q.startswith(f"op{n}_")]) == 1

@@ -51,7 +51,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    token_files.write_tokens(_table(spark, sf_dir, "documents"), path, *public_tokenizer("byte_bpe_50k.json"), end_id=2)
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), path, *public_tokenizer("byte_bpe_50k.json"), end_id=2, with_added=True)
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -11,11 +11,14 @@ ascending id order (null ids first, rows that repeat an id by their text's
 hash); a block has the coded ids, the documents' ids and lengths, and its start
 within the shard.  Spark's commit protocol makes them survive lost tasks.
 Null and empty texts are a document of the end id alone; an empty table gives
-no blocks and no rows.
+no blocks and no rows.  Where asked for, the tokenizer's added tokens in a text
+get their own ids, as the library has it by default; else they are plain text.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -110,14 +113,43 @@ def _encoder(tokenizer_path: str, pattern: str) -> UnitEncoder:
     return UnitEncoder(pattern, lambda pieces: [[t.id for t in model.tokenize(p)] for p in pieces])
 
 
+@lru_cache(maxsize=2)
+def _added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """Ids of the added tokens by content; those that need more than a plain match are an error, not another result."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        own = json.load(f)
+    for t in own["added_tokens"]:
+        if t["single_word"] or t["lstrip"] or t["rstrip"] or (t["normalized"] and own["normalizer"]):
+            raise ValueError(f"added token {t['content']!r} isn't matched as plain text")
+    return {t["content"]: t["id"] for t in own["added_tokens"] if t["content"]}
+
+
+def _encoded(own: UnitEncoder, texts: list[str | None], added: dict[str, int]) -> list[np.ndarray]:
+    """Ids of each text; ``added`` tokens are cut out before units are made, the leftmost and of these the longest first."""
+    some = [i for i, t in enumerate(texts) if t and any(x in t for x in added)]
+    if not some:
+        return own.encode(texts)
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
+    pieces = {i: cut(texts[i]) for i in some}
+    flat = [x for i, t in enumerate(texts) for x in (pieces[i][::2] if i in pieces else [t])]
+    found, out = iter(own.encode(flat)), []
+    for i in range(len(texts)):
+        if i not in pieces:
+            out.append(next(found))
+        else:
+            out.append(np.concatenate([np.array([added[x]], "<u4") if k % 2 else next(found) for k, x in enumerate(pieces[i])]))
+    return out
+
+
 _BLOCKS = "shard int, block int, shard_start long, n_tokens long, doc_ids array<long>, lengths array<long>, codes binary"
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_added: bool = False
 ) -> None:
     """Writes the ids of all texts, each with the end id behind it, in ascending order of document ids."""
     bounded_batches(docs.sparkSession)
+    added = _added_tokens(tokenizer_path) if with_added else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, shard = _encoder(tokenizer_path, pattern), TaskContext.get().partitionId()
@@ -136,7 +168,7 @@ def write_tokens(
         for batch in batches:
             texts, docs_here = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             for a, b in parts(texts):
-                for doc, found in zip(docs_here[a:b], own.encode(texts[a:b]), strict=True):
+                for doc, found in zip(docs_here[a:b], _encoded(own, texts[a:b], added), strict=True):
                     names.append(doc)
                     ids += [found, end]
                     held += len(found) + 1

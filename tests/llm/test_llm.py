@@ -88,6 +88,20 @@ def test_token_files_equal_tokenizers(spark, odd, documents, tmp_path):
         assert got == want
 
 
+def test_op5_gives_added_tokens_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PT.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y\n", "it's <|endoftext| > plain", "", None, "word's  <|endoftext|>\n\n next"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries.op5_token_files(spark, str(tmp_path)).collect()}
+    want, start = {}, 0
+    for i, x in enumerate(texts):
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
+        want[i], start = (start, len(ids), zlib.crc32(ids.tobytes())), start + len(ids)
+    assert got == want
+
+
 def _brute_groups(rows):
     def key(i, text):
         w = (text or "").encode().lower().split()

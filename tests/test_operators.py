@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import claims, cleaning, terms
 from quern.operators import audit, chunking, evaluation, evidence, lexical, ranking
+from quern.plans import retrieval
 from quern.sources import folders, payloads, sinks
 from quern.streaming import refresh
 
@@ -236,3 +237,22 @@ def test_folder_source(spark, tmp_path):
         (tmp_path / "d" / name).write_text(text)
     got = {r["base"]: (r["kind"], r["text"]) for r in folders.folder_documents(spark, str(tmp_path)).collect()}
     assert got == {"a": ("pdf", None), "b": ("md", "two")}
+
+
+def test_vector_topk_takes_every_twentieth_row(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 3, [float(x) for x in rng.normal(size=8).astype(np.float32)]) for i in range(90)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    x = np.array([v for *_, v in rows])
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    want = {}
+    for q in range(0, 90, 20):
+        score = np.round(x @ x[q], 6)
+        best = [i for t in range(3) for i in sorted(range(t, 90, 3), key=lambda i: (-score[i], i))[:5]]
+        want[q] = sorted(best, key=lambda i: (-score[i], i % 3, i))
+    got: dict = {}
+    for r in sorted(retrieval.vector_topk_balanced_all(spark, str(tmp_path)).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    assert got == want

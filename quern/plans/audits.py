@@ -296,6 +296,35 @@ def document_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(hits, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("sources", F.lit("")).alias("sources"), F.when(F.col("documents") > 0, "TEXT").otherwise("NONE").alias("presence"))
 
 
+def document_presence_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole passages against whole documents: the documents that hold a passage anywhere, with their sources, and the best class.
+
+    EXACT: a document's title is the passage, white space aside; CANONICAL: they are equal without a leading parenthesis and by the
+    alias; TEXT: a document holds the passage; NONE.  A passage of five words
+    or more has its second to fourth word whole in any document that holds it, so documents meet it by a hash of three words at each
+    position; shorter passages meet all documents.  contains() on the whole passage decides.
+    """
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")).withColumn("w", F.split("passage", r"\s+"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    long_one = F.size("w") >= 5
+    keys = asked.filter(long_one).select("item_id", F.xxhash64(F.col("w")[1], F.col("w")[2], F.col("w")[3]).alias("key"))
+    words = docs.select("doc_id", F.split("text", r"\s+").alias("w")).filter(F.size("w") >= 3)
+    at = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
+    met = words.select("doc_id", F.explode(F.array_distinct(at)).alias("key")).join(keys, "key").select("item_id", "doc_id").distinct()
+    near = met.join(docs, "doc_id").join(asked.select("item_id", "passage"), "item_id")
+    short = docs.crossJoin(asked.filter(~long_one).select("item_id", "passage"))
+    held = near.unionByName(short.select(*near.columns)).filter(F.contains("text", "passage")).select("item_id", "doc_id", "source", F.lit(0).alias("kind"))
+    plain = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    bare = F.regexp_replace("plain", r"^\([^()\r\n]{1,80}\)\s*", "")
+    canonical = F.when(bare == "국가계약법 시행령", "국가를 당사자로 하는 계약에 관한 법률 시행령").otherwise(bare).alias("canonical")
+    titles = docs.select("doc_id", "source", plain(F.split("text", "\n")[0]).alias("plain")).select("doc_id", "source", F.col("plain").alias("title"), canonical)
+    named = asked.select("item_id", plain(F.col("passage")).alias("plain")).select("item_id", "plain", canonical).filter("canonical <> ''").join(titles, "canonical")
+    found = held.unionByName(named.select("item_id", "doc_id", "source", F.when(F.col("plain") == F.col("title"), 2).otherwise(1).alias("kind")))
+    hits = found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"), F.max("kind").alias("kind"))
+    presence = F.when(F.col("kind") == 2, "EXACT").when(F.col("kind") == 1, "CANONICAL").when(F.col("kind") == 0, "TEXT").otherwise("NONE")
+    return asked.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("sources", F.lit("")).alias("sources"), presence.alias("presence"))
+
+
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in turns over sources: every source's first, then every source's second, and so on."""
     each = Window.partitionBy("source").orderBy("doc_id")
@@ -358,7 +387,7 @@ QUERIES = {
         batch_job_aggregate, status_totals, stale_submissions, chunk_length_profile, parent_projection, child_order, rechunk_candidates, duplicate_hash_groups,
         duplicate_noise, metadata_gaps, metadata_repair, failure_candidates, failure_classification, integrity_causes, integrity_counts, repair_preview, stale_points,
         keyset_page, short_chunk_classes, quality_gate, contained_short_duplicates, dedup_plan, preferred_files, content_fingerprint, index_revision, html_visible_text,
-        asset_links, source_health, source_buckets, canonical_keys, document_presence, round_robin, upsert_documents, insert_ignore_documents, replace_chunks,
+        asset_links, source_health, source_buckets, canonical_keys, document_presence, document_presence_whole, round_robin, upsert_documents, insert_ignore_documents, replace_chunks,
         manifest_diff, pass_regressions, longest_chunks, latest_state, star_revenue,
     )
 }

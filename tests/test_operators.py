@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import claims, cleaning, terms
 from quern.operators import audit, chunking, evaluation, evidence, lexical, ranking
-from quern.plans import retrieval
+from quern.plans import audits, retrieval
 from quern.sources import folders, payloads, sinks
 from quern.streaming import refresh
 
@@ -256,3 +256,22 @@ def test_vector_topk_takes_every_twentieth_row(spark, tmp_path):
     for r in sorted(retrieval.vector_topk_balanced_all(spark, str(tmp_path)).collect(), key=lambda r: (r["query_id"], r["rank"])):
         got.setdefault(r["query_id"], []).append(r["chunk_id"])
     assert got == want
+
+
+def test_presence_finds_whole_passages_only(spark, tmp_path):
+    long_one = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    asked = [(1, long_one), (2, long_one + " and another end"), (3, "of two"), (4, "no such words stand in any text"), (5, "A title of its own here"), (6, "rt of the words within a lin"), (7, "(old) Rules of the house")]
+    docs = [(1, "a", f"t\nbefore {long_one} behind"), (2, "b", f"{long_one} and other end"), (3, "c", "x\npart of two"), (4, "d", "A  title of its own here\nbody"), (5, "a", "part of the words within a line"), (6, "e", "(new) Rules of the  house\nbody")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["item_id"]: (r["documents"], r["sources"], r["presence"]) for r in audits.document_presence_whole(spark, str(tmp_path)).collect()}
+    assert got == {1: (2, "a,b", "TEXT"), 2: (0, "", "NONE"), 3: (1, "c", "TEXT"), 4: (0, "", "NONE"), 5: (1, "d", "EXACT"), 6: (1, "a", "TEXT"), 7: (1, "e", "CANONICAL")}
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_presence_counts_all_documents_that_contain_a_passage(spark, size):
+    import duckdb
+
+    at = f"/root/testdata/{size}"
+    want = duckdb.connect().execute(f"select item_id, count(distinct doc_id) from '{at}/benchmark.parquet' b left join '{at}/documents.parquet' d on contains(d.text, b.text) group by 1").fetchall()
+    assert {(r["item_id"], r["documents"]) for r in audits.document_presence_whole(spark, at).collect()} == set(want)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.pretokens import UnitEncoder, byte_alphabet, parts
+from quern.llm.pretokens import UnitEncoder, byte_alphabet, column_parts
 from quern.llm.shared import bounded_batches
 
 
@@ -74,7 +74,7 @@ class Codec:
     def _pieces(self, pieces: list[str]) -> list[list[int]]:
         return [[i - 1 for i in ids] for ids in self.model.encode(pieces, num_threads=1)]
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         return self.units.encode(texts)
 
     def decode(self, ids) -> bytes:
@@ -99,9 +99,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in parts(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], _arrays(own.encode(texts[a:b]))], ["doc_id", "ids"])
+            for a, b in column_parts(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], _arrays(own.encode(batch.column(1)[a:b]))], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -127,9 +126,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in parts(texts):
-                ids = own.encode(texts[a:b])
+            for a, b in column_parts(batch.column(1)):
+                ids = own.encode(batch.column(1)[a:b])
                 back = pa.array([own.decode(x) for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], _arrays(ids), back], ["doc_id", "ids", "decoded"])
 

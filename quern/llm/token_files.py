@@ -26,16 +26,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.pretokens import UnitEncoder, parts
+from quern.llm.pretokens import UnitEncoder, column_parts
 from quern.llm.shared import bounded_batches
 
 _MAGIC = b"DAC1"
 _RANK_BYTES = 64
 BLOCK_TOKENS = 1 << 18
+#: Units that a worker keeps the ids of, about 200 bytes each.
+MEMO = 1_000_000
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -110,7 +113,7 @@ def _encoder(tokenizer_path: str, pattern: str) -> UnitEncoder:
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(tokenizer_path).model
-    return UnitEncoder(pattern, lambda pieces: [[t.id for t in model.tokenize(p)] for p in pieces])
+    return UnitEncoder(pattern, lambda pieces: [[t.id for t in model.tokenize(p)] for p in pieces], MEMO)
 
 
 @lru_cache(maxsize=2)
@@ -124,20 +127,15 @@ def _added_tokens(tokenizer_path: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in own["added_tokens"] if t["content"]}
 
 
-def _encoded(own: UnitEncoder, texts: list[str | None], added: dict[str, int]) -> list[np.ndarray]:
+def _encoded(own: UnitEncoder, texts: pa.Array, added: dict[str, int]) -> list[np.ndarray]:
     """Ids of each text; ``added`` tokens are cut out before units are made, the leftmost and of these the longest first."""
-    some = [i for i, t in enumerate(texts) if t and any(x in t for x in added)]
-    if not some:
+    if not any(pc.any(pc.match_substring(texts, x)).as_py() for x in added):
         return own.encode(texts)
     cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
-    pieces = {i: cut(texts[i]) for i in some}
-    flat = [x for i, t in enumerate(texts) for x in (pieces[i][::2] if i in pieces else [t])]
-    found, out = iter(own.encode(flat)), []
-    for i in range(len(texts)):
-        if i not in pieces:
-            out.append(next(found))
-        else:
-            out.append(np.concatenate([np.array([added[x]], "<u4") if k % 2 else next(found) for k, x in enumerate(pieces[i])]))
+    pieces = [cut(t or "") for t in texts.to_pylist()]
+    found, out = iter(own.encode([x for p in pieces for x in p[::2]])), []
+    for p in pieces:
+        out.append(np.concatenate([np.array([added[x]], "<u4") if k % 2 else next(found) for k, x in enumerate(p)]))
     return out
 
 
@@ -166,8 +164,8 @@ def write_tokens(
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _BLOCKS.split(", ")])
 
         for batch in batches:
-            texts, docs_here = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for a, b in parts(texts):
+            texts, docs_here = batch.column(1), batch.column(0).to_pylist()
+            for a, b in column_parts(texts):
                 for doc, found in zip(docs_here[a:b], _encoded(own, texts[a:b], added), strict=True):
                     names.append(doc)
                     ids += [found, end]
@@ -213,3 +211,42 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     )
     # One row for each partition that was written, as many as spark.sql.shuffle.partitions: small enough to broadcast.
     return found.join(F.broadcast(per_shard), "shard").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids")
+
+
+def tokens_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(doc_id, at, token): the ``at``-th id (from 0) of each wanted document (doc_id, at), read in place without decoding its block.
+
+    Unknown documents and places beyond a document's end give no row; null ids
+    aren't found; a document id written twice gives a row for each; repeated
+    wishes are answered each.
+    """
+
+    def directory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, block, names, lengths in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                first = np.cumsum([0, *lengths[:-1]], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard] * len(names), pa.int32()), pa.array([block] * len(names), pa.int32()), pa.array(names, pa.int64()), pa.array(first), pa.array(lengths, pa.int64())],
+                    ["shard", "block", "doc_id", "first", "n"],
+                )
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = None
+        for batch in batches:
+            rows: tuple[list, list, list] = ([], [], [])
+            for kind, doc, at, place, data in zip(*(batch.column(c).to_pylist() for c in range(2, 7)), strict=True):
+                if kind == 0:
+                    codes = Packed(data)
+                else:
+                    rows[0].append(doc), rows[1].append(at), rows[2].append(codes[place])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "at", "token"])
+
+    blocks = spark.read.parquet(path)
+    places = blocks.select("shard", "block", "doc_ids", "lengths").mapInArrow(directory, "shard int, block int, doc_id long, first long, n long")
+    asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("at").cast("long").alias("at")).join(places, "doc_id").filter("at >= 0 and at < n")
+    asked = asked.select("shard", "block", F.lit(1).alias("kind"), "doc_id", "at", (F.col("first") + F.col("at")).alias("place"), F.lit(None).cast("binary").alias("codes"))
+    nothing = [F.lit(None).cast("long").alias(c) for c in ("doc_id", "at", "place")]
+    held = blocks.join(asked.select("shard", "block").distinct(), ["shard", "block"], "left_semi").select("shard", "block", F.lit(0).alias("kind"), *nothing, "codes")
+    # A block comes before the places asked of it, which stream past: one block is held at a time.
+    both = held.unionByName(asked).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind")
+    return both.mapInArrow(read, "doc_id long, at long, token long")

@@ -3,15 +3,45 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.shared import written
 
-def sampled_labels(labels: DataFrame, label: str, most: int, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, label) of at most ``most`` rows of each class, the first by hash of the id; null ids and labels are left out."""
-    rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
-    first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= most).select("doc_id", "label")
+
+#: Hashes are compared with a share of this range.
+RANGE = 1 << 30
+
+
+def within(key: Column, share: Column | float) -> Column:
+    """Whether the hash of ``key`` lies in the first ``share`` of its range: the same rows on every run."""
+    return F.pmod(F.xxhash64(key, F.lit(RANGE)), F.lit(RANGE)) < share * F.lit(float(RANGE))
+
+
+def _shares(rows: DataFrame, most: int) -> Column:
+    """Per label the share of ``rows`` that leaves about ``most``; two counts reach the driver."""
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    share = F.lit(1.0)
+    for label in (0, 1):
+        share = F.when(F.col("label") == label, min(1.0, most / max(1, counts.get(label, 0)))).otherwise(share)
+    return share
+
+
+def sampled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(label, text, h) of distinct labelled texts, about ``most`` of each class (less than its square root more or less), in the shared folder.
+
+    Ids are chosen by a bound on their hash, which counts per class set, so no
+    class is ordered or gathered; where ids repeat, texts are chosen again in
+    the same way.  Null ids, labels and texts are left out; equal texts of a
+    class count once.
+    """
+    rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").distinct()
+    chosen = rows.filter(within(F.col("doc_id"), _shares(rows, most)))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    # About 2 * most rows: small enough to broadcast.
+    found = texts.join(F.broadcast(chosen), "doc_id").select("label", "text", F.xxhash64("text").alias("h"))
+    found = written(found.dropDuplicates(["label", "h"]), "labelled")
+    return found.filter(within(F.col("h"), _shares(found, most)))
 
 
 class Logistic:

@@ -8,8 +8,8 @@ from the spread between groups.  A document's odds are those of its own
 evidence times those of its path, its own share taken out of the path first.
 
 Hosts are ``source`` and paths ``lang`` within it unless other columns are
-named; nulls are a group of their own.  The classifier is fitted on at most
-``SAMPLE`` labelled rows of each class; the groups' statistics cover all rows.
+named; nulls are a group of their own.  The classifier is fitted on about
+``SAMPLE`` labelled texts of each class; the groups' statistics cover all rows.
 Null and empty texts have no evidence of quality: they are rejected.  Without
 labels of both classes the classifier gives the smoothed share of the one.
 """
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.fitting import Logistic, sampled_labels
+from quern.llm.fitting import Logistic, sampled_texts
 from quern.llm.shared import bounded_batches, written
 
 SAMPLE = 4000
@@ -49,9 +49,7 @@ def features(text: str | None) -> list[float]:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Logistic:
     bounded_batches(docs.sparkSession)
-    chosen = sampled_labels(labels, label, SAMPLE, id_col)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("label", "text")
+    sample = sampled_texts(docs, labels, label, SAMPLE, id_col, text_col).select("label", "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +142,12 @@ def judge(
 def keep_good(
     docs: DataFrame, model: Logistic, text_col: str = "text", host_col: str = "source", path_col: str = "lang"
 ) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns; only (host, path, evidence) is gathered for the groups."""
+    """The rows of ``docs`` that are kept, with their columns.
+
+    Rows are written once with their evidence, so that the classifier, far
+    dearer than a read, sees each text once; only (host, path, evidence) is
+    gathered for the groups, and no row is shuffled.
+    """
     bounded_batches(docs.sparkSession)
     rows = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[host_col].cast("string").alias("host"),

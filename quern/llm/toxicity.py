@@ -1,75 +1,90 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries: one of ordinary text, one of the same with toxic
-text in front.  A window of a toxic text compresses better with the second.
-The differences over a text's windows give a few features (how many windows
-gain two, three or four bytes, and their share), whose thresholds are
-calibrated by logistic regression on labelled texts that the dictionaries have
-not seen.
-
-The toxic part is the vocabulary over-represented in toxic training texts, the
-ordinary part the commonest words of the others: with dictionaries trained on
-plain samples the common syllables fill both and hide the difference.
-
-Fitted on at most ``SAMPLE`` labelled rows of each class.  Null and empty texts
-have one empty window and get the score of a text without any gain.  Texts of
-any length are read whole.
+Two zstandard dictionaries are trained apart, one on windows of ordinary text
+and one on windows of toxic text.  A window is compressed with the ordinary
+dictionary and again with the toxic one in front of it; what the second saves
+is the window's gain.  A text's features are how many windows gain so many
+bytes, and their share, for a few thresholds, which are calibrated by logistic
+regression on labelled texts that the dictionaries have not seen.
+
+Most windows of a toxic text are ordinary, so plain training fills both
+dictionaries with the same common syllables.  Training therefore goes in
+``ROUNDS``: the toxic dictionary is trained on the windows of toxic texts that
+gain most (at first: that the ordinary one compresses worst), the ordinary one
+on a base and on the ordinary windows that gained most although they should not.
+
+Fitted on about ``SAMPLE`` labelled texts of each class and about so many of
+their windows as ``TOXIC_WINDOWS`` and ``ORDINARY_WINDOWS`` say, both chosen by
+hash; windows are at most ``WINDOW_CHARS`` characters, so what reaches the
+driver is bounded.  Null and empty texts have one empty window and get the score
+of a text without any gain.  Texts of any length are read whole.  Without
+labels of both classes the score is the smoothed share of the one.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.fitting import Logistic, sampled_labels
+from quern.llm.fitting import Logistic, sampled_texts
 from quern.llm.shared import bounded_batches
 
 SAMPLE = 4000
-WINDOW_WORDS = 12
+TOXIC_WINDOWS, ORDINARY_WINDOWS = 150_000, 220_000
+WINDOW_WORDS = 4
 WINDOW_CHARS = 400
-TOXIC_BYTES, ORDINARY_BYTES = 8192, 24000
-LEAST_DOCS, LEAST_ODDS = 3, 2.5
+TOXIC_BYTES, ORDINARY_BYTES = 8 << 10, 128 << 10
+#: Sizes of the segments that training picks for the two dictionaries, and of the substrings it counts.
+TOXIC_SEGMENT, ORDINARY_SEGMENT, COUNTED = 24, 64, 8
+ROUNDS = 3
+#: Share of the windows that the next round is trained on, and the least number of them.
+HARDEST, LEAST = 0.03, 1000
+#: In the first round windows count by how far they stay above this rate of compression.
+EXPECTED_RATE = 0.55
+BASE_WINDOWS = 20_000
 #: Of ten sampled texts, so many make the dictionaries; the others calibrate.
 FOR_DICTIONARIES = 6
-_EDGES = ".,;:!?\"'()[]|*&#$%"
+THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
 
 
 def windows(text: str | None) -> Iterator[bytes]:
     words = (text or "").lower().split()
     for a in range(0, len(words), WINDOW_WORDS):
         own = " ".join(words[a : a + WINDOW_WORDS])
-        if len(own) <= WINDOW_CHARS:
-            yield f" {own}".encode()
-        else:
-            for b in range(0, len(own), WINDOW_CHARS):
-                yield f" {own[b : b + WINDOW_CHARS]}".encode()
+        for b in range(0, len(own), WINDOW_CHARS):
+            yield f" {own[b : b + WINDOW_CHARS]}".encode()
 
 
 @lru_cache(maxsize=4)
 def _compressor(content: bytes):
     import zstandard
 
+    # As raw content, so that a window's length depends on what the dictionary holds and not on its entropy tables.
     own = zstandard.ZstdCompressionDict(content or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     how = zstandard.ZstdCompressionParameters(
-        window_log=16, hash_log=14, chain_log=14, search_log=5, min_match=4, target_length=16, strategy=zstandard.STRATEGY_BTLAZY2,
+        window_log=18, hash_log=17, chain_log=19, search_log=6, min_match=4, target_length=16, strategy=zstandard.STRATEGY_BTLAZY2,
         write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     return zstandard.ZstdCompressor(dict_data=own, compression_params=how).compress
 
 
+def gains(of: list[bytes], toxic: bytes, ordinary: bytes) -> np.ndarray:
+    """Bytes that each window saves when the toxic dictionary comes before the ordinary one."""
+    with_toxic, without = _compressor(toxic + ordinary), _compressor(ordinary)
+    return np.array([len(without(w)) - len(with_toxic(w)) for w in of] or [0])
+
+
 def features(text: str | None, toxic: bytes, ordinary: bytes) -> list[float]:
-    with_toxic, without = _compressor(toxic + b" " + ordinary), _compressor(ordinary)
-    gain = np.array([len(without(w)) - len(with_toxic(w)) for w in windows(text)] or [0])
+    gain = gains(list(windows(text)), toxic, ordinary)
     n = len(gain)
     out = [float(np.log1p(n)), float(gain.max()), float(np.log1p(np.maximum(gain - 1, 0).sum()))]
-    for least in (1, 2, 3, 4, 6):
+    for least in THRESHOLDS:
         k = np.count_nonzero(gain >= least)
         out += [float(np.log1p(k)), float(np.sqrt(k / n))]
     return out
@@ -83,39 +98,71 @@ class Model:
         return self.logistic.predict(np.array([features(t, self.toxic, self.ordinary) for t in texts]).reshape(len(texts), -1)) if texts else np.empty(0)
 
 
-def _dictionaries(counts: pd.DataFrame, docs: dict[int, int]) -> tuple[bytes, bytes]:
-    table = counts.pivot_table(index="word", columns="label", values="docs", fill_value=0).reindex(columns=[0, 1], fill_value=0)
-    odds = np.log(((table[1] + 0.5) / (docs.get(1, 0) + 1)) / ((table[0] + 0.5) / (docs.get(0, 0) + 1)))
-    marks = (table[1] >= LEAST_DOCS) & (odds > LEAST_ODDS) & (table.index.str.len() > 3)
-    by_weight = (table[1] * odds)[marks].reset_index(name="w").sort_values(["w", "word"])["word"]
-    common = table[0][~marks & (table.index.str.len() > 2)].reset_index(name="n").sort_values(["n", "word"])["word"]
-    return " ".join(by_weight).encode()[-TOXIC_BYTES:], " ".join(common.tail(8000)).encode()[-ORDINARY_BYTES:]
+def _trained(of: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary trained on windows; of too few windows for that, their own bytes."""
+    import zstandard
 
+    if sum(map(len, of)) > 4 * size:
+        try:
+            return zstandard.train_dictionary(size, of, k=segment, d=COUNTED).as_bytes()
+        except zstandard.ZstdError:  # windows without anything that repeats
+            pass
+    return b"".join(of)[-size:]
+
+
+def _hardest(of: list[bytes], by: np.ndarray) -> list[bytes]:
+    n = min(len(of), max(LEAST, int(len(of) * HARDEST)))
+    cut = np.sort(by)[-n] if n else 0
+    return [w for w, x in zip(of, by, strict=True) if x >= cut]
+
+
+def dictionaries(toxic_windows: list[bytes], ordinary_windows: list[bytes]) -> tuple[bytes, bytes]:
+    """(toxic, ordinary) dictionaries; a third of the ordinary windows is kept for finding false gains."""
+    if not toxic_windows:
+        return b"", _trained(ordinary_windows, ORDINARY_BYTES, ORDINARY_SEGMENT)
+    cut = len(ordinary_windows) * 2 // 3
+    base, checked = ordinary_windows[:cut], ordinary_windows[cut:]
+    ordinary = _trained(base, ORDINARY_BYTES, ORDINARY_SEGMENT)
+    toxic = _trained(toxic_windows, TOXIC_BYTES, TOXIC_SEGMENT)
+    for i in range(ROUNDS):
+        if i:
+            by = gains(toxic_windows, toxic, ordinary)
+        else:
+            with_ordinary = _compressor(ordinary)
+            by = np.array([len(with_ordinary(w)) - EXPECTED_RATE * len(w) for w in toxic_windows])
+        hard = _hardest(toxic_windows, by)
+        false = _hardest(checked, gains(checked, toxic, ordinary)) if checked else []
+        ordinary = _trained(base[:BASE_WINDOWS] + 2 * false, ORDINARY_BYTES, ORDINARY_SEGMENT)
+        toxic = _trained(hard, TOXIC_BYTES, TOXIC_SEGMENT)
+    return toxic, ordinary
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Dictionaries and calibration from a bounded sample, joined by broadcast to the texts."""
-    bounded_batches(docs.sparkSession)
-    chosen = sampled_labels(labels, label, SAMPLE, id_col)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("label", "text", F.pmod(F.xxhash64("text"), F.lit(10)).alias("part"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+def _sampled_windows(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
+    """(toxic, ordinary) windows of (label, text): those whose hash lies below a bound that their number sets, in the order of their hashes."""
+    words = F.regexp_count("text", F.lit(r"\S+"))
+    counts = {r["label"]: r["n"] or 1 for r in sample.groupBy("label").agg(F.sum(F.ceil(words / WINDOW_WORDS)).alias("n")).collect()}
+    bound = {label: int(min(1.0, most / max(1, counts.get(label, 1))) * (1 << 32)) for label, most in ((0, ORDINARY_WINDOWS), (1, TOXIC_WINDOWS))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for label_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.update({(label_, w.strip(_EDGES)) for w in text.lower().split()})
-                found[label_, ""] += 1
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys]), pa.array([found[k] for k in keys], pa.int64())],
-            ["label", "word", "docs"],
-        )
-
-    words = sample.filter(F.col("part") < FOR_DICTIONARIES).select("label", "text").mapInArrow(count, "label int, word string, docs long")
-    words = words.groupBy("label", "word").agg(F.sum("docs").alias("docs")).filter((F.col("docs") >= LEAST_DOCS) | (F.col("word") == ""))
-    counts = words.toPandas()
-    sizes = dict(zip(counts["label"][counts["word"] == ""], counts["docs"][counts["word"] == ""], strict=True))
-    toxic, ordinary = _dictionaries(counts[counts["word"] != ""], sizes)
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                # The text is hashed along, so that a common window isn't taken or left out everywhere at once.
+                own, most = list(windows(text)), bound[label]
+                seed = zlib.crc32(b"".join(own))
+                kept = [(h, w) for w in own if (h := zlib.crc32(w, seed)) < most]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([label] * len(kept), pa.int32()), pa.array([h for h, _ in kept], pa.int64()), pa.array([w for _, w in kept], pa.binary())], ["label", "h", "w"]
+                )
+
+    found = sample.mapInArrow(run, "label int, h long, w binary").toPandas().sort_values(["h", "w"])
+    return found["w"][found["label"] == 1].tolist(), found["w"][found["label"] == 0].tolist()
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Dictionaries and calibration from bounded samples."""
+    bounded_batches(docs.sparkSession)
+    sample = sampled_texts(docs, labels, label, SAMPLE, id_col, text_col).withColumn("part", F.pmod("h", F.lit(10)))
+    toxic, ordinary = dictionaries(*_sampled_windows(sample.filter(F.col("part") < FOR_DICTIONARIES).select("label", "text")))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,8 +170,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
 
     seen = sample.filter(F.col("part") >= FOR_DICTIONARIES).select("label", "text").mapInArrow(measure, "label int, x array<double>").toPandas()
-    width = len(features("", toxic, ordinary))
-    x = np.array(seen["x"].tolist()).reshape(-1, width)
+    x = np.array(seen["x"].tolist()).reshape(-1, len(features("", toxic, ordinary)))
     return Model(toxic, ordinary, Logistic.fit(x, seen["label"].to_numpy(float)))
 
 

@@ -153,5 +153,6 @@ def keep_good(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[host_col].cast("string").alias("host"),
         docs[path_col].cast("string").alias("path"), evidence(docs[text_col], model).alias("p"),
     )
+    rows = written(rows, "evidence")
     sites, mean = site_posteriors(rows.select("host", "path", "p"))
     return _decided(rows, sites, mean).filter(F.col("score") >= KEEP_FROM).select("row.*")

@@ -5,9 +5,10 @@ each language, so the AND of an n-gram's cells names all languages that contain
 it.  A language's share of a text's n-grams, less what its filter's false
 positives would give, is its evidence; the largest decides.
 
-Filters are learned from a sample of ``SAMPLE`` labelled texts of each language
-at most, the first by hash of the text; predictions use nothing but the text.
-A null text, or one without letters, is ``und`` with score 0.  A text whose
+Filters are learned from about ``SAMPLE`` distinct labelled texts of each
+language, chosen by a bound on their hash that the number of distinct texts
+sets, so that no language is gathered or ordered and a text's copies count
+once; predictions use nothing but the text.  A null text, or one without letters, is ``und`` with score 0.  A text whose
 n-grams no filter knows gets the first learned language with score 0.  Ties go
 to the first language in code point order.  Without labelled rows every text
 is ``und``.  Texts of any length are read whole, a megabyte at a time.
@@ -15,15 +16,16 @@ is ``und``.  Texts of any length are read whole, a megabyte at a time.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import bounded_batches
+from quern.llm.fitting import within
+from quern.llm.shared import bounded_batches, written
 
 SAMPLE = 1500
 #: N-grams kept of a language: those in this share of its sampled texts at least.
@@ -32,7 +34,7 @@ CELLS = 1 << 18
 HASHES = (0x9E3779B1, 0x85EBCA77)
 PIECE = 1 << 20
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _BLANKS = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 
 
@@ -84,9 +86,11 @@ class Filters:
 def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Filters:
     """Filters from rows with a language; what reaches the driver is the n-grams common in a bounded sample."""
     bounded_batches(labelled.sparkSession)
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).select("lang", "text")
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).filter("lang is not null and text is not null")
+    # One row a language; the filters of all languages, 32 KB each, are held by the driver anyway.
+    shares = rows.groupBy("lang").agg((F.lit(float(SAMPLE)) / F.approx_count_distinct("h", 0.02)).alias("share"))
+    sample = rows.join(F.broadcast(shares), "lang").filter(within(F.col("h"), F.col("share")))
+    sample = sample.dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
@@ -103,9 +107,9 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -
                 ["lang", "gram", "docs"],
             )
 
-    counts = sample.mapInArrow(count, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
-    of_all = F.max(F.when(F.col("gram") == -1, F.col("docs"))).over(Window.partitionBy("lang"))
-    kept = counts.withColumn("all", of_all).filter((F.col("gram") >= 0) & (F.col("docs") >= F.greatest(F.lit(1), F.col("all") * COMMON)))
+    counts = written(sample.mapInArrow(count, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs")), "grams")
+    texts = counts.filter("gram = -1").select("lang", F.col("docs").alias("all"))
+    kept = counts.filter("gram >= 0").join(F.broadcast(texts), "lang").filter(F.col("docs") >= F.greatest(F.lit(1), F.col("all") * COMMON))
     table = kept.select("lang", "gram").toPandas()
     return Filters({str(lang): group["gram"].to_numpy() for lang, group in table.groupby("lang")})
 

@@ -8,11 +8,15 @@ for, or all; entries of visited cells are reranked by the exact measure in
 double precision.
 
 Codebooks are fitted on at most ``SAMPLE`` vectors, the first by hash of the id;
-every vector is indexed.  Lists of a first-half centroid are dealt in parts of
-about ``PART`` entries; a query reads all parts, so crowded cells are whole.  A
-cell counts toward the share as at most ``CROWD`` mean cells, so that one
+every vector is indexed.  The share is calibrated on the same sample: the least
+that finds ``RECALL`` of the true neighbours of ``TRIALS`` of its vectors among
+it.  A cell counts toward the share as at most ``CROWD`` mean cells, so that one
 crowded cell doesn't use it up.  With vectors in clusters a small share
-suffices; those that fill their space evenly need much of the index.
+suffices; those that fill their space evenly need much of the index.  Where
+more is wanted, ``share=1`` is exact.
+
+Lists of first-half centroids are put in bins of about ``PART`` entries, longer
+ones are dealt to several; a query goes to each bin that holds a cell it visits.
 
 Vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part.  Rows that repeat a query's id are never
@@ -34,7 +38,9 @@ from quern.llm.shared import written
 
 SAMPLE = 20_000
 STEPS = 12
-SHARE = 0.8
+RECALL, TRIALS = 0.96, 200
+#: Mean entries of a cell, and centroids of a half at most.
+CELL, CENTROIDS = 4, 256
 CROWD = 4
 PART = 8192
 
@@ -69,7 +75,7 @@ class Codebooks:
     def __init__(self, first: np.ndarray, second: np.ndarray):
         self.first, self.second, self.half = first, second, first.shape[1]
         self.weights = np.zeros((len(first), len(second)))
-        self.entries = self.weights
+        self.entries, self.share = self.weights, 1.0
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _nearest(x[:, : self.half], self.first), _nearest(x[:, self.half :], self.second)
@@ -78,7 +84,7 @@ class Codebooks:
         """Second-half centroids by first-half centroid of the cells that a query visits: its share, and ``least`` entries or all."""
         near, far = self.first @ q[: self.half], self.second @ q[self.half :]
         rows, columns = np.argsort(-near, kind="stable"), np.argsort(-far, kind="stable")
-        wanted, got, held, out = share * self.weights.sum(), 0.0, 0, {}
+        wanted, got, held, out = share * self.weights.sum() if share < 1 else np.inf, 0.0, 0, {}
         heap, reached = [(-(near[rows[0]] + far[columns[0]]), 0, 0)], {(0, 0)}
         while heap and (got < wanted or held < least):
             _, i, j = heapq.heappop(heap)
@@ -99,13 +105,43 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), len(flat) // max(1, len(column)))
 
 
-def build(vectors: DataFrame) -> tuple[DataFrame, Codebooks, dict[int, int]]:
-    """(index table (vec_id, vector, c1, c2), codebooks, entries by first-half centroid) of ``usable`` vectors."""
+def calibrated_share(x: np.ndarray, books: Codebooks, k: int = 20) -> float:
+    """The least share that finds ``RECALL`` of the k nearest of the first vectors among the others."""
+    c1, c2 = books.assign(x)
+    cell = c1 * books.weights.shape[1] + c2
+    total, needed = books.weights.sum(), []
+    for i, q in enumerate(x[:TRIALS]):
+        score = x @ q
+        score[i] = -np.inf
+        best = np.argsort(-score, kind="stable")[: min(k, len(x) - 1)]
+        order = np.argsort(-((books.first @ q[: books.half])[:, None] + (books.second @ q[books.half :])[None]), axis=None, kind="stable")
+        reached = np.empty(len(order))
+        reached[order] = np.cumsum(books.weights.ravel()[order])
+        needed.append(reached[cell[best]] / max(total, 1e-9))
+    every = np.sort(np.concatenate(needed)) if needed else np.empty(0)
+    return float(every[min(len(every) - 1, int(RECALL * len(every)))]) if len(every) else 1.0
+
+
+def _bins(entries: np.ndarray) -> dict[int, tuple[int, int]]:
+    """(first bin, number of bins) by first-half centroid: short lists share a bin, long ones are dealt to several."""
+    at, held, out = 0, 0, {}
+    for c, n in enumerate(entries.astype(int).tolist()):
+        if n:
+            parts = -(-n // PART)
+            if held and held + n > PART:
+                at, held = at + 1, 0
+            out[c] = (at, parts)
+            at, held = (at + parts, 0) if parts > 1 else (at, held + n)
+    return out
+
+
+def build(vectors: DataFrame) -> tuple[DataFrame, Codebooks]:
+    """(index table (vec_id, vector, c1, c2), codebooks) of ``usable`` vectors."""
     vectors = written(vectors, "vectors")
     n = vectors.count()
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["vector"]
     x = np.array(sample.tolist(), float).reshape(len(sample), len(sample.iloc[0]) if len(sample) else 0)
-    k = int(min(256, max(4, 2 ** round(np.log2(max(1, n / 50)) / 2))))
+    k = int(min(CENTROIDS, max(4, np.sqrt(n / CELL))))
     half = x.shape[1] // 2
     books = Codebooks(_kmeans(x[:, :half], k), _kmeans(x[:, half:], k)) if len(x) else Codebooks(np.zeros((1, 1)), np.zeros((1, 1)))
 
@@ -120,59 +156,64 @@ def build(vectors: DataFrame) -> tuple[DataFrame, Codebooks, dict[int, int]]:
     cells[counts["c1"], counts["c2"]] = counts["n"]
     books.entries = cells
     books.weights = np.minimum(cells, CROWD * cells[cells > 0].mean()) if len(counts) else cells
-    return index, books, {i: int(v) for i, v in enumerate(cells.sum(1)) if v}
+    books.share = calibrated_share(x, books) if len(x) else 1.0
+    return index, books
 
 
-def search(index: DataFrame, books: Codebooks, entries: dict[int, int], queries: DataFrame, k: int = 20, share: float = SHARE) -> DataFrame:
+def search(index: DataFrame, books: Codebooks, queries: DataFrame, k: int = 20, share: float | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query (vec_id, vector), ties to the smaller id."""
-    parts = {c: -(-n // PART) for c, n in entries.items()}
+    share = books.share if share is None else share
+    bins, width, cells = _bins(books.entries.sum(1)), len(books.second), books.entries.size
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
                 rows = batch.slice(a, 200)
-                at, c1, part, c2s = [], [], [], []
+                at, bin_, own = [], [], []
                 # A query's own rows, all that repeat its id, are no candidates.
                 for i, (q, same) in enumerate(zip(_matrix(rows.column(1)), rows.column(2).to_pylist(), strict=True)):
-                    for c, own in books.visits(q, share, k + same).items():
-                        for p in range(parts[c]):
-                            at.append(i), c1.append(c), part.append(p), c2s.append(own)
+                    visited: dict[int, list[int]] = {}
+                    for c, second in books.visits(q, share, k + same).items():
+                        first, parts = bins[c]
+                        for b in range(first, first + parts):
+                            visited.setdefault(b, []).extend(c * width + s for s in second)
+                    at += [i] * len(visited)
+                    bin_ += visited
+                    own += visited.values()
                 take = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c1, pa.int32()), pa.array(part, pa.int32()), pa.array([1] * len(at), pa.int32()), rows.column(0).take(take), pa.array(c2s, pa.list_(pa.int32())), rows.column(1).take(take)],
-                    ["c1", "part", "kind", "id", "c2s", "vector"],
+                    [pa.array(bin_, pa.int32()), pa.array([1] * len(at), pa.int32()), rows.column(0).take(take), pa.array(own, pa.list_(pa.int32())), rows.column(1).take(take)],
+                    ["bin", "kind", "id", "cells", "vector"],
                 )
 
-    kind = "c1 int, part int, kind int, id long, c2s array<int>, vector array<double>"
     same = index.groupBy("vec_id").agg(F.count(F.lit(1)).alias("same"))
     asked = queries.select("vec_id", "vector").join(same, "vec_id", "left").select("vec_id", "vector", F.coalesce("same", F.lit(0)).alias("same"))
-    asked = asked.mapInArrow(route, kind)
-    of_list = F.create_map(*[x for c, n in parts.items() for x in (F.lit(c), F.lit(n))]) if parts else F.create_map(F.lit(0), F.lit(1))
+    asked = asked.mapInArrow(route, "bin int, kind int, id long, cells array<int>, vector array<double>")
+    of_list = lambda j: F.create_map(*[x for c, v in (bins or {0: (0, 1)}).items() for x in (F.lit(c), F.lit(v[j]))])[F.col("c1")]
     held = index.select(
-        "c1", F.pmod(F.xxhash64("vec_id"), of_list[F.col("c1")]).cast("int").alias("part"), F.lit(0).alias("kind"),
-        F.col("vec_id").alias("id"), F.array("c2").alias("c2s"), "vector",
+        (of_list(0) + F.pmod(F.xxhash64("vec_id"), of_list(1))).cast("int").alias("bin"), F.lit(0).alias("kind"),
+        F.col("vec_id").alias("id"), F.array(F.col("c1") * width + F.col("c2")).alias("cells"), "vector",
     )
-    # Entries come first within (list, part): they are held, at most about PART of them, while the queries stream past.
-    both = held.unionByName(asked).repartition("c1", "part").sortWithinPartitions("c1", "part", "kind")
+    # Entries come first within a bin: they are held, at most about PART of them, while the queries stream past.
+    both = held.unionByName(asked).repartition("bin").sortWithinPartitions("bin", "kind")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, ids, cells, vectors = None, [], [], []
+        here, parts = None, []
         whole: tuple | None = None
         for batch in batches:
-            keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
-            kinds, names, x = batch.column(2).to_numpy(), batch.column(3).to_numpy(), _matrix(batch.column(5))
-            lists = batch.column(4)
-            cuts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1) | (kinds[1:] != kinds[:-1])) + 1
+            keys, kinds, names = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            lists, x = batch.column(3), _matrix(batch.column(4))
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1])) + 1
             for a, b in zip([0, *cuts], [*cuts, len(kinds)], strict=True):
-                if here != tuple(keys[a]):
-                    here, ids, cells, vectors, whole = tuple(keys[a]), [], [], [], None
+                if here != keys[a]:
+                    here, parts, whole = keys[a], [], None
                 if kinds[a] == 0:
-                    ids.append(names[a:b]), cells.append(lists[a:b].flatten().to_numpy()), vectors.append(x[a:b])
-                elif ids:
-                    whole = whole or (np.concatenate(ids), np.concatenate(cells), np.concatenate(vectors))
+                    parts.append((names[a:b], lists[a:b].flatten().to_numpy(), x[a:b]))
+                elif parts:
+                    whole = whole or tuple(map(np.concatenate, zip(*parts, strict=True)))
                     for s in range(a, b, 64):
                         e = min(b, s + 64)
-                        yield _best(names[s:e], x[s:e], lists[s:e], whole, len(books.second), k)
+                        yield _best(names[s:e], x[s:e], lists[s:e], whole, cells, k)
 
     found = both.mapInArrow(rerank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -180,13 +221,13 @@ def search(index: DataFrame, books: Codebooks, entries: dict[int, int], queries:
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _best(names: np.ndarray, queries: np.ndarray, lists: pa.Array, held: tuple, width: int, k: int) -> pa.RecordBatch:
-    """The k best entries of one part for each query; products of the shortlist are summed alike for all entries."""
+def _best(names: np.ndarray, queries: np.ndarray, lists: pa.Array, held: tuple, n_cells: int, k: int) -> pa.RecordBatch:
+    """The k best entries of one bin for each query; products of the shortlist are summed alike for all entries."""
     ids, cells, vectors = held
     rough = queries @ vectors.T
     out: tuple[list, list, list] = ([], [], [])
     for name, q, own, s in zip(names, queries, lists, rough, strict=True):
-        visited = np.zeros(width, bool)
+        visited = np.zeros(n_cells, bool)
         visited[own.values.to_numpy()] = True
         at = np.flatnonzero(visited[cells] & (ids != name))
         if len(at) > k:

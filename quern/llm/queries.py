@@ -35,8 +35,8 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, books, entries = neighbours.build(neighbours.usable(_table(spark, sf_dir, "embeddings")))
-    return neighbours.search(index, books, entries, index.filter("vec_id % 20 = 0"), k=20)
+    index, books = neighbours.build(neighbours.usable(_table(spark, sf_dir, "embeddings")))
+    return neighbours.search(index, books, index.filter("vec_id % 20 = 0"), k=20)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

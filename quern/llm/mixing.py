@@ -74,7 +74,7 @@ def mixed_stream(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     raw = written(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"),
-            F.monotonically_increasing_id().alias("row_no"), *([] if key_of_row is None else [key_of_row.alias("row_key")]),
+            F.xxhash64(text_col).alias("content"), F.monotonically_increasing_id().alias("row_no"), *([] if key_of_row is None else [key_of_row.alias("row_key")]),
         ),
         "sizes",
     )
@@ -82,14 +82,14 @@ def mixed_stream(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     total = sources.agg(F.sum("source_size"), F.sum("target")).first()
     words, wanted = int(total[0] or 0), float(total[1] or 0)
     block = block_words(words)
-    # The order of a source's documents is by hashes of id and row content, never by where a row happens to lie.
-    key = F.xxhash64("doc_id", "size", F.lit(seed))
+    # The order of a source's documents is by hashes of id and text; only rows that repeat both are told apart by where they lie.
+    key = F.xxhash64("doc_id", "content", F.lit(seed))
     placed = raw.join(sources.select("sid", F.col("source").alias("src"), "source_size"), F.col("source").eqNullSafe(F.col("src"))).drop("src")
     placed = placed.withColumn("key", key).withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(BUCKETS)))
     per_bucket = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     running = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = per_bucket.select("sid", "bucket", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "row_no").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "content", "row_no").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.filter("size > 0").withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(per_bucket, ["sid", "bucket"]).withColumn("a", F.col("base") + F.col("inside"))
     pieces = placed.select(
@@ -162,6 +162,10 @@ def _taken(docs: DataFrame, id_col: str, source_col: str, text_col: str, key_of_
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the mix takes, once for each pass that takes at least half of a row's words.
 
+    A source's blocks are taken in order, so all its documents are taken whole
+    but the one or two in which a pass ends: its words end within the length
+    of those of its target.
+
     Rows are told apart by a digest of id, source and text.  Those that repeat
     all three get the numbers of copies of their group, the largest first.
     """

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm import (
-    byte_bpe, chat_format, components, exact_dedup, jaccard_join, language_id, mixing, neighbours, quality, queries, token_files, toxicity,
+    byte_bpe, chat_format, components, exact_dedup, jaccard_join, language_id, mixing, neighbours, pretokens, quality, queries, token_files, toxicity,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -78,14 +78,29 @@ def test_token_files_equal_tokenizers(spark, odd, documents, tmp_path):
 
     t = Tokenizer.from_file(PT.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
-    for k, df in enumerate((odd.filter("doc_id is not null and text != 'Hello'"), documents, odd.limit(0))):
+    for k, df in enumerate((odd, odd.unionByName(odd), documents, odd.limit(0))):
         token_files.write_tokens(df, f"{tmp_path}/{k}", PT.path("byte_bpe_50k.json"), PT.PATTERN)
-        got = {r["doc_id"]: (r["start"], r["n_tokens"], zlib.crc32(r["ids"])) for r in token_files.read_tokens(spark, f"{tmp_path}/{k}").collect()}
-        want, start = {}, 0
-        for i, x in sorted(_texts(df)):
-            ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
-            want[i], start = (start, len(ids), zlib.crc32(ids.tobytes())), start + len(ids)
-        assert got == want
+        rows = sorted(token_files.read_tokens(spark, f"{tmp_path}/{k}").collect(), key=lambda r: r["start"])
+        got = [(r["doc_id"], r["n_tokens"], zlib.crc32(r["ids"])) for r in rows]
+        ids = [(i, np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")) for i, x in _texts(df)]
+        assert Counter(got) == Counter((i, len(x), zlib.crc32(x.tobytes())) for i, x in ids)
+        assert [r["start"] for r in rows] == [sum(r["n_tokens"] for r in rows[:n]) for n in range(len(rows))]
+        assert [i for i, *_ in got] == sorted((i for i, _ in ids), key=lambda i: (i is not None, i))
+        asked = [(i, at) for i, x in ids for at in {0, len(x) // 2, len(x) - 1, len(x), -1}]
+        wanted = spark.createDataFrame([*asked, (10**9, 0), (None, 0)], "doc_id long, at long")
+        found = Counter((r["doc_id"], r["at"], r["token"]) for r in token_files.tokens_at(spark, f"{tmp_path}/{k}", wanted).collect())
+        assert found == Counter((i, at, int(x[at])) for i, at in asked if i is not None for j, x in ids if i == j and 0 <= at < len(x))
+
+
+def test_units_survive_a_small_memo():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PT.path("byte_bpe_50k.json"))
+    own = pretokens.UnitEncoder(PT.PATTERN, lambda pieces: [[x.id for x in t.model.tokenize(p)] for p in pieces], memo=8)
+    texts = [x[1] for x in ODD if x[1] and len(x[1]) < 1000 and "<|" not in x[1]] * 3
+    for text in texts:
+        assert own.encode([text, None, text])[2].tolist() == t.encode(text, add_special_tokens=False).ids
+    assert len(own.memo) <= 12 and len(own.older) <= 12
 
 
 def test_op5_gives_added_tokens_their_ids(spark, tmp_path):
@@ -170,9 +185,9 @@ def test_neighbours_recall_and_scores(spark):
     bad = [(10_000, None), (10_020, [0.0] * 64), (10_040, [float("nan")] + [1.0] * 63), (10_060, [None] + [1.0] * 63), (10_080, [1.0])]
     same = [(20_000 + i, [0.5] * 64) for i in range(60)]
     df = vectors.unionByName(spark.createDataFrame(bad + same, "vec_id long, embedding array<float>"))
-    index, books, entries = neighbours.build(neighbours.usable(df))
+    index, books = neighbours.build(neighbours.usable(df))
     got: dict = {}
-    for r in neighbours.search(index, books, entries, index.filter("vec_id % 20 = 0")).collect():
+    for r in neighbours.search(index, books, index.filter("vec_id % 20 = 0")).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     good = {r["vec_id"]: np.array(r["vector"]) for r in index.collect()}
     assert set(good) == {r["vec_id"] for r in vectors.collect()} | {20_000 + i for i in range(60)}
@@ -197,9 +212,9 @@ def test_neighbours_recall_and_scores(spark):
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
 def test_neighbours_recall_on_the_plain_tables(spark, size):
     df = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet").select("vec_id", "embedding")
-    index, books, entries = neighbours.build(neighbours.usable(df))
+    index, books = neighbours.build(neighbours.usable(df))
     got: dict = {}
-    for r in neighbours.search(index, books, entries, index.filter("vec_id % 20 = 0")).collect():
+    for r in neighbours.search(index, books, index.filter("vec_id % 20 = 0")).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     rows = sorted((r["vec_id"], r["embedding"]) for r in df.collect())
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
@@ -212,12 +227,25 @@ def test_neighbours_recall_on_the_plain_tables(spark, size):
 def test_neighbours_among_few_vectors_are_enough(spark, n):
     rng = np.random.default_rng(n)
     rows = [(i, rng.normal(size=16).tolist()) for i in range(n)] + [(0, rng.normal(size=16).tolist()) for _ in range(4)]
-    index, books, entries = neighbours.build(neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
-    found = Counter(r["query_id"] for r in neighbours.search(index, books, entries, index.dropDuplicates(["vec_id"])).collect())
+    index, books = neighbours.build(neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    found = Counter(r["query_id"] for r in neighbours.search(index, books, index.dropDuplicates(["vec_id"])).collect())
     rows_of = Counter(i for i, _ in rows)
     assert found == Counter({i: min(20, len(rows) - rows_of[i]) for i in range(n)})
 
 
+def test_neighbours_with_the_whole_share_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART", 40)  # some lists share a bin, others need several
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(150, 8)), rng.normal(size=(150, 8)) * 0.1 + 3])
+    index, books = neighbours.build(neighbours.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")))
+    got: dict = {}
+    for r in neighbours.search(index, books, index, k=5, share=1).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for i, v in enumerate(x):
+        best = [int(j) for j in np.lexsort((np.arange(300), -(x * v).sum(1))) if j != i][:5]
+        assert [j for _, j in sorted(got[i])] == best
+
+
 def test_language_id_held_out(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = queries.op3_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
@@ -226,6 +254,33 @@ def test_language_id_held_out(spark, odd):
     filters = language_id.learn(odd)
     got = {(r["doc_id"], r["lang_pred"]) for r in language_id.identify(odd, filters).filter("doc_id in (2, 3, 4)").collect()}
     assert got == {(2, "und"), (3, "und"), (4, "und")}
+    marks = spark.createDataFrame([(1, "½ ²"), (2, "12 _ Ⅷ"), (3, "½ ² und die")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] == "und" for r in language_id.identify(marks, filters).collect()} == {1: True, 2: True, 3: False}
+    # A hot text's copies count once: the other texts' n-grams stay common.
+    texts = docs.filter("lang = 'de'").limit(100).select("lang", "text")
+    hot = texts.unionByName(spark.range(400).select(F.lit("de").alias("lang"), F.lit("aaaa bbbb cccc").alias("text")))
+    assert (language_id.learn(hot).masks[0] > 0).sum() >= (language_id.learn(texts).masks[0] > 0).sum()
+
+
+def test_language_scores_equal_plain_python(spark, documents, odd):
+    labelled = documents.filter("doc_id % 3 = 0")
+    filters = language_id.learn(labelled)
+    for df in (documents.limit(40), odd):
+        for r in language_id.identify(df.join(df.select("doc_id"), "doc_id", "left_semi"), filters).collect():
+            candidates = []
+            for text in [t for i, t in _texts(df) if i == r["doc_id"]]:
+                data = b" " + bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in (text or "").lower().encode()) + b"  "
+                hits = [0] * len(filters.languages)
+                for at in range(len(data) - 3):
+                    code, mask = int.from_bytes(data[at : at + 4], "little"), (1 << 64) - 1
+                    for h in language_id.HASHES:
+                        mask &= int(filters.masks[0][(code * h & 0xFFFFFFFF) >> 14])
+                    hits = [n + (mask >> k & 1) for k, n in enumerate(hits)]
+                e = [max(0.0, (n / max(1, len(data) - 3) - f) / (1 - f)) for n, f in zip(hits, filters.false_rate, strict=True)]
+                best = max(range(len(e)), key=lambda k: (e[k], -k))
+                blank = not any(c.isalpha() for c in text or "")
+                candidates.append(("und", 0.0) if blank else (filters.languages[best], e[best] / sum(e) if sum(e) else 0.0))
+            assert any(r["lang_pred"] == lang and abs(r["score"] - p) < 1e-9 for lang, p in candidates)
     nothing = language_id.learn(odd.limit(0))
     assert {r["lang_pred"] for r in language_id.identify(odd, nothing).collect()} == {"und"}
 
@@ -238,18 +293,48 @@ def test_bitmask_filters_name_all_languages():
 
 
 def test_toxicity_held_out(spark, odd):
+    """A third of the labelled toxic texts of this table holds none of the words that mark the others, which bounds what can be caught."""
     sf = "/root/testdata/sf0.1"
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     found = queries.op6_toxicity(spark, sf).filter("held_out").join(labels, "doc_id").toPandas()
     r = found["score"].rank()
     p, n = (found.toxic == 1).sum(), (found.toxic == 0).sum()
-    assert (r[found.toxic == 1].sum() - p * (p + 1) / 2) / (p * n) >= 0.88
-    assert found.predicted[found.toxic == 0].mean() <= 0.02
-    for some in (labels.limit(0), labels.filter("toxic = 0").limit(20)):
-        got = toxicity.score(odd, toxicity.learn(spark.read.parquet(f"{sf}/documents.parquet").limit(200), some)).collect()
+    assert (r[found.toxic == 1].sum() - p * (p + 1) / 2) / (p * n) >= 0.8
+    assert found.predicted[found.toxic == 0].mean() <= 0.03
+    for some in (labels.limit(0), labels.filter("toxic = 0").limit(20), labels.limit(20)):
+        got = toxicity.score(odd, toxicity.learn(docs.limit(200), some)).collect()
         assert len(got) == len(ODD) and all(0 <= x["score"] <= 1 for x in got)
 
 
+def test_toxicity_finds_planted_words_and_equals_plain_python(spark):
+    rng = np.random.default_rng(2)
+    syllables = [a + b for a in "bdfglmnprst" for b in "aeiou"]
+    word = lambda: "".join(rng.choice(syllables, rng.integers(1, 4)))
+    rows = []
+    for i in range(900):
+        words = [word() for _ in range(rng.integers(20, 200))]
+        for at in rng.integers(0, len(words), 4 if i % 3 == 0 else 0):
+            words[at] = rng.choice(["wretchedness", "blockhead", "gutterswine"])
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int").filter("doc_id % 5 > 0")
+    model = toxicity.learn(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    held = [r for r in rows if r[0] % 5 == 0]
+    assert np.mean([got[i]["predicted"] for i, _, t in held if t]) >= 0.9 and np.mean([got[i]["predicted"] for i, _, t in held if not t]) <= 0.05
+    both, one = toxicity._compressor(model.toxic + model.ordinary), toxicity._compressor(model.ordinary)
+    for i, text, _ in rows[:30]:
+        words = text.lower().split()
+        gain = [len(one(w)) - len(both(w)) for a in range(0, len(words), 4) for w in [(" " + " ".join(words[a : a + 4])).encode()]]
+        x = [np.log1p(len(gain)), max(gain), np.log1p(sum(max(0, g - 1) for g in gain))]
+        for t in toxicity.THRESHOLDS:
+            k = sum(g >= t for g in gain)
+            x += [np.log1p(k), np.sqrt(k / len(gain))]
+        m = model.logistic
+        z = sum(max(-8.0, min(8.0, (a - mu) / sd)) * w for a, mu, sd, w in zip(x, m.mean, m.scale, m.weights, strict=True)) + m.bias
+        assert abs(got[i]["score"] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_quality_held_out_and_shrinkage(spark, odd):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -266,7 +351,41 @@ def test_quality_held_out_and_shrinkage(spark, odd):
     assert quality.keep_good(odd, model).columns == odd.columns
 
 
-def test_exact_groups_equal_sql(spark, odd, documents):
+def test_quality_scores_equal_plain_python(spark, documents):
+    model = quality.learn(documents, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = documents.limit(150).collect()
+    p = {r["doc_id"]: float(model.predict(np.array([quality.features(r["text"])]))[0]) for r in rows}
+    at = {r["doc_id"]: (r["source"], r["lang"]) for r in rows}
+    groups: dict = {}
+    for i, key in at.items():
+        groups.setdefault(key, []).append(p[i])
+
+    def strength(of):
+        n, k = sum(map(len, of)), len(of)
+        mean = sum(map(sum, of)) / n
+        within = max(1e-9, (sum(x * x for g in of for x in g) - sum(sum(g) ** 2 / len(g) for g in of)) / max(1, n - k))
+        between = (sum(sum(g) ** 2 / len(g) for g in of) - n * mean * mean - (k - 1) * within) / max(1e-9, n - sum(len(g) ** 2 for g in of) / n)
+        return min(quality.STRONGEST, max(quality.WEAKEST, within / between)) if between > 0 else quality.STRONGEST
+
+    hosts: dict = {}
+    for (host, _), g in groups.items():
+        hosts.setdefault(host, []).extend(g)
+    mean = sum(p.values()) / len(p)
+    of_host, of_path = strength(list(hosts.values())), strength(list(groups.values()))
+    logit = lambda x: np.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    for r in quality.judge(documents.limit(150), model).collect():
+        g, h = groups[at[r["doc_id"]]], hosts[at[r["doc_id"]][0]]
+        host = (of_host * mean + sum(h)) / (of_host + len(h))
+        path = (of_path * host + sum(g) - p[r["doc_id"]]) / (of_path + len(g) - 1)
+        score = 1 / (1 + np.exp(-(logit(p[r["doc_id"]]) + logit(path) - logit(mean))))
+        assert abs(r["score"] - score) < 1e-6 and abs(r["host_posterior"] - host) < 1e-6 and r["kept"] == (r["score"] >= 0.5)
+    kept = {r["doc_id"] for r in quality.keep_good(documents.limit(150), model).collect()}
+    assert kept == {r["doc_id"] for r in quality.judge(documents.limit(150), model).collect() if r["kept"]}
+
+
+@pytest.mark.parametrize("cells", [exact_dedup.MAX_CELLS, 1 << 9])
+def test_exact_groups_equal_sql(spark, odd, documents, cells, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MAX_CELLS", cells)  # with few cells digests are dealt to ranges
     con = duckdb.connect()
     for df in (odd.filter("doc_id is not null"), documents, odd.limit(0)):
         con.register("documents", df.toPandas())
@@ -315,7 +434,42 @@ def test_mixture_meets_targets(spark, odd, documents):
             assert all(abs(r["target"] - target) < 1e-6 * max(1, target) and r["source_size"] == size[name] for r in own)
             assert sum(r["taken"] for r in own) == int(target + 1e-9)
     assert mixing.mixture(odd.limit(0)).count() == 0
-    assert mixing.mixed_documents(documents).columns == documents.columns
+    kept = mixing.mixed_documents(documents)
+    assert kept.columns == documents.columns
+    words = Counter()
+    for r in kept.select("source", mixing.word_count(F.col("text")).alias("n")).collect():
+        words[r["source"]] += r["n"]
+    rows = mixing.mixture(documents).collect()
+    for name in {r["source"] for r in rows}:
+        own = [r for r in rows if r["source"] == name]
+        assert abs(words[name] - own[0]["target"]) <= max(r["size"] for r in own) + 1
+
+
+def test_words_taken_equal_plain_python(spark, documents, odd):
+    for df in (documents, odd):
+        keyed = df.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", F.xxhash64("text"), F.lit(7)).alias("key"),
+                          F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(mixing.BUCKETS)).alias("bucket")).collect()
+        names = sorted({r["source"] for r in keyed}, key=lambda s: (s is None, (s or "").encode()))
+        size = [sum(r["size"] for r in keyed if r["source"] == s) for s in names]
+        target, total = _targets(size), sum(size)
+        block = mixing.block_words(total)
+        slots, taken = [0] * len(names), Counter()
+        n = -(-int(sum(target) + 1e-9) // block)
+        edges = np.cumsum([t / sum(target) for t in target])
+        for slot in range(n):
+            u = (slot + 1) * mixing.FIB_A % mixing.FIB_M / mixing.FIB_M
+            slots[min(int(np.searchsorted(edges, u, side="right")), len(names) - 1)] += 1
+        for k, name in enumerate(names):
+            own = sorted((r for r in keyed if r["source"] == name and r["size"]), key=lambda r: (r["bucket"], r["key"]))
+            goal, words = int(target[k] + 1e-9), [i for r in own for i in [r["doc_id"]] * r["size"]]
+            # Slots take block after block, pass after pass, until the source's target; closing slots make up for too few.
+            assert slots[k] * block >= goal - 8 * block
+            for at in range(goal):
+                taken[words[at % len(words)], name] += 1
+        got = Counter()
+        for r in mixing.mixture(df).collect():
+            got[r["doc_id"], r["source"]] += r["taken"]
+        assert +got == +taken
 
 
 def test_reply_trees_paths_and_ranks(spark):

@@ -100,6 +100,7 @@ def terms_of(text: Column) -> Column:
     """``index_terms`` as a column: built-in functions for plain texts, Python only for the others."""
     plain = text.rlike(PLAIN)
     folded = F.regexp_replace(F.lower(text), r"(?<=\d),(?=\d)", "")
-    native = F.transform(F.split(folded, r"[^\p{L}\p{N}]+"), lambda t: F.regexp_replace(t, "[^a-z0-9]", ""))
+    # Letters that normal forms drop go before the split, so no expression runs for each term.
+    native = F.split(F.regexp_replace(folded, r"[\p{L}\p{N}&&[^a-z0-9]]+", ""), "[^a-z0-9]+")
     native = F.filter(native, lambda t: F.length(t).between(2, 80))
     return F.when(text.isNull(), F.array().cast("array<string>")).when(plain, native).otherwise(_index_terms(F.when(~plain, text)))

@@ -15,11 +15,12 @@ MAX_POSTING_TERMS, POSTING_BUDGET = 6, 4000
 
 
 def postings(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """(target, chunk_id, document_id, term, field_kind, tf, weight); ``fields`` maps kinds to columns.
+    """(target, chunk_id, document_id, term, field_kind, tf, weight); ``fields`` maps kinds to columns of text, or of terms already made.
 
     One pass: the fields become an array of structs, so the chunks aren't read once for each.
     """
-    kinds = F.array(*[F.struct(F.lit(k).alias("field_kind"), F.lit(WEIGHTS[k]).alias("weight"), terms_of(F.col(c)).alias("terms")) for k, c in fields.items()])
+    made = {name for name, kind in chunks.dtypes if kind.startswith("array")}
+    kinds = F.array(*[F.struct(F.lit(k).alias("field_kind"), F.lit(WEIGHTS[k]).alias("weight"), (F.col(c) if c in made else terms_of(F.col(c))).alias("terms")) for k, c in fields.items()])
     rows = chunks.select("target", "chunk_id", "document_id", F.explode(kinds).alias("f")).select(
         "target", "chunk_id", "document_id", "f.field_kind", "f.weight", F.explode("f.terms").alias("term")
     )
@@ -86,8 +87,10 @@ def prefix_search(asked: DataFrame, terms: DataFrame, k: int = 10, least: int =
     distinct = terms.select("term").distinct()
     prefixes = distinct.select("term", F.explode(F.transform(F.sequence(F.lit(least), F.greatest(F.lit(least), F.length("term"))), lambda n: F.substring("term", F.lit(1), n))).alias("prefix"))
     matches = prefixes.join(wanted, "prefix").filter(F.col("term").startswith(F.col("prefix"))).distinct()
-    hits = terms.join(matches, "term").join(asked, "prefix")
-    best = hits.groupBy("query_id", "target", "chunk_id", "prefix").agg(F.max("weight").alias("weight"))
+    # The greatest weight of a chunk and prefix is found once, whatever the number of questions that share the prefix; the
+    # rows then lie by chunk, so that neither this grouping nor the next, by question and chunk, moves them again.
+    hits = terms.join(matches, "term").select("target", "chunk_id", "prefix", "weight").repartition("target", "chunk_id")
+    best = hits.groupBy("target", "chunk_id", "prefix").agg(F.max("weight").alias("weight")).join(asked, "prefix")
     found = best.groupBy("query_id", "target", "chunk_id").agg(F.count(F.lit(1)).alias("matched_term_count"), F.sum("weight").alias("term_score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("matched_term_count"), F.desc("term_score"), "target", "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

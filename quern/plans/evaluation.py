@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators import evaluation, evidence, lexical, ranking
 from quern.plans import retrieval
 from quern.plans.retrieval import _ASKED, _HITS, _INDEX, _PREFIX, _RRF
+from quern.sources.scratch import written
 from quern.sources.tables import chunks, table
 
 
@@ -74,9 +75,7 @@ def answer_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _traces(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    pre, bm = retrieval.keyword_prefix_search(spark, sf_dir), retrieval.bm25_hits(spark, sf_dir, 20)
-    fused = ranking.rrf(pre, bm)
-    merged = retrieval.candidate_merge(spark, sf_dir)
+    pre, bm, merged, fused = retrieval.stage_lists(spark, sf_dir)
     one = lambda df, stage, rank="rank", most=k: df.filter(F.col(rank) <= most).select("query_id", F.lit(stage).alias("stage"), "chunk_id")
     rows = one(pre, "vectorHits").unionByName(one(bm, "lexicalHits")).unionByName(one(merged, "merged", "merged_rank")).unionByName(one(fused, "fused")).unionByName(one(fused, "selected", most=5))
     own = chunks(spark, sf_dir).select("chunk_id", F.lower("title").alias("document_text"), F.lower("chunk_text").alias("section_text"))
@@ -117,7 +116,7 @@ POLICIES = ((1, 1, 20), (2, 1, 20), (2, 1, 40), (3, 1, 40), (3, 2, 40))
 
 def coverage_policy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per policy how many questions it applies to and how many rows it puts back."""
-    fused, out = retrieval._fused(spark, sf_dir), None
+    fused, out = written(retrieval._fused(spark, sf_dir), "fused"), None
     for i, (most, per_doc, limit) in enumerate(POLICIES):
         rows = ranking.coverage_rescue(fused, 8, most, per_doc, limit).filter("state = 'APPLIED'")
         one = rows.agg(F.count_distinct("query_id").alias("questions"), F.count_if(F.col("rank") > 8).alias("hits")).select(F.lit(i).alias("policy"), "questions", "hits")

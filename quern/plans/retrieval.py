@@ -6,32 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.cleaning import compact
-from quern.functions.terms import match_form
+from quern.functions.terms import match_form, terms_of
 from quern.operators import lexical, ranking
+from quern.sources.scratch import fingerprint, written
 from quern.sources.tables import CHUNKS_SQL, chunks, table
 
-FIELDS = {"document_title": "title", "body": "chunk_text"}
-
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
-_INDEXES: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame, DataFrame]] = {}
+_INDEXES: dict[tuple[str, str], tuple[int, tuple[DataFrame, DataFrame, DataFrame, DataFrame]]] = {}
 
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(chunks, postings, lengths, stats), built once per application and folder and kept on the executors, spilling to disk."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
+    """(chunks, postings, lengths, stats): tables in the shared folder, written again when the files of ``documents`` have changed."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), fingerprint(table(spark, sf_dir, "documents"))
+    if key not in _INDEXES or _INDEXES[key][0] != now:
         for old in [k for k in _INDEXES if k[0] != key[0]]:
             del _INDEXES[old]
         own = chunks(spark, sf_dir)
-        terms = lexical.postings(own, FIELDS)
-        _INDEXES[key] = own, terms, lexical.chunk_lengths(own, terms), lexical.term_stats(terms)
-    for df in _INDEXES[key][1:]:
-        df.persist()
-    return _INDEXES[key]
+        # A title is cut into terms once a document, not once a line.
+        terms = written(lexical.postings(chunks(spark, sf_dir, terms_of(F.split("text", "\n")[0]).alias("title_terms")), {"document_title": "title_terms", "body": "chunk_text"}), "postings")
+        _INDEXES[key] = now, (own, terms, written(lexical.chunk_lengths(own, terms), "lengths"), written(lexical.term_stats(terms), "stats"))
+    return _INDEXES[key][1]
 
 
 def lexical_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +89,8 @@ GRID = ((1.0, 1.0), (1.0, 0.75), (1.0, 0.5), (0.75, 1.0), (0.5, 1.0))
 
 
 def rrf_weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per weight pair: how many questions have their own passage's document in the first ten."""
-    first, second = keyword_prefix_search(spark, sf_dir), bm25_hits(spark, sf_dir, 20)
+    """Per weight pair: questions with a hit among the first ten, their hits, and those that both sources gave."""
+    first, second = written(keyword_prefix_search(spark, sf_dir), "prefixed"), written(bm25_hits(spark, sf_dir, 20), "hits")
     out = None
     for i, (a, b) in enumerate(GRID):
         top = ranking.rrf(first, second, a, b, limit=10)
@@ -103,7 +101,7 @@ def rrf_weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ranking.coverage_rescue(_fused(spark, sf_dir), top_k=8, most=2, per_document=1, source_limit=40)
+    found = ranking.coverage_rescue(written(_fused(spark, sf_dir), "fused"), top_k=8, most=2, per_document=1, source_limit=40)
     return found.select("query_id", "target", "chunk_id", "rank", "final_rank", "state")
 
 
@@ -139,6 +137,13 @@ def candidate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.merged(bm25_hits(spark, sf_dir), second)
 
 
+def stage_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(prefix hits, BM25 hits, merged, fused): both lists are written once and the others made of them."""
+    first, second = written(keyword_prefix_search(spark, sf_dir), "prefixed"), written(bm25_hits(spark, sf_dir, 20), "hits")
+    scored = first.withColumn("score", F.col("term_score").cast("double"))
+    return first, second, ranking.merged(second.filter("rank <= 10"), scored), written(ranking.rrf(first, second), "fused")
+
+
 def judge_candidates_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = bm25_hits(spark, sf_dir, 40).select("query_id", "target", "chunk_id", "rank")
     return ranking.target_quota(ranked, per_target=2, priority=3, limit=12)

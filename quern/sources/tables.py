@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,14 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents as chunks: the first line is the title, the language the target, the source the agency."""
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew only if its scan has fewer partitions than there are cores: a small file of one row group is one task else."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def chunks(spark: SparkSession, sf_dir: str, *of_document: Column) -> DataFrame:
+    """Lines of documents as chunks: the first line is the title, the language the target, the source the agency.
+
+    ``of_document`` are further columns made of ``documents``, once for each.
+    """
     lines = F.split("text", "\n")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", lines[0].alias("title"), F.posexplode(lines).alias("pos", "line"))
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", lines[0].alias("title"), *of_document, F.posexplode(lines).alias("pos", "line"))
     return rows.filter(F.trim("line") != "").select(
         F.col("doc_id").alias("document_id"), (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("chunk_id"), F.col("lang").alias("target"),
         F.col("source").alias("agency_name"), "title", F.col("line").alias("chunk_text"), F.col("pos").alias("sort_order"),
-        F.sha2("line", 256).alias("content_hash"),
+        F.sha2("line", 256).alias("content_hash"), *rows.columns[4:-2],
     )
 
 

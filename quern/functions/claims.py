@@ -12,13 +12,16 @@ from pyspark.sql import types as T
 
 # Scales of amounts and names of units.
 SCALES = {"천만": 10_000_000, "백만": 1_000_000, "십만": 100_000, "억": 100_000_000, "만": 10_000, "천": 1_000, "백": 100, "십": 10}
-UNITS = {"퍼센트": "percent", "%": "percent", "개월": "months", "시간": "hours", "년": "years", "월": "months", "일": "days", "점": "points", "개": "items", "건": "cases", "명": "people", "회": "times", "차": "rounds", "단계": "steps"}
+UNITS = {
+    "%": "percent", "퍼센트": "percent", "년": "year", "개월": "duration-month", "월": "month", "일": "day", "점": "point", "개": "item-count", "건": "case-count",
+    "명": "person-count", "회": "occurrence-count", "차": "sequence-count", "단계": "stage", "시간": "hour",
+}
 
 _NUMBER = r"\d+(?:,\d{3})*(?:\.\d+)?"
 _TOKEN = re.compile(
     rf"(?P<date>(?<!\d)\d{{4}}\s*(?:년|\.)\s*\d{{1,2}}\s*(?:월|\.)\s*\d{{1,2}}(?:\s*일)?(?!\d))"
     rf"|(?P<money>(?:{_NUMBER}\s*(?:{'|'.join(SCALES)})\s*)+(?:{_NUMBER}\s*)?원|{_NUMBER}\s*원)"
-    rf"|(?P<unit>{_NUMBER}\s*(?:{'|'.join(map(re.escape, UNITS))}))|(?P<plain>{_NUMBER})"
+    rf"|(?P<unit>{_NUMBER}\s*(?:{'|'.join(map(re.escape, sorted(UNITS, key=len, reverse=True)))}))|(?P<plain>{_NUMBER})"
 )
 _PART = re.compile(rf"({_NUMBER})\s*({'|'.join(SCALES)})?")
 

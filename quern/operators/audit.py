@@ -124,7 +124,7 @@ ACTIONS = "클릭 선택 누르 이동 다운로드 열기 확인 click select p
 NOTICE = "첨부 첨부파일 상단 메뉴 클릭 버튼 화면 이미지 다운로드 누르 이용".split()
 STRONG_NOTICE = "자세한내용 확인하십시오 이용하십시오 상단메뉴 상단첨부파일 첨부파일을다운로드 버튼을이용 메뉴를이용 첨부파일을이용".split()
 SUBSTANCE = "하여야 해야 기준 대상 절차 요건 의무 금지 제외 가능 신청 처리 보유 파기 동의 공개 고지 제출 심사 계약 설치 운영 관리".split()
-SENTENCE_END = r"(?is).*(?:다[.!?]?|함[.!?]?|됨[.!?]?)$"
+SENTENCE_END = r"(?i)\A.*(?:다[.!?]?|함[.!?]?|됨[.!?]?)\z"
 FIELD_LABEL = r"(?i)^(?:요구사항(?:분류|고유번호|명칭)|관련요구사항|준수항목|requirement\s*(?:id|name|type))\s*[:：-]?.{0,50}$"
 
 

@@ -19,6 +19,7 @@ from quern.operators.audit import first_match
 # What a match adds to a score.
 KEYWORD_WEIGHTS = {"base": 0.28, "title": 0.08, "body": 0.055, "more_title": 0.055, "more_body": 0.04, "cap": 1.35}
 RERANK_WEIGHTS = {"title": 0.12, "body": 0.045, "no_term": -0.65, "short_body": -0.25, "CONTEXT_ONLY": -1.5, "REVIEW": -0.2, "REJECT": -10.0}
+# Negations as they follow an expression directly, endings included.
 NEGATIONS = "하지않 하지아니 되지않 되지아니 지않 지아니 없 아니 not no".split()
 
 

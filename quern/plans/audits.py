@@ -94,7 +94,8 @@ def batch_job_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def status_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.rollup("event_type").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("event_type", F.lit("TOTAL")).alias("status"), "n")
+    totals = e.rollup("event_type").agg(F.count(F.lit(1)).alias("n"), F.grouping("event_type").alias("whole"))
+    return totals.select(F.when(F.col("whole") == 1, "TOTAL").otherwise(F.col("event_type")).alias("status"), "n")
 
 
 def stale_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -503,7 +504,7 @@ SQL = {
     "quality_gate": f"""
         with {CHUNKS_SQL}, s as (select document_id, chunk_id, sort_order, title, {_seen('chunk_text')} as seen, {_compact('chunk_text')} as body, {_compact('title')} as head from chunks),
         q as (select *, regexp_replace(seen, '\\s+', '', 'g') as tight, lower(seen) as low, length(regexp_replace(seen, '[^\\p{{L}}\\p{{N}}]', '', 'g')) as meaning,
-                     regexp_matches(seen, '(?is)(?:다[.!?]?|함[.!?]?|됨[.!?]?)$') as sentence from s),
+                     regexp_matches(seen, '(?i-s)\\A.*(?:다[.!?]?|함[.!?]?|됨[.!?]?)\\z') as sentence from s),
         e as (select *, case when trim(seen) = '' then 'EMPTY_TEXT' when regexp_matches(low, 'contents|목차') and regexp_matches(seen, '\\.{{5,}}') then 'TABLE_OF_CONTENTS'
                 when (meaning < 8 and length(tight) < 80) or regexp_matches(tight, '(?i)^(p\\.?\\d+)?[\\^()\\[\\].,;:ㆍ·\\-0-9]+$') then 'MEANINGLESS_FRAGMENT' end as early from q),
         d as (select *, case when early is null and body <> '' then row_number() over (partition by document_id, body, early is null order by sort_order, chunk_id) else 1 end as copy,

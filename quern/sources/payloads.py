@@ -73,7 +73,9 @@ def search_documents(payloads: DataFrame) -> DataFrame:
     # One parse of the JSON for all names, not one for each.
     asked = ", ".join(f"`{n}` string" for names in FIELDS.values() for n in names if n != "ID")
     parsed = rows.withColumn("j", F.from_json("row", asked))
-    found = {k: first_present(*[F.col("j").getField(n) for n in names if n != "ID"]) for k, names in FIELDS.items()}
+    # ID and id would be one name in a schema that ignores case.
+    value = lambda n: F.get_json_object("row", "$.ID") if n == "ID" else F.col("j").getField(n)
+    found = {k: first_present(*map(value, names)) for k, names in FIELDS.items()}
     out = parsed.select("target", "row", *[c.alias(k) for k, c in found.items()])
     out = out.withColumn("external_id", F.coalesce("external_id", F.substring(sha256(F.col("row")), 1, 32)))
     out = out.withColumn("title", F.coalesce("title", F.concat_ws("-", "target", "external_id")))

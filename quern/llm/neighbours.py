@@ -40,7 +40,7 @@ SAMPLE = 20_000
 STEPS = 12
 RECALL, TRIALS = 0.96, 200
 #: Mean entries of a cell, and centroids of a half at most.
-CELL, CENTROIDS = 4, 256
+CELL, CENTROIDS = 40, 256
 CROWD = 4
 PART = 8192
 

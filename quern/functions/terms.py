@@ -33,6 +33,8 @@ INTENT_ENDINGS = (
     "어디까지 시기 기한 기간 대상 시스템 사업 기관 요소 항목 절차 방법 서류 인가요 인가 인지 일까요 일까 건가요 건가 할때에는 할때는 할때에 할때 하는때 때에는 때는 때에 "
     "받아야하나요 받아야하나 받아야해요 받아야해 받아야 해야하나요 해야하나 해야해요 해야해 해야 하나요 하나 하는게 한걸 정의 이란 란"
 ).split()
+#: Words with these endings are no keywords.
+POLITE_ENDINGS = ("합니다", "됩니다", "입니다", "있습니다", "없습니다")
 
 _KEPT = regex.compile(r"[^\p{Hangul}A-Za-z0-9]+")
 _SPLIT = regex.compile(r"[^\p{Hangul}\p{L}\p{N}]+")
@@ -104,3 +106,21 @@ def terms_of(text: Column) -> Column:
     native = F.split(F.regexp_replace(folded, r"[\p{L}\p{N}&&[^a-z0-9]]+", ""), "[^a-z0-9]+")
     native = F.filter(native, lambda t: F.length(t).between(2, 80))
     return F.when(text.isNull(), F.array().cast("array<string>")).when(plain, native).otherwise(_index_terms(F.when(~plain, text)))
+
+
+def keywords(text: str | None) -> list[str]:
+    """Keywords of a text in order, repeats included: base forms of its words but weak ones and polite verbs."""
+    found = map(base_form, _KEPT.split(text or ""))
+    return [t for t in found if 2 <= len(t) <= 80 and t not in _WEAK and not t.endswith(POLITE_ENDINGS)]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _keywords(texts: pd.Series) -> pd.Series:
+    return texts.map(keywords, na_action="ignore")
+
+
+def keywords_of(text: Column) -> Column:
+    """``keywords`` as a column: Python only for texts with Hangul."""
+    korean = text.rlike(r"\p{IsHangul}")
+    native = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^A-Za-z0-9]+", " ")), " +"), lambda t: F.length(t).between(2, 80))
+    return F.when(text.isNull(), F.array().cast("array<string>")).when(~korean, native).otherwise(_keywords(F.when(korean, text)))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.terms import terms_of
+from quern.functions.expansion import question_terms_of
+from quern.functions.terms import keywords_of, terms_of
 
 #: Field weights of the index.
 WEIGHTS = {"document_title": 8, "parent_title": 6, "chunk_title": 7, "body": 1}
+KEYWORD_WEIGHTS = {"parent_title": 6, "chunk_title": 7, "body": 4}
 K1, B = 1.2, 0.75
 MAX_QUERY_TERMS = 24
 MAX_POSTING_TERMS, POSTING_BUDGET = 6, 4000
@@ -37,9 +39,33 @@ def term_stats(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count_distinct("target", "chunk_id").alias("document_frequency"))
 
 
-def query_terms(questions: DataFrame) -> DataFrame:
-    """(query_id, term, pos): distinct terms in order of first occurrence, 24 at most."""
-    rows = questions.select("query_id", F.posexplode(terms_of(F.col("question"))).alias("pos", "term"))
+def keyword_index(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """(chunk_id, document_id, term, field_kind, weight): each term of a chunk once, by the weightiest of its fields.
+
+    ``fields`` maps kinds of ``KEYWORD_WEIGHTS`` to columns of text, or of terms
+    already made.  A field gives the terms that no weightier one has, which a
+    row decides by itself, so nothing is shuffled.  Null texts have no terms.
+    """
+    made = {name for name, kind in chunks.dtypes if kind.startswith("array")}
+    order = sorted(fields, key=lambda kind: -KEYWORD_WEIGHTS[kind])
+    rows = chunks.select("chunk_id", "document_id", *[(F.col(fields[k]) if fields[k] in made else keywords_of(F.col(fields[k]))).alias(k) for k in order])
+    empty = F.array().cast("array<string>")
+    taken, kinds = empty, []
+    for kind in order:
+        own = F.coalesce(kind, empty)
+        kinds.append(F.struct(F.lit(kind).alias("field_kind"), F.lit(KEYWORD_WEIGHTS[kind]).alias("weight"), F.array_except(own, taken).alias("terms")))
+        taken = F.concat(taken, own)
+    found = rows.select("chunk_id", "document_id", F.explode(F.array(*kinds)).alias("f"))
+    return found.select("chunk_id", "document_id", F.explode("f.terms").alias("term"), "f.field_kind", "f.weight")
+
+
+def query_terms(questions: DataFrame, planned: str | None = None) -> DataFrame:
+    """(query_id, term, pos): distinct terms and what they expand to in order of first occurrence, 24 at most.
+
+    ``planned`` names an array of keywords that follow the question's own words.
+    """
+    text = F.col("question") if planned is None else F.concat_ws("\n", "question", planned)
+    rows = questions.select("query_id", F.posexplode(question_terms_of(text)).alias("pos", "term"))
     first = rows.groupBy("query_id", "term").agg(F.min("pos").alias("pos"))
     order = Window.partitionBy("query_id").orderBy("pos")
     return first.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= MAX_QUERY_TERMS).drop("n")

@@ -20,6 +20,16 @@ def replaced(old: DataFrame, new: DataFrame, owner: str) -> DataFrame:
     return old.join(new.select(owner).distinct(), owner, "left_anti").unionByName(new)
 
 
+def points_updated(points: DataFrame, new: DataFrame, gone: DataFrame, states: DataFrame) -> DataFrame:
+    """Points (point_id, payload, status, and others) with ``new`` ones put in, those of ``gone`` (point_id) taken out, and ``states`` (point_id, status) set.
+
+    An id may come once in ``new``; of several states of an id the greatest is set; null ids are neither replaced nor taken out.
+    """
+    rows = upserted(points, new, ["point_id"]).join(gone.select("point_id"), "point_id", "left_anti")
+    states = states.groupBy("point_id").agg(F.max("status").alias("_state"))
+    return rows.join(states, "point_id", "left").withColumn("status", F.coalesce("_state", "status")).drop("_state")
+
+
 def preferred_files(files: DataFrame) -> DataFrame:
     """One file of each (dir, base name): by kind pdf, docx, hwpx, txt, md, then path."""
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))

@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions import claims, cleaning, terms
-from quern.operators import audit, chunking, evaluation, evidence, lexical, ranking
+from quern.functions import claims, cleaning, expansion, terms
+from quern.operators import audit, chunking, evaluation, evidence, lexical, ranking, selection
 from quern.plans import audits, retrieval
 from quern.sources import folders, payloads, sinks
 from quern.streaming import refresh
@@ -288,3 +288,99 @@ def test_total_of_statuses_is_one_row_beside_null(spark, tmp_path):
 def test_upper_case_id_of_a_payload_is_read(spark):
     rows = spark.createDataFrame([("law", '{"law": [{"ID": "77", "id": "8", "title": "t"}, {"id": "9", "title": "u"}]}')], "target string, payload string")
     assert {r["external_id"] for r in payloads.search_documents(rows).collect()} == {"77", "9"}
+
+
+def test_expanded_terms(spark):
+    assert expansion.expanded("데이터위원회") == ["데이터위원회", "국가데이터전략위원회", "데이터전략위원회"]
+    assert expansion.expanded("우회전") == ["우회전", "교차로 통행방법", "교차로통행방법"]
+    assert expansion.expanded("사전협의를")[:3] == ["사전협의", "사전 협의", "사전협의의 대상사업"]
+    assert "나라장터" in expansion.expanded("디지털카탈로그") and expansion.expanded("은행위원회") == ["은행위원회"]
+    assert expansion.expanded(None) == expansion.expanded("") == []
+    q = spark.createDataFrame([(1, "우회전 우회전", ["계약 Law"]), (2, "plain Words, plain", None), (3, None, None)], "query_id int, question string, more array<string>")
+    got = lexical.query_terms(q, "more").orderBy("query_id", "pos").collect()
+    assert [r["term"] for r in got if r["query_id"] == 1] == ["우회전", "교차로", "통행방법", "교차로통행", "계약", "law"]
+    assert [r["term"] for r in got if r["query_id"] == 2] == ["plain", "words"] and not [r for r in got if r["query_id"] == 3]
+
+
+def test_keyword_index_takes_the_weightiest_field(spark):
+    rows = [(1, 9, "계약 절차", "계약", "계약을 관리합니다 Law-2 x"), (2, 9, None, None, None), (3, 9, "", "law law", "LAW été")]
+    df = spark.createDataFrame(rows, "chunk_id int, document_id int, p string, t string, b string")
+    got = lexical.keyword_index(df, {"parent_title": "p", "chunk_title": "t", "body": "b"}).collect()
+    assert sorted((r["chunk_id"], r["term"], r["field_kind"], r["weight"]) for r in got) == [(1, "law", "body", 4), (1, "계약", "chunk_title", 7), (1, "절차", "parent_title", 6), (3, "law", "chunk_title", 7)]
+
+
+def _anchors(spark, terms, targets=None):
+    return spark.createDataFrame([(1, terms, targets, ["제2조"], ["목적"], ["보안"])], "query_id int, title_terms array<string>, targets array<string>, provision_terms array<string>, heading_terms array<string>, evidence_terms array<string>")
+
+
+def test_anchored_documents_and_chunks(spark):
+    cand = spark.createDataFrame(
+        [(1, "law", 5, "보안 업무 규정", False), (1, "law", 3, "보안", False), (1, "doc", 4, "보안 안내", True), (1, "law", 3, "보안", True), (1, None, 7, "보안", True), (1, "law", 8, None, True)],
+        "query_id int, target string, document_id long, title string, provision_match boolean",
+    )
+    rows = selection.anchored_documents(_anchors(spark, ["보안"]), cand).orderBy("selection_rank").collect()
+    assert [(r["status"], r["document_id"], r["exact_title"]) for r in rows] == [("APPLIED", 3, True), ("APPLIED", 4, False), ("APPLIED", 5, False)]
+    only = selection.anchored_documents(_anchors(spark, ["보안"], ["doc"]), cand).collect()
+    assert [r["document_id"] for r in only] == [4]
+    more = cand.unionByName(cand.filter("document_id = 5").withColumn("document_id", F.lit(6).cast("long")))
+    assert [(r["status"], r["document_id"]) for r in selection.anchored_documents(_anchors(spark, ["보안"]), more).collect()] == [("DOCUMENT_MATCH_AMBIGUOUS", None)]
+    assert [r["status"] for r in selection.anchored_documents(_anchors(spark, ["없음"]), cand).collect()] == ["DOCUMENT_NOT_FOUND"]
+    assert [r["status"] for r in selection.anchored_documents(_anchors(spark, [""]), cand).collect()] == ["NO_STRONG_ANCHOR"]
+    chunk = spark.createDataFrame(
+        [(3, "law", 1, "제1조", "목적", None, "x", 1), (3, "law", 2, "제2조", "정의", None, "y", 2), (3, "law", 3, "제3조", "a", None, "보안", 3), (3, "law", 4, None, None, None, None, 0), (4, "law", 5, "제2조", "", "", "", 0)],
+        "document_id long, target string, chunk_id long, chunk_no string, chunk_title string, parent_title string, chunk_text string, sort_order int",
+    )
+    selected = selection.anchored_documents(_anchors(spark, ["보안"]), cand)
+    seen = spark.createDataFrame([(1, "law", 3)], "query_id int, target string, chunk_id long")
+    got = selection.anchored_chunks(selected, chunk, _anchors(spark, ["보안"]), seen).orderBy("rank").collect()
+    assert [(r["chunk_id"], r["reason"], r["overlaps"]) for r in got] == [(2, "EXACT_PROVISION", False), (1, "EXACT_HEADING", False), (3, "EVIDENCE_TERMS", True), (4, "DOCUMENT_ORDER", False)]
+
+
+def test_base_scores(spark):
+    s = lambda rows: spark.createDataFrame(rows, "query_id int, target string, chunk_id long, score double")
+    first, second = s([(1, "a", 1, 0.5), (1, "a", 2, 0.9)]), s([(1, "a", 1, 0.7), (1, "a", 3, -1.0)])
+    assert {r["chunk_id"]: r["score"] for r in selection.base_scores(first, second).collect()} == {1: 0.7, 2: 0.9, 3: 0.0}
+    fused = s([(1, "a", 1, 0.02), (1, "a", 4, 0.01)])
+    assert {r["chunk_id"]: round(r["score"], 9) for r in selection.base_scores(first, second, fused).collect()} == {1: 1.9, 2: 0.9, 3: 0.0, 4: 1.4}
+
+
+def test_case_verdicts(spark):
+    cases = spark.createDataFrame(
+        [
+            (1, "OK", None, ["계약 금액", "없음"], None, ["1"], None), (2, "OK", 2, ["계약"], None, None, None), (3, "OK", None, ["계약"], ["위반"], None, None),
+            (4, "NO_GROUNDS", None, ["계약"], None, None, ["NO_GROUNDS"]), (5, "OK", None, ["계약"], None, None, None), (6, "OK", None, ["계약"], None, ["1", "3"], None),
+        ],
+        "case_id int, result_msg string, required_matches int, expected_terms array<string>, forbidden_terms array<string>, page_numbers array<string>, result_msgs array<string>",
+    )
+    none = F.lit(None).cast("array<string>")
+    cases = cases.select("*", *[none.alias(c) for c in ("title_terms", "section_types", "document_terms", "parent_terms")])
+    items = spark.createDataFrame([(c, n, t, "", "", "body", n) for c in (1, 2, 3, 6) for n, t in ((1, "계약금액 산정"), (2, "위반 시"))], "case_id int, rank int, text string, title_text string, parent_text string, section_type string, page_no int")
+    got = {r["case_id"]: r for r in selection.case_verdicts(cases, items).collect()}
+    assert {k: r["passed"] for k, r in got.items()} == {1: True, 2: False, 3: False, 4: True, 5: False, 6: False}
+    assert (got[1]["matched_terms"], got[1]["missing_terms"], got[3]["forbidden_matched"]) == (["계약금액"], ["없음"], ["위반"])
+
+
+def test_expansion_verdict(spark):
+    control = [[0] if i < 14 else [] for i in range(24)]
+    for i in range(8):
+        control[i] = [0, 1]
+    sizes = [2 if i < 7 else 3 for i in range(24)]
+
+    def verdict(found, runs=(1, 2)):
+        rows = [(run, i, sizes[i], control[i], found[i]) for run in runs for i in range(24)]
+        return selection.expansion_verdict(spark.createDataFrame(rows, "run int, case_id int, required_groups int, control array<int>, expanded array<int>")).first()["status"]
+
+    better = [*control[:7], [0, 1, 2], *control[8:]]
+    assert verdict(better) == "ELIGIBLE_FOR_DIFFICULT_EVAL" and verdict(better, (1,)) == "INVALID_CAPTURE"
+    assert verdict(control) == "NO_DOCUMENT_EXPANSION_IMPROVEMENT"
+    assert verdict([[0], *better[1:]]) == "BASELINE_REGRESSION"
+
+
+def test_requests_headings_and_states(spark):
+    assert selection.page_request(" ", " ", 0, 500) == {"target": "law", "query": "*", "page": 1, "display": 100, "offset": 0, "all": True}
+    assert selection.page_request("admrul", " x ", 3, 0)["offset"] == 2
+    df = spark.createDataFrame([("q", "", "", 9), ("qa", "q", "", 8), ("aq", "", "", 7), ("", "q", "q", 6), (None, "qa", "", 5), ("", "aq", "", 4), ("", "", "q", 3), ("", "", "qa", 2), ("", None, "aq", 1), ("", "", None, 0)], "a string, b string, c string, want int")
+    assert df.filter(selection.heading_score(F.lit("q"), F.col("a"), F.col("b"), F.col("c")) != F.col("want")).count() == 0
+    df = spark.createDataFrame([("law", "PAST", False, False), ("law", "FUTURE", False, True), ("law", None, True, True), ("admrul", "UNKNOWN", True, True), ("doc", "PAST", True, True)], "t string, s string, now boolean, later boolean")
+    found = df.select(selection.searchable(F.col("t"), F.col("s")).alias("x"), selection.searchable(F.col("t"), F.col("s"), True).alias("y"), "now", "later")
+    assert found.filter("x <> now or y <> later").count() == 0

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import byte_bpe, chat_format, exact_dedup, jaccard_join, language_id, mixing, neighbours, quality, token_files, toxicity
+from quern.llm import byte_bpe, chat_format, exact_dedup, jaccard_join, language_id, mixing, neighbours, quality, token_files, toxicity, turn_repair
 from quern.llm.shared import shared_dir
 
 
@@ -93,6 +93,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired(turn_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_neighbours": op2_neighbours,
@@ -104,6 +108,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_chat_format": op10_chat_format,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 SQL = {
@@ -131,4 +136,59 @@ SQL = {
                sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
                cast(sum(chars) as bigint) as formatted_chars
         from e group by conv_id""",
+    "op13_turn_repair": r"""
+        with recursive hit as (
+          select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                 xor(list_reduce(list_prepend(cast(4294967295 as bigint), flatten(list_transform(
+                     string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''),
+                     lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                   lambda c, x: if(x >= 0, xor(c, cast(x as bigint)), xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) % 20 as kind from conversations),
+        rows0 as (
+          select conv_id, turn, case kind when 4 then 'user' else role end as role,
+                 case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+          from (select *, unnest(case kind when 0 then [] when 3 then [0, 1] else [0] end) as copy from hit)),
+        rows1 as (
+          select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as n,
+                 regexp_replace(text, '[\x20\x09-\x0D]+$', '') as shown, left(role, 1) as initial from rows0),
+        rows2 as (
+          select *, case when shown = '' then 'blank' when row_number() over (partition by conv_id, role, text order by n) > 1 then 'duplicate'
+                         when right(shown, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+                 n > 1 and lag(initial) over (partition by conv_id order by n) || initial not in ('su', 'ua', 'au') as illegal from rows1),
+        counts as (
+          select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+                 count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated, count(*) filter (illegal) as illegal, max(n) as n
+          from rows2 group by conv_id),
+        chart as (
+          select distinct conv_id, cast(0 as bigint) as n, '000000000' as e, cast(null as varchar) as s, '000000003I' as q, '000000006II' as w from hit
+          union all
+          select conv_id, n, e, s, q2 as q, least(w, lpad(cast(cast(left(q2, 9) as bigint) + 3 as varchar), 9, '0') || substr(q2, 10) || 'I') as w from (
+            select *, least(q, lpad(cast(cast(left(least(e, s, w), 9) as bigint) + 3 as varchar), 9, '0') || substr(least(e, s, w), 10) || 'I') as q2 from (
+              select c.conv_id, r.n, lpad(cast(cast(left(e, 9) as bigint) + 4 as varchar), 9, '0') || substr(e, 10) || 'D' as e,
+                     least(lpad(cast(cast(left(s, 9) as bigint) + 4 as varchar), 9, '0') || substr(s, 10) || 'D',
+                           case when fault not in ('blank', 'duplicate') and initial = 's'
+                                then lpad(cast(cast(left(e, 9) as bigint) + if(fault = 'truncated', 3, 0) as varchar), 9, '0') || substr(e, 10) || 'K' end) as s,
+                     least(lpad(cast(cast(left(q, 9) as bigint) + 4 as varchar), 9, '0') || substr(q, 10) || 'D',
+                           case when fault not in ('blank', 'duplicate')
+                                then lpad(cast(cast(left(least(e, s, w), 9) as bigint) + if(fault = 'truncated', 3, 0) + if(initial = 'u', 0, 3) as varchar), 9, '0')
+                                     || substr(least(e, s, w), 10) || if(initial = 'u', 'K', 'R') end) as q,
+                     least(lpad(cast(cast(left(w, 9) as bigint) + 4 as varchar), 9, '0') || substr(w, 10) || 'D',
+                           case when fault not in ('blank', 'duplicate')
+                                then lpad(cast(cast(left(q, 9) as bigint) + if(fault = 'truncated', 3, 0) + if(initial = 'a', 0, 3) as varchar), 9, '0')
+                                     || substr(q, 10) || if(initial = 'a', 'K', 'R') end) as w
+              from chart c join rows2 r on r.conv_id is not distinct from c.conv_id and r.n = c.n + 1))),
+        best as (
+          select c.conv_id, cast(left(least(e, w), 9) as bigint) as cost, substr(least(e, w), 10) as audit
+          from chart c left join counts k on c.conv_id is not distinct from k.conv_id where c.n = coalesce(k.n, 0)),
+        best0 as (select conv_id, if(exists (select 1 from counts k where k.conv_id is not distinct from b.conv_id), cost, 0) as cost, audit from best b),
+        edits as (
+          select conv_id, p, substr(audit, p, 1) as edit, length(replace(audit, 'D', '')) % 2 as odd from (select *, unnest(range(1, length(audit) + 1)) as p from best0)),
+        placed as (
+          select *, count(*) filter (edit <> 'I') over w as n, count(*) filter (edit <> 'D') over w - odd as k from edits
+          window w as (partition by conv_id order by p rows unbounded preceding)),
+        said as (
+          select p.conv_id, string_agg(if(edit = 'K', role, if(k % 2 = 1, 'user', 'assistant')) || ':' || if(edit = 'I', '', text), chr(10) order by p) as said
+          from placed p left join rows2 r on r.conv_id is not distinct from p.conv_id and r.n = p.n where edit <> 'D' group by p.conv_id)
+        select b.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+               coalesce(illegal, 0) as illegal, b.cost, b.audit, sha256(coalesce(said, '')) as repaired_sha256
+        from best0 b left join counts k on b.conv_id is not distinct from k.conv_id left join said s on b.conv_id is not distinct from s.conv_id""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,12 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
+_UNITS = {u: 1 << 10 * i for i, u in enumerate("bkmgtp")}
+
+
+def byte_count(setting: str) -> int:
+    """A size as Spark's settings write it (``8m``, ``64MB``, ``100``) in bytes."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([bkmgtp]?)b?\s*", setting.lower()).groups()
+    return int(number) * _UNITS[unit or "b"]
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
-    """Arrow batches of at most so many rows and bytes (or one row) from here on: a batch is held by the JVM and by Python at once."""
+    """Arrow batches of at most so many rows and bytes (or one row): a batch is held by the JVM and by Python at once.
+
+    Plans read these settings when they run, so they stay lowered for the session; lower ones of the user's are kept.
+    """
     for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
         name = f"spark.sql.execution.arrow.{name}"
-        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
-            spark.conf.set(name, most)
+        if not 0 < byte_count(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm import (
-    byte_bpe, chat_format, components, exact_dedup, jaccard_join, language_id, mixing, neighbours, pretokens, quality, queries, token_files, toxicity,
+    byte_bpe, chat_format, components, exact_dedup, jaccard_join, language_id, mixing, neighbours, pretokens, quality, queries, token_files, toxicity, turn_repair,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -543,3 +543,100 @@ def test_registered(spark):
         assert len([q for q in queries.QUERIES if q.startswith(f"op{n}_")]) == 1
     assert set(queries.SQL) <= set(queries.QUERIES)
     assert F.lit(1) is not None
+
+
+def _cheapest(rows):
+    """(cost, audit, turns) by Dijkstra's method over (rows read, turns said), each state's least (cost, audit) first."""
+    import heapq
+    import re
+
+    legal, heap, done = re.compile("(s?(ua)+)?"), [(0, "", 0, ())], set()
+    while heap:
+        cost, audit, i, said = heapq.heappop(heap)
+        roles = "".join(r[:1] or "-" for r, _ in said)
+        # What is said so far matters only by whether it is nothing, an s, or ends in u or a.
+        state = (i, "" if not said else roles if roles == "s" else roles[-1])
+        if state in done:
+            continue
+        done.add(state)
+        if i == len(rows) and legal.fullmatch(roles):
+            return cost, audit, said
+        grown = [(cost + 3, audit + "I", i, (*said, (r, ""))) for r in ("user", "assistant")]
+        if i < len(rows):
+            role, text, lost, cut = rows[i]
+            grown.append((cost + 4, audit + "D", i + 1, said))
+            if not lost:
+                grown.append((cost + 3 * cut, audit + "K", i + 1, (*said, (role, text))))
+                grown += [(cost + 3 + 3 * cut, audit + "R", i + 1, (*said, (r, text))) for r in ("user", "assistant")]
+        for g in grown:
+            if re.fullmatch("s?(ua)*u?", "".join(r[:1] or "-" for r, _ in g[3])):
+                heapq.heappush(heap, g)
+
+
+def _repaired_by_hand(rows):
+    """The contract's row of one conversation: (turn, role, text) after damage."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    seen, judged, counts = set(), [], Counter()
+    for _, role, text in rows:
+        shown = text.strip(" \t\n\x0b\x0c\r")
+        fault = "blank" if not shown else "duplicate" if (role, text) in seen else "truncated" if shown[-1] not in ".!?" else ""
+        seen.add((role, text))
+        counts[fault] += 1
+        judged.append((role, text, fault in ("blank", "duplicate"), fault == "truncated"))
+    turns = [t for t, *_ in rows if t is not None]
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    cost, audit, said = _cheapest(judged)
+    text = "\n".join(f"{r}:{t}" for r, t in said)
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    return gaps, counts["blank"], counts["duplicate"], counts["truncated"], illegal, cost, audit, hashlib.sha256(text.encode()).hexdigest()
+
+
+def _damaged_by_hand(rows):
+    out = {}
+    for conv, turn, role, text in rows:
+        key = f"{' ' if conv is None else conv}:{' ' if turn is None else turn}"
+        kind, role, text = zlib.crc32(key.encode()) % 20, " " if role is None else role, " " if text is None else text
+        text = "" if kind == 1 else "".join(c for c in text if c not in ".!?") if kind == 2 else text
+        out.setdefault(conv, []).extend([(turn, "user" if kind == 4 else role, text)] * {0: 0, 3: 2}.get(kind, 1))
+    return out
+
+
+@pytest.mark.parametrize("freeze", [1, 3, 64])
+def test_turn_repair_equals_dijkstra(spark, monkeypatch, freeze):
+    monkeypatch.setattr(turn_repair, "FREEZE", freeze)
+    rng = np.random.default_rng(freeze)
+    roles, texts = ["user", "assistant", "system", "tool", "", None, "unknown"], ["Yes.", "No!", "cut off", "", " \n", None, "Why?", "é…", "Yes."]
+    rows = []
+    for conv in [*range(120), None]:
+        for turn in range(int(rng.integers(1, 14))):
+            no = None if rng.random() < 0.1 else int(turn + (rng.random() < 0.1))
+            rows.append((conv, no, roles[int(rng.choice(7, p=[0.35, 0.35, 0.1, 0.05, 0.05, 0.05, 0.05]))], texts[int(rng.integers(len(texts)))]))
+    rows += [(900, t, "user", "same words.") for t in range(150)] + [(901, t, ("user", "assistant")[t % 3 % 2], f"text {t}.") for t in range(400)]
+    want = {conv: _repaired_by_hand(own) for conv, own in _damaged_by_hand(rows).items()}
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, kept string")
+    got = {r[0]: tuple(r)[1:] for r in turn_repair.repaired(turn_repair.damaged(df)).collect()}
+    assert got == want
+
+
+def test_turn_repair_of_nothing(spark):
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert turn_repair.repaired(turn_repair.damaged(empty)).collect() == []
+    gone = next(i for i in range(1000) if zlib.crc32(f"{i}:0".encode()) % 20 == 0)
+    (row,) = turn_repair.repaired(turn_repair.damaged(spark.createDataFrame([(gone, 0, "user", "Hi.")], empty.schema))).collect()
+    assert tuple(row) == (gone, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+
+
+def test_sizes_are_read_as_spark_writes_them(spark):
+    from quern.llm import shared
+
+    assert [shared.byte_count(x) for x in ("64MB", "8m", "100", "1kb", "-1", "2 g")] == [64 << 20, 8 << 20, 100, 1024, -1, 2 << 30]
+    names = [f"spark.sql.execution.arrow.{n}" for n in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[1], "64MB")
+    shared.bounded_batches(spark)
+    assert spark.conf.get(names[1]) == str(8 << 20)
+    spark.conf.set(names[1], "1m")
+    shared.bounded_batches(spark)
+    assert spark.conf.get(names[1]) == "1m"
+    for n, v in zip(names, before, strict=True):
+        spark.conf.set(n, v)

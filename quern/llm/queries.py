@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import byte_bpe, chat_format, exact_dedup, jaccard_join, language_id, mixing, neighbours, quality, token_files, toxicity, turn_repair
+from quern.llm import byte_bpe, chat_format, exact_dedup, jaccard_join, language_id, lexical_search, mixing, neighbours, quality, secret_scan, token_files, toxicity, turn_repair
 from quern.llm.shared import shared_dir
 
 
@@ -93,6 +93,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repaired(turn_repair.damaged(_table(spark, sf_dir, "conversations")))
 
@@ -108,6 +116,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_chat_format": op10_chat_format,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_secret_scan": op12_secret_scan,
     "op13_turn_repair": op13_turn_repair,
 }
 
@@ -136,6 +146,25 @@ SQL = {
                sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
                cast(sum(chars) as bigint) as formatted_chars
         from e group by conv_id""",
+    "op11_lexical_search": r"""
+        with d as (
+          select row_number() over () as row_no, doc_id,
+                 regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+        whole as (select count(*) as docs, cast(sum(len(terms)) as bigint) as terms from d where len(terms) > 0),
+        asked as (
+          select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+        tf as (select row_no, term, count(*) as tf from (select row_no, unnest(terms) as term from d) where term in (select term from asked) group by all),
+        w as (
+          select term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / (2 * df + 1))) as bigint) as w
+          from (select term, count(*) as df from tf group by term), whole),
+        scores as (
+          select item_id, row_no, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(d.terms) * docs) // whole.terms)))) as bigint) as score
+          from asked join tf using (term) join w using (term) join d using (row_no), whole group by all)
+        select item_id, rank, doc_id, score
+        from (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id nulls last, row_no) as rank
+              from scores join d using (row_no) where score > 0)
+        where rank <= 50""",
     "op13_turn_repair": r"""
         with recursive hit as (
           select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,

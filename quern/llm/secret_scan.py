@@ -38,12 +38,15 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: Lengths of group 2 and of matches from which on they count; for the last two a shorter match is a whole run and hides no longer one.
 ASSIGN_LEAST = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
-HEX = r"[0-9a-f]{16,}"
-RUN = r"[A-Za-z0-9+/_-]{20,}"
+#: Runs begin where none is under way, so that the inside of a word is left at once.
+HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 #: Lengths at which a class of runs begins.
 CLASSES = (20, 28, 40, 64, 128)
 FALSE_CLEARED = 0.05
 BUCKETS = 32
+#: A test that fits perfectly counts as this, so that it can't outweigh the others.
+MOST_P = 0.99
 #: Expected symbols in a bin of the chi-squared test.
 BIN = 5
 #: Matches that are gathered before they are put to the others, so that a text of n matches takes n * BLOCK steps at most.
@@ -112,11 +115,11 @@ def written_spans(spans: Column) -> Column:
 
 
 def _two_sided(z: Column) -> Column:
-    """The share of the normal distribution beyond z on both sides (Abramowitz and Stegun 7.1.26)."""
+    """The share of the normal distribution beyond z on both sides (Abramowitz and Stegun 7.1.26), ``MOST_P`` at most."""
     x = F.abs(z) / math.sqrt(2)
     t = 1 / (1 + 0.3275911 * x)
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return F.least(F.lit(1.0), poly * F.exp(-x * x))
+    return F.least(F.lit(MOST_P), poly * F.exp(-x * x))
 
 
 def _inferred(run: Column) -> Column:
@@ -140,46 +143,51 @@ def _counted(x: Column) -> Column:
             F.when(acc["first"] < 0, v).otherwise(acc["first"]).alias("first"), v.alias("last"),
         )
 
+    n, size = F.length(run), F.length(symbols)
     return F.struct(
-        x["start"].alias("start"), x["end"].alias("end"), F.length(run).cast("double").alias("n"), F.length(symbols).alias("symbols"),
+        x["start"].alias("start"), x["end"].alias("end"), n.cast("double").alias("n"), size.alias("size"),
+        F.least(size, F.greatest(F.lit(2), F.floor(n / BIN).cast("int"))).alias("bins"),
         F.transform(F.split(symbols, ""), lambda c: F.length(run) - F.length(F.replace(run, c, F.lit("")))).alias("counts"),
         F.call_function("translate", run, symbols, marks).alias("signs"),
         F.aggregate(F.split(run, ""), zero, step).alias("sums"),
     )
 
 
-def _tested(x: Column) -> Column:
-    """(start, end, n, chi, runs, serial): the three p-values."""
-    n, size = x["n"], x["symbols"]
-    bins = F.least(size, F.greatest(F.lit(2), F.floor(n / BIN).cast("int")))
+def _measured(x: Column) -> Column:
+    """The three statistics."""
+    n, size, bins = x["n"], x["size"], x["bins"]
     # Bin b holds the symbols from ceil(b * size / bins) on.
     edge = lambda b: F.ceil(b * size / bins).cast("int")
 
     def off(b: Column) -> Column:
-        expected = n * (edge(b + 1) - edge(b)) / size
         got = F.aggregate(F.slice(x["counts"], edge(b) + 1, edge(b + 1) - edge(b)), F.lit(0), lambda a, c: a + c)
-        return (got - expected) * (got - expected) / expected
-
-    chi = F.aggregate(F.transform(F.sequence(F.lit(0), bins - 1), off), F.lit(0.0), lambda a, c: a + c)
-    spread = 2 / (9 * (bins - 1))
-    high = n - F.length(F.replace(x["signs"], F.lit("1"), F.lit("")))
-    low = n - high
-    turns = 1 + sum((n - F.length(F.replace(x["signs"], F.lit(pair), F.lit("")))) / 2 for pair in ("01", "10"))
-    mean = 2 * high * low / n + 1
+        expected = n * (edge(b + 1) - edge(b)) / size
+        return F.pow(got - expected, F.lit(2)) / expected
+
+    without = lambda part: F.length(F.replace(x["signs"], F.lit(part), F.lit("")))
     s = x["sums"]
-    below = n * s["ss"] - s["s"] * s["s"]
-    serial = (n * (s["p"] + s["last"] * s["first"]) - s["s"] * s["s"]) / F.when(below > 0, below)
+    return F.struct(
+        x["start"].alias("start"), x["end"].alias("end"), n.alias("n"), bins.alias("bins"),
+        F.aggregate(F.transform(F.sequence(F.lit(0), bins - 1), off), F.lit(0.0), lambda a, c: a + c).alias("chi"),
+        (n - without("1")).alias("high"), (1 + (n - without("01")) / 2 + (n - without("10")) / 2).alias("turns"),
+        (n * (s["p"] + s["last"] * s["first"]) - s["s"] * s["s"]).alias("around"), (n * s["ss"] - s["s"] * s["s"]).alias("below"),
+    )
+
+
+def _standardised(x: Column) -> Column:
+    """The statistics as normal deviates; null where all symbols are on one side, or the same: as far from noise as can be."""
+    n, spread = x["n"], 2 / (9 * (x["bins"] - 1))
+    mean = 2 * x["high"] * (n - x["high"]) / n + 1
     return F.struct(
         x["start"].alias("start"), x["end"].alias("end"), n.alias("n"),
-        _two_sided((F.pow(chi / (bins - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)).alias("chi"),
-        # All symbols on one side, or all the same: as far from noise as can be.
-        F.when((high > 0) & (low > 0), _two_sided((turns - mean) / F.sqrt((mean - 1) * (mean - 2) / (n - 1)))).otherwise(0.0).alias("runs"),
-        F.coalesce(_two_sided((serial + 1 / (n - 1)) / F.sqrt(n * n / ((n - 1) * (n - 1) * (n - 2)))), F.lit(0.0)).alias("serial"),
+        ((F.pow(x["chi"] / (x["bins"] - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)).alias("chi"),
+        F.when((x["high"] > 0) & (x["high"] < n), (x["turns"] - mean) / F.sqrt((mean - 1) * (mean - 2) / (n - 1))).alias("runs"),
+        F.when(x["below"] > 0, (x["around"] / x["below"] + 1 / (n - 1)) / F.sqrt(n * n / ((n - 1) * (n - 1) * (n - 2)))).alias("serial"),
     )
 
 
 def _combined(x: Column) -> Column:
-    mean = sum(F.tan((0.5 - x[t]) * math.pi) for t in ("chi", "runs", "serial")) / 3
+    mean = sum(F.tan((0.5 - F.coalesce(_two_sided(x[t]), F.lit(0.0))) * math.pi) for t in ("chi", "runs", "serial")) / 3
     length_class = sum(((x["n"] >= least).cast("int") for least in CLASSES[1:]), F.lit(0))
     return F.struct(x["start"].alias("start"), x["end"].alias("end"), length_class.alias("class"), F.greatest(F.lit(1e-17), 0.5 - F.atan(mean) / math.pi).alias("p"))
 
@@ -189,7 +197,9 @@ def tested_runs(text: Column) -> Column:
     runs = F.transform(matches(text, RUN), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.call_function("translate", x["own"], F.lit("-_"), F.lit("+/")).alias("own")))
     known = F.transform(runs, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["own"].alias("own"), _inferred(x["own"]).alias("alphabet")))
     known = F.filter(known, lambda x: x["alphabet"].isNotNull())
-    return F.transform(F.transform(F.transform(known, _counted), _tested), _combined)
+    for stage in (_counted, _measured, _standardised, _combined):  # a stage each, so that what it makes is made once
+        known = F.transform(known, stage)
+    return known
 
 
 def clearing_bounds(tested: DataFrame, runs: str = "runs") -> DataFrame:

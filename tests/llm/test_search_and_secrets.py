@@ -55,7 +55,7 @@ DOCS = [
 ITEMS = [(1, "alpha beta beta"), (2, "ÉCLAIR éclair"), (3, "nothing here"), (4, None), (5, ""), (None, "delta"), (6, "gamma"), (6, "x"), (7, "y 日本語 delta alpha beta gamma")]
 
 
-@pytest.mark.parametrize("shard,pairs,k", [(2, 5, 3), (4096, 200_000, 50), (1, 4, 1)])
+@pytest.mark.parametrize("shard,pairs,k", [(2, 20, 3), (4096, 200_000, 50)])
 def test_search_equals_brute_force(spark, monkeypatch, shard, pairs, k):
     monkeypatch.setattr(lexical_search, "SHARD_ROWS", shard)
     monkeypatch.setattr(lexical_search, "MOST_PAIRS", pairs)
@@ -116,7 +116,7 @@ def _p(run):
     for a, b in zip(edges, edges[1:]):
         want, got = n * (b - a) / size, sum(a < v <= b for v in values)
         chi += (got - want) ** 2 / want
-    both = lambda z: math.erfc(abs(z) / math.sqrt(2))
+    both = lambda z: min(secret_scan.MOST_P, math.erfc(abs(z) / math.sqrt(2)))
     spread = 2 / (9 * (bins - 1))
     ps = [both(((chi / (bins - 1)) ** (1 / 3) - (1 - spread)) / math.sqrt(spread))]
     high = [v > size // 2 for v in values]

@@ -293,14 +293,14 @@ def test_bitmask_filters_name_all_languages():
 
 
 def test_toxicity_held_out(spark, odd):
-    """A third of the labelled toxic texts of this table holds none of the words that mark the others, which bounds what can be caught."""
+    """At least seven of ten toxic texts of the held-out fold are caught, and two of a hundred others flagged at most."""
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     found = queries.op6_toxicity(spark, sf).filter("held_out").join(labels, "doc_id").toPandas()
     r = found["score"].rank()
     p, n = (found.toxic == 1).sum(), (found.toxic == 0).sum()
-    assert (r[found.toxic == 1].sum() - p * (p + 1) / 2) / (p * n) >= 0.8
-    assert found.predicted[found.toxic == 0].mean() <= 0.03
+    assert (r[found.toxic == 1].sum() - p * (p + 1) / 2) / (p * n) >= 0.85
+    assert found.predicted[found.toxic == 1].mean() >= 0.7 and found.predicted[found.toxic == 0].mean() <= 0.02
     for some in (labels.limit(0), labels.filter("toxic = 0").limit(20), labels.limit(20)):
         got = toxicity.score(odd, toxicity.learn(docs.limit(200), some)).collect()
         assert len(got) == len(ODD) and all(0 <= x["score"] <= 1 for x in got)
@@ -322,17 +322,21 @@ def test_toxicity_finds_planted_words_and_equals_plain_python(spark):
     got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
     held = [r for r in rows if r[0] % 5 == 0]
     assert np.mean([got[i]["predicted"] for i, _, t in held if t]) >= 0.9 and np.mean([got[i]["predicted"] for i, _, t in held if not t]) <= 0.05
-    both, one = toxicity._compressor(model.toxic + model.ordinary), toxicity._compressor(model.ordinary)
+    # Every word under both dictionaries, without the shortcut for words that share nothing with the toxic one.
+    of, under = toxicity._compressor(model.toxic), toxicity._compressor(model.ordinary)
+    none = len(under(toxicity.MARK + toxicity.TAIL))
     for i, text, _ in rows[:30]:
-        words = text.lower().split()
-        gain = [len(one(w)) - len(both(w)) for a in range(0, len(words), 4) for w in [(" " + " ".join(words[a : a + 4])).encode()]]
-        x = [np.log1p(len(gain)), max(gain), np.log1p(sum(max(0, g - 1) for g in gain))]
-        for t in toxicity.THRESHOLDS:
-            k = sum(g >= t for g in gain)
-            x += [np.log1p(k), np.sqrt(k / len(gain))]
-        m = model.logistic
-        z = sum(max(-8.0, min(8.0, (a - mu) / sd)) * w for a, mu, sd, w in zip(x, m.mean, m.scale, m.weights, strict=True)) + m.bias
-        assert abs(got[i]["score"] - 1 / (1 + np.exp(-z))) < 1e-9
+        framed = [toxicity.MARK + f" {w} ".encode() + toxicity.TAIL for w in text.split()]
+        flagged = [(len(under(w)) - len(of(w))) / max(toxicity.CHEAP, len(under(w)) - none) >= model.least for w in framed]
+        found = sum(flagged) / len(flagged) ** 0.5
+        assert abs(got[i]["score"] - found / (found + model.cut)) < 1e-9 and got[i]["predicted"] == int(found >= model.cut)
+    # A full memo is emptied and changes nothing.
+    flags = toxicity.Flags(model.toxic, model.ordinary, model.least)
+    whole = [flags.statistic(r[1]) for r in rows[:50]]
+    flags.clear()
+    toxicity.MEMO, before = 16, toxicity.MEMO
+    assert [flags.statistic(r[1]) for r in rows[:50]] == whole and len(flags) <= 16
+    toxicity.MEMO = before
 
 
 def test_quality_held_out_and_shrinkage(spark, odd):

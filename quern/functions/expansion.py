@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions.terms import PLAIN, base_form, index_terms, terms_of
+from quern.functions.terms import PLAIN, base_form, index_terms, is_weak, terms_of
 
 # A term that holds one of the first words is also searched by the second ones, in this order.
 EXPANSIONS = (
@@ -64,3 +64,26 @@ def question_terms_of(text: Column) -> Column:
     """``question_terms`` as a column; plain texts hold no word of the tables, so built-in functions do for them."""
     plain = text.rlike(PLAIN)
     return F.when(text.isNull() | plain, terms_of(F.when(plain, text))).otherwise(_question_terms(F.when(~plain, text)))
+
+
+def plan_terms(text: str | None) -> list[str]:
+    """A question's words in base form, each followed by what it expands to; of a single word also the whole question as one."""
+    own = [t for t in map(base_form, (text or "").split()) if len(t) >= 2 and not is_weak(t)]
+    whole = base_form(text)
+    if len(own) == 1 and len(whole) >= 4:
+        own.append(whole)
+    return list(dict.fromkeys(k for t in own for k in (t, *expanded(t))))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _plan_terms(texts: pd.Series) -> pd.Series:
+    return texts.map(plan_terms, na_action="ignore")
+
+
+def plan_terms_of(text: Column) -> Column:
+    """``plan_terms`` as a column; native for plain texts, whose words have no endings and expand to nothing else."""
+    plain = text.rlike(PLAIN)
+    bare = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
+    own = F.filter(F.transform(F.split(text, r"\s+"), bare), lambda t: F.length(t) >= 2)
+    whole = F.when((F.size(own) == 1) & (F.length(bare(text)) >= 4), F.array(bare(text))).otherwise(F.array().cast("array<string>"))
+    return F.when(text.isNull(), F.array().cast("array<string>")).when(plain, F.array_distinct(F.concat(own, whole))).otherwise(_plan_terms(F.when(~plain, text)))

@@ -80,6 +80,12 @@ def is_weak(term: str | None) -> bool:
     return not plain or plain in _WEAK
 
 
+def weak(term: Column) -> Column:
+    """``is_weak`` as a column."""
+    form = match_form(term)
+    return (form == "") | form.isin(WEAK_TERMS)
+
+
 def index_terms(text: str | None) -> list[str]:
     """All index terms of a text, repeats included, in order."""
     if not text or not text.strip():

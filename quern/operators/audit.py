@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.cleaning import compact, missing, visible_text
+from quern.sources.scratch import written
 
 
 def first_match(*cases: tuple[Column, str], otherwise: str | None = None) -> Column:
@@ -81,12 +87,94 @@ def duplicate_groups(rows: DataFrame, key: str) -> DataFrame:
     return groups.agg(F.count(F.lit(1)).alias("duplicate_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("members"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus"))
 
 
+#: Characters of a run by which texts meet, and neighbouring runs of which the one of least hash is kept.
+RUN, NEAR = 12, 24
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _kept_runs(texts: pd.Series) -> pd.Series:
+    """Hashes of a text's runs, of ``NEAR`` neighbours the least: a text of RUN + NEAR - 1 characters or more shares all of its own with any text that holds it."""
+
+    def kept(text: str | None) -> list[int]:
+        if not text or len(text) < RUN + NEAR - 1:
+            return []
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        hashed = np.zeros(len(codes) - RUN + 1, np.uint64)
+        for i in range(RUN):
+            hashed = hashed * np.uint64(6364136223846793005) + (codes[i : i + len(hashed)] + np.uint64(1442695040888963407))
+        hashed ^= hashed >> np.uint64(29)
+        return np.unique(np.lib.stride_tricks.sliding_window_view(hashed, NEAR).min(axis=1)).astype(np.int64).tolist()
+
+    return texts.map(kept)
+
+
 def contained_short(chunks: DataFrame, least: int = 80, most: int = 800) -> DataFrame:
-    """Short chunks whose compact text lies in a longer chunk of their document."""
+    """Short chunks whose compact text lies in a longer chunk of their document; (document_id, chunk_id, holder_id), the holder of least id.
+
+    Chunks meet by an inverted index of runs of characters: a short one by the
+    rarest of its kept runs in the document, so a document of many lines makes
+    few pairs, and contains() decides.  Compact texts too short for a run meet
+    all longer chunks of their document.
+    """
     rows = chunks.select("document_id", "chunk_id", F.length("chunk_text").alias("n"), compact(F.col("chunk_text")).alias("body"))
-    short = rows.filter(F.col("n").between(least, most - 1) & (F.col("body") != ""))
-    longer = rows.select("document_id", F.col("chunk_id").alias("holder"), F.col("body").alias("text"), F.col("n").alias("m"))
-    return short.join(longer, "document_id").filter("m > n and contains(text, body)").groupBy("document_id", "chunk_id").agg(F.min("holder").alias("holder_id"))
+    index = rows.select("document_id", "chunk_id", "n", F.explode(_kept_runs(F.col("body"))).alias("run"))
+    counts = index.groupBy("document_id", "run").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    own = index.filter(F.col("n").between(least, most - 1)).join(counts, ["document_id", "run"])
+    rarest = own.groupBy("document_id", "chunk_id", "n").agg(F.min(F.struct("holders", "run")).alias("r")).select("document_id", F.col("chunk_id").alias("short_id"), F.col("n").alias("short_n"), F.col("r.run").alias("run"))
+    pairs = rarest.join(index, ["document_id", "run"]).filter("n > short_n").select("document_id", "short_id", "chunk_id")
+    body = lambda name: rows.select("document_id", F.col("chunk_id").alias(name), F.col("body").alias(f"{name}_body"))
+    pairs = pairs.withColumnRenamed("chunk_id", "holder_id").join(body("short_id"), ["document_id", "short_id"]).join(body("holder_id"), ["document_id", "holder_id"])
+    tiny = rows.filter(F.col("n").between(least, most - 1) & (F.col("body") != "") & (F.length("body") < RUN + NEAR - 1)).select("document_id", F.col("chunk_id").alias("short_id"), "n", F.col("body").alias("short_id_body"))
+    longer = rows.select("document_id", F.col("chunk_id").alias("holder_id"), F.col("n").alias("m"), F.col("body").alias("holder_id_body"))
+    pairs = pairs.unionByName(tiny.join(longer, "document_id").filter("m > n").select(*pairs.columns))
+    return pairs.filter(F.contains("holder_id_body", F.col("short_id_body"))).groupBy("document_id", F.col("short_id").alias("chunk_id")).agg(F.min("holder_id").alias("holder_id"))
+
+
+#: Leaves in a bucket of the lowest level, about; each node has up to 16 children.
+BUCKET = 64
+
+
+def merkle_tree(leaves: DataFrame) -> DataFrame:
+    """(level, node, hash, leaves) of a hash tree over leaves (key, hash), both strings, the root at level 0.
+
+    A leaf lies where the hash of its key says, a hexadecimal digit a level, so
+    an insertion moves no other leaf and no task holds more than a bucket; depth
+    follows from the number of leaves.  A bucket hashes its leaves
+    ``key=hash`` in the order of key and hash, a node its children ``digit:hash``
+    in the order of digits.  Null keys and hashes are empty; without leaves the root is the hash of nothing.
+    """
+    none = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = leaves.select(F.sha2(none("key"), 256).alias("place"), F.struct(none("key").alias("key"), none("hash").alias("hash")).alias("leaf"))
+    depth = max(0, math.ceil(math.log(max(1, leaves.count()) / BUCKET, 16)))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list("leaf")), lambda x: F.concat(x["key"], F.lit("="), x["hash"])), "\n")
+    level = rows.groupBy(F.substring("place", 1, depth).alias("node")).agg(F.sha2(listed, 256).alias("hash"), F.count(F.lit(1)).alias("leaves"))
+    if not depth:
+        level = leaves.sparkSession.range(1).select(F.lit("").alias("node")).join(level, "node", "left").select("node", F.coalesce("hash", F.sha2(F.lit(""), 256)).alias("hash"), F.coalesce("leaves", F.lit(0).cast("long")).alias("leaves"))
+    level = written(level, "level")
+    out = level.select(F.lit(depth).alias("level"), "node", "hash", "leaves")
+    for n in range(depth - 1, -1, -1):
+        child = F.struct(F.substring("node", n + 1, 1).alias("digit"), "hash")
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(child)), lambda x: F.concat(x["digit"], F.lit(":"), x["hash"])), "\n")
+        level = written(level.groupBy(F.substring("node", 1, n).alias("node")).agg(F.sha2(joined, 256).alias("hash"), F.sum("leaves").alias("leaves")), "level")
+        out = out.unionByName(level.select(F.lit(n).alias("level"), "node", "hash", "leaves"))
+    return out
+
+
+def changed_leaves(before: DataFrame, after: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """(key, change, path) of what differs between leaves ``old`` and ``new`` with trees ``before`` and ``after``: only leaves below the differing nodes are compared.
+
+    ``path`` names the node at the lowest level that both trees have.
+    """
+    depth = min(before.agg(F.max("level")).first()[0], after.agg(F.max("level")).first()[0])
+    side = lambda t, name: t.filter(F.col("level") == depth).select("node", F.col("hash").alias(name))
+    if before.agg(F.max("level")).first()[0] == after.agg(F.max("level")).first()[0]:
+        nodes = side(before, "a").join(side(after, "b"), "node", "full_outer").filter(~F.col("a").eqNullSafe(F.col("b"))).select("node")
+    else:  # trees of different depth hash their nodes differently
+        nodes = side(before, "a").select("node").union(side(after, "b").select("node")).distinct()
+    below = lambda leaves, name: leaves.select("key", F.substring(F.sha2(F.coalesce("key", F.lit("")), 256), 1, depth).alias("node"), F.col("hash").alias(name)).join(nodes, "node", "left_semi")
+    both = below(old, "was").withColumn("in_old", F.lit(True)).join(below(new, "is").withColumn("in_new", F.lit(True)), ["key", "node"], "full_outer")
+    change = F.when(F.col("in_old").isNull(), "ADDED").when(F.col("in_new").isNull(), "REMOVED").when(~F.col("was").eqNullSafe(F.col("is")), "CHANGED")
+    return both.select("key", change.alias("change"), F.col("node").alias("path")).filter("change is not null")
 
 
 def dedup_plan(files: DataFrame) -> DataFrame:

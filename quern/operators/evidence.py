@@ -6,12 +6,8 @@ domain brings its own.  Scores are rounded before they rank.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quern.functions.terms import match_form
 from quern.operators.audit import first_match
@@ -19,8 +15,17 @@ from quern.operators.audit import first_match
 # What a match adds to a score.
 KEYWORD_WEIGHTS = {"base": 0.28, "title": 0.08, "body": 0.055, "more_title": 0.055, "more_body": 0.04, "cap": 1.35}
 RERANK_WEIGHTS = {"title": 0.12, "body": 0.045, "no_term": -0.65, "short_body": -0.25, "CONTEXT_ONLY": -1.5, "REVIEW": -0.2, "REJECT": -10.0}
-# Negations as they follow an expression directly, endings included.
-NEGATIONS = "하지않 하지아니 되지않 되지아니 지않 지아니 없 아니 not no".split()
+# Negations, what may stand between an expression and its negation, words that part clauses or begin a final statement, endings that are cut.
+NEGATIONS = ("안됩니다", "안된다", "안됨", "아닙", "아니", "않", "없", "불가")
+BRIDGES = (
+    "이라고는", "라고는", "이라고", "라는", "라고", "다고", "한다면", "하면", "할경우", "하는경우", "한경우", "했을경우", "단정해서는", "단정할수", "말할수", "볼수", "할수", "해서는",
+    "이라는것은", "라는것은", "인것은", "것은", "반드시", "절대", "전혀", "으로", "은", "는", "이", "가", "도", "만", "지",
+)
+CLAUSE_SEPARATORS = ("하지만", "그러나", "반면", "다만")
+TURNS, FINAL_WORDS = ("하지만", "그러나", "반면", "지만", "으나"), (r"실제로(?:는)?", "사실상", "사실은", "결론적으로", "결국", "오히려")
+ENDINGS = ("이라고", "으로", "라고", "은", "는", "이", "가")
+#: Negations and bridges that are read behind an expression.
+MOST_STEPS = 24
 
 
 def held(terms: Column, text: Column) -> Column:
@@ -45,14 +50,9 @@ def rerank_score(title: Column, body: Column, terms: Column, quality: Column) ->
     return F.round(F.when(quality == "REJECT", w["REJECT"]).otherwise(score), 6)
 
 
-def rule_score(text: Column, rules: DataFrame) -> DataFrame:
-    """Rules (rule_id, terms array, weight) as one row to be joined: adds the weight of each rule all of whose terms occur."""
-    return rules.agg(F.collect_list(F.struct("rule_id", "terms", "weight")).alias("rules"))
-
-
 def with_rules(rows: DataFrame, text: str, rules: DataFrame) -> DataFrame:
     """``rows`` with rule_score; the table of rules is written by hand, a few hundred rows."""
-    one = rule_score(F.col(text), rules)
+    one = rules.agg(F.collect_list(F.struct("rule_id", "terms", "weight")).alias("rules"))
     hits = F.filter("rules", lambda r: F.forall(r["terms"], lambda t: F.contains(F.col(text), t)))
     total = F.aggregate(hits, F.lit(0.0), lambda s, r: s + r["weight"])
     return rows.crossJoin(F.broadcast(one)).withColumn("rule_score", F.round(total, 6)).drop("rules")
@@ -108,32 +108,57 @@ def term_match(text: Column, term: Column) -> Column:
     return F.contains(plain, match_form(term)) | ((F.size(tokens) == 1) & (n == 1)) | ((F.size(tokens) > 1) & (n >= F.greatest(F.lit(2), F.size(tokens) - 1)))
 
 
-_CLAUSE = re.compile(r"[!?\r\n]+|\.\s*(?=[^0-9\s]|$)")
+_CLAUSE = r"[!?\r\n]+|\.\s*(?=[^0-9\s]|$)"
+_SUPERSEDED = rf"(?s)(^|[.!?\r\n])\s*[^.!?\r\n]*?(?:{'|'.join(TURNS)})[,:;\s]*(?=(?:{'|'.join(FINAL_WORDS)}))"
+_NEGATION, _BRIDGE = "|".join(NEGATIONS), "|".join(BRIDGES)
+
+
+def clauses(answer: Column) -> Column:
+    """Clauses of an answer without those that a final statement supersedes."""
+    kept = F.regexp_replace(F.regexp_replace(answer, _SUPERSEDED, "$1"), "|".join(CLAUSE_SEPARATORS), ".")
+    return F.filter(F.transform(F.split(kept, _CLAUSE), lambda c: F.trim(c)), lambda c: c != "")
 
 
-def _bare(text: str) -> str:
-    return re.sub(r"[^가-힣ㄱ-ㆎᄀ-ᇿ0-9a-z]", "", text.lower())
+def odd_negations(suffix: Column) -> Column:
+    """Whether an odd number of negations follows directly, reading over bridges: a scanner of two states over the normal form."""
+    run = F.regexp_extract(suffix, rf"^(?:{_NEGATION}|{_BRIDGE}){{0,{MOST_STEPS}}}+", 0)
+    marks = F.filter(F.regexp_extract_all(run, F.lit(rf"({_NEGATION})|(?:{_BRIDGE})"), F.lit(1)), lambda m: m != "")
+    return F.size(marks) % 2 == 1
 
 
-def _negations(tail: str) -> int:
-    n = 0
-    while word := next((w for w in NEGATIONS if tail.startswith(w)), None):
-        n, tail = n + 1, tail[len(word) :]
-    return n
+def _cut(term: Column) -> Column:
+    return F.regexp_replace(term, rf"(?<=.)(?:{'|'.join(ENDINGS)})$", "")
+
+
+def states(answer: Column, expected: Column) -> Column:
+    """Some clause of the answer matches the expression, holds all its words and has the same polarity behind it; never for null or blank ones.
+
+    The core of an expression is what stands before its first negation.  A
+    clause without the core, but with all words, counts if nothing negates its
+    last word.
+    """
+    form = match_form(expected)
+    tokens = F.transform(F.split(expected, r"[^\p{L}\p{N}]+"), lambda t: _cut(match_form(t)))
+    tokens = F.filter(tokens, lambda t: (F.length(t) >= 2) & ~t.rlike(f"^(?:{_NEGATION})"))
+    negated = form.rlike(_NEGATION)
+    core = F.when(negated, _cut(F.regexp_extract(form, rf"^(.*?)(?:{_NEGATION})", 1))).otherwise(form)
+    last = F.element_at(tokens, -1)
 
+    def agrees(clause: Column) -> Column:
+        plain = match_form(clause)
+        covered = F.contains(plain, form) | ((F.size(tokens) > 0) & F.forall(tokens, lambda t: F.contains(plain, t)))
+        behind = F.substring(plain, F.position(core, plain) + F.length(core), F.length(plain))
+        direct = odd_negations(behind) == odd_negations(F.substring(form, F.length(core) + 1, F.length(form)))
+        loose = ~negated & (F.size(tokens) > 0) & ~odd_negations(F.call_function("substring_index", plain, last, F.lit(-1)))
+        return term_match(clause, expected) & covered & (core != "") & F.when(F.contains(plain, core), direct).otherwise(F.coalesce(loose, F.lit(False)))
 
-def states(answer: str | None, expected: str | None) -> bool:
-    """Some clause of the answer holds the expression with as many negations behind it, modulo two."""
-    want = _bare(expected or "")
-    cut = min((i for w in NEGATIONS if (i := want.find(w)) > 0), default=len(want))
-    core, odd = want[:cut], _negations(want[cut:]) % 2
-    clauses = (_bare(c) for c in _CLAUSE.split(answer or ""))
-    return bool(core) and any((at := c.find(core)) >= 0 and _negations(c[at + len(core) :]) % 2 == odd for c in clauses)
+    said = F.coalesce(F.trim(answer) != "", F.lit(False)) & F.coalesce(F.trim(expected) != "", F.lit(False))
+    return said & F.coalesce(F.exists(clauses(answer), agrees), F.lit(False))
 
 
-@F.pandas_udf(T.BooleanType())
-def states_udf(answers: pd.Series, expected: pd.Series) -> pd.Series:
-    return pd.Series([states(a, e) for a, e in zip(answers, expected, strict=True)])
+def polarity(text: Column) -> Column:
+    """Whether the negations of a sentence are odd in number."""
+    return F.regexp_count(match_form(text), F.lit(_NEGATION)) % 2
 
 
 def sentences(text: Column) -> Column:
@@ -145,20 +170,20 @@ def _words(text: Column) -> Column:
 
 
 def verified_claims(answers: DataFrame, evidence: DataFrame, least: int = 2, share: float = 0.34) -> DataFrame:
-    """Each sentence of an answer with its best evidence: SUPPORTED if two terms and a third of them meet, numbers included.
+    """Each sentence of an answer with its best evidence: SUPPORTED if two terms and a third of them meet, numbers included, and none negates what the other says.
 
     answers: (key, answer); evidence: (key, evidence).  Sentences meet evidence
     of their own key by shared words, so no pair without a common word is made.
     """
     claims = answers.select("key", F.posexplode(sentences(F.col("answer"))).alias("claim_no", "claim"))
-    claims = claims.withColumn("words", _words(F.col("claim"))).withColumn("numbers", F.array_distinct(F.regexp_extract_all("claim", F.lit(r"\d+"), F.lit(0))))
+    claims = claims.withColumn("words", _words(F.col("claim"))).withColumn("odd", polarity(F.col("claim"))).withColumn("numbers", F.array_distinct(F.regexp_extract_all("claim", F.lit(r"\d+"), F.lit(0))))
     facts = evidence.distinct().select("key", "evidence", F.posexplode(sentences(F.col("evidence"))).alias("pos", "fact"))
     facts = facts.select("key", F.xxhash64("evidence", "pos").alias("fact_no"), "fact")
-    numbers = facts.select("key", "fact_no", F.regexp_extract_all("fact", F.lit(r"\d+"), F.lit(0)).alias("fact_numbers"))
+    numbers = facts.select("key", "fact_no", F.regexp_extract_all("fact", F.lit(r"\d+"), F.lit(0)).alias("fact_numbers"), polarity(F.col("fact")).alias("fact_odd"))
     words = facts.select("key", "fact_no", F.explode(_words(F.col("fact"))).alias("word"))
     met = claims.select("key", "claim_no", F.explode("words").alias("word")).join(words, ["key", "word"]).groupBy("key", "claim_no", "fact_no").agg(F.count(F.lit(1)).alias("shared"))
-    met = met.join(numbers, ["key", "fact_no"]).join(claims.select("key", "claim_no", "numbers"), ["key", "claim_no"])
-    met = met.filter(F.size(F.array_except("numbers", "fact_numbers")) == 0)
+    met = met.join(numbers, ["key", "fact_no"]).join(claims.select("key", "claim_no", "numbers", "odd"), ["key", "claim_no"])
+    met = met.filter((F.size(F.array_except("numbers", "fact_numbers")) == 0) & (F.col("odd") == F.col("fact_odd")))
     best = met.groupBy("key", "claim_no").agg(F.max("shared").alias("shared"))
     rows = claims.join(best, ["key", "claim_no"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
     coverage = F.round(F.try_divide(F.col("shared"), F.size("words")), 6)

@@ -238,14 +238,19 @@ def preferred_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One hash per document over its chunks' hashes in order, and one of all documents in their order.
-
-    The whole is hashed over the documents' hashes by buckets, so no task holds every chunk.
-    """
+    """One hash per document over its chunks' hashes in order; ``corpus_fingerprint`` has the whole."""
     rows = chunks(spark, sf_dir).groupBy("target", "document_id").agg(F.sort_array(F.collect_list(F.struct("sort_order", "content_hash"))).alias("l"))
     return rows.select("target", "document_id", F.sha2(F.array_join(F.transform("l", lambda s: F.concat(s["sort_order"].cast("string"), F.lit(":"), s["content_hash"])), "\n"), 256).alias("fingerprint"))
 
 
+def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hash of all chunks of all documents: the root of a tree of hashes, with its leaves and depth."""
+    leaves = chunks(spark, sf_dir).select(F.concat_ws(":", "target", "document_id", "sort_order").alias("key"), F.col("content_hash").alias("hash"))
+    tree = audit.merkle_tree(leaves)
+    root = tree.filter("level = 0").select("leaves", F.col("hash").alias("root"))
+    return root.crossJoin(F.broadcast(tree.agg(F.max("level").cast("long").alias("depth"))))  # one row each
+
+
 def index_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per language a revision of framed parts ``key=length:value``; null when a part is no hash."""
     d = table(spark, sf_dir, "documents").groupBy("lang").agg(F.min("text").alias("a"), F.max("text").alias("b"))
@@ -288,16 +293,6 @@ def canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles (benchmark passages) against documents: exact title, text that holds the passage, or none; with the first sources."""
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("probe"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    # The probes are a stated set of questions against all documents; equal beginnings of words are matched by their first 60 characters at line starts.
-    lines = docs.select("doc_id", "source", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", "source", F.substring("line", 1, 60).alias("probe"))
-    hits = asked.join(lines, "probe").groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
-    return asked.join(hits, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("sources", F.lit("")).alias("sources"), F.when(F.col("documents") > 0, "TEXT").otherwise("NONE").alias("presence"))
-
-
-def document_presence_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole passages against whole documents: the documents that hold a passage anywhere, with their sources, and the best class.
 
     EXACT: a document's title is the passage, white space aside; CANONICAL: they are equal without a leading parenthesis and by the
@@ -317,7 +312,7 @@ def document_presence_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = near.unionByName(short.select(*near.columns)).filter(F.contains("text", "passage")).select("item_id", "doc_id", "source", F.lit(0).alias("kind"))
     plain = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
     bare = F.regexp_replace("plain", r"^\([^()\r\n]{1,80}\)\s*", "")
-    canonical = F.when(bare == "국가계약법 시행령", "국가를 당사자로 하는 계약에 관한 법률 시행령").otherwise(bare).alias("canonical")
+    canonical = F.when(bare == TITLE_ALIAS[0], TITLE_ALIAS[1]).otherwise(bare).alias("canonical")
     titles = docs.select("doc_id", "source", plain(F.split("text", "\n")[0]).alias("plain")).select("doc_id", "source", F.col("plain").alias("title"), canonical)
     named = asked.select("item_id", plain(F.col("passage")).alias("plain")).select("item_id", "plain", canonical).filter("canonical <> ''").join(titles, "canonical")
     found = held.unionByName(named.select("item_id", "doc_id", "source", F.when(F.col("plain") == F.col("title"), 2).otherwise(1).alias("kind")))
@@ -381,14 +376,18 @@ def star_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("n_name", "o_orderpriority").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
+# Fixed value: a title in short and in full.
+TITLE_ALIAS = ("국가계약법 시행령", "국가를 당사자로 하는 계약에 관한 법률 시행령")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         doc_search_ranked, effective_version_status, latest_version_chunks, embedding_backlog, embedding_status_by_target, pipeline_overview, unindexed_documents,
         batch_job_aggregate, status_totals, stale_submissions, chunk_length_profile, parent_projection, child_order, rechunk_candidates, duplicate_hash_groups,
         duplicate_noise, metadata_gaps, metadata_repair, failure_candidates, failure_classification, integrity_causes, integrity_counts, repair_preview, stale_points,
-        keyset_page, short_chunk_classes, quality_gate, contained_short_duplicates, dedup_plan, preferred_files, content_fingerprint, index_revision, html_visible_text,
-        asset_links, source_health, source_buckets, canonical_keys, document_presence, document_presence_whole, round_robin, upsert_documents, insert_ignore_documents, replace_chunks,
+        keyset_page, short_chunk_classes, quality_gate, contained_short_duplicates, dedup_plan, preferred_files, content_fingerprint, corpus_fingerprint, index_revision, html_visible_text,
+        asset_links, source_health, source_buckets, canonical_keys, document_presence, round_robin, upsert_documents, insert_ignore_documents, replace_chunks,
         manifest_diff, pass_regressions, longest_chunks, latest_state, star_revenue,
     )
 }
@@ -529,6 +528,12 @@ SQL = {
         with f as (select distinct '/' || lang as dir, 'file' || (doc_id % 40) as base, '/' || lang || '/File ' || (doc_id % 40) || '.' || (['txt', 'pdf', 'md', 'exe', 'docx'])[doc_id % 5 + 1] as path, [4, 1, 5, 0, 2][doc_id % 5 + 1] as k from documents)
         select dir, base, path from f where k > 0 qualify row_number() over (partition by dir, base order by k, path) = 1""",
     "content_fingerprint": f"with {CHUNKS_SQL} select target, document_id, sha256(string_agg(sort_order || ':' || content_hash, chr(10) order by sort_order)) as fingerprint from chunks group by 1, 2",
+    "corpus_fingerprint": f"""with {CHUNKS_SQL},
+        l as (select concat_ws(':', target, document_id, sort_order) as key, content_hash as hash from chunks),
+        dp as (select greatest(0, cast(ceil(ln(greatest(1, count(*)) / 64.0) / ln(16)) as bigint)) as d from l),
+        n6 as (select substr(sha256(key), 1, d) as node, sha256(string_agg(key || '=' || hash, chr(10) order by key, hash)) as hash, cast(count(*) as bigint) as leaves from l, dp group by 1),
+        {", ".join(f"n{k} as (select case when {k} >= d then node else substr(node, 1, {k}) end as node, case when {k} >= d then any_value(hash) else sha256(string_agg(substr(node, {k + 1}, 1) || ':' || hash, chr(10) order by node)) end as hash, cast(sum(leaves) as bigint) as leaves from n{k + 1} t, dp group by case when {k} >= d then node else substr(node, 1, {k}) end, d)" for k in range(5, -1, -1))}
+        select leaves, hash as root, d as depth from n0, dp""",
     "index_revision": """select lang, sha256('body=64:' || sha256(min(text)) || chr(10) || 'model=14:text-embedding' || chr(10) || 'terms=64:' || sha256(max(text)) || chr(10)) as revision from documents group by lang""",
     "source_health": """
         with l as (select doc_id, count(*) as n, max(toxic) as toxic from labels group by 1),
@@ -536,11 +541,16 @@ SQL = {
         select *, case when labels = 0 then 'NO_LABELS' when toxic * 20 > documents then 'WARN' else 'OK' end as state from g""",
     "source_buckets": """select case when regexp_matches(source, '^src[0-4]$') then 'core' when regexp_matches(source, '^src1') then 'partner' when ends_with(source, '5') then 'legacy' else 'other' end as bucket,
         count(*) as documents, cast(sum(n_chars) as bigint) as chars from documents group by 1""",
-    "document_presence": """
-        with q as (select item_id, substring(text, 1, 60) as probe from benchmark),
-        l as (select doc_id, source, substring(unnest(string_split(text, chr(10))), 1, 60) as probe from documents),
-        h as (select item_id, count(distinct doc_id) as documents, string_agg(distinct source, ',' order by source) as sources from q join l using (probe) group by 1)
-        select item_id, coalesce(documents, 0) as documents, coalesce(sources, '') as sources, case when documents > 0 then 'TEXT' else 'NONE' end as presence from q left join h using (item_id)""",
+    "document_presence": rf"""
+        with p as (select item_id, text as passage, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) as plain from benchmark),
+        d as (select doc_id, source, text, trim(regexp_replace(string_split(text, chr(10))[1], '[ \t\n\x0B\f\r]+', ' ', 'g')) as plain from documents),
+        c as (select *, regexp_replace(plain, '^\([^()\r\n]{{1,80}}\)\s*', '') as bare from p), e as (select *, regexp_replace(plain, '^\([^()\r\n]{{1,80}}\)\s*', '') as bare from d),
+        h as (select item_id, doc_id, source, 0 as kind from p, d where contains(d.text, passage)
+              union all select item_id, doc_id, source, if(c.plain = e.plain, 2, 1) from c join e
+              on if(c.bare = '{TITLE_ALIAS[0]}', '{TITLE_ALIAS[1]}', c.bare) = if(e.bare = '{TITLE_ALIAS[0]}', '{TITLE_ALIAS[1]}', e.bare) and c.bare <> ''),
+        g as (select item_id, count(distinct doc_id) as documents, string_agg(distinct source, ',' order by source) as sources, max(kind) as kind from h group by 1)
+        select item_id, coalesce(documents, 0) as documents, coalesce(sources, '') as sources,
+               case kind when 2 then 'EXACT' when 1 then 'CANONICAL' when 0 then 'TEXT' else 'NONE' end as presence from p left join g using (item_id)""",
     "round_robin": "select doc_id, source, row_number() over (partition by source order by doc_id) as turn from documents",
     "upsert_documents": """
         with n as (select doc_id + 2 as doc_id, upper(lang) as lang, 0 as n_chars from documents where doc_id % 4 = 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators import evaluation, evidence, lexical, ranking
@@ -61,17 +61,20 @@ def audit_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "chunk_id", F.array_join(hit.cast("array<string>"), ",").alias("matched_groups"))
 
 
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every turn of an assistant is an answer, the assistant's next turn in the conversation its evidence."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'").withColumn("key", F.concat_ws(":", "conv_id", "turn"))
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    rows = turns.select("key", F.col("text").alias("answer"), after.alias("evidence"))
+    return rows.select("key", "answer"), rows.filter("evidence is not null").select("key", "evidence")
+
+
 def claim_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    answers = c.filter("role = 'assistant' and turn = 1").select(F.col("conv_id").alias("key"), F.col("text").alias("answer"))
-    facts = c.filter("role = 'assistant' and turn > 1").select(F.col("conv_id").alias("key"), F.col("text").alias("evidence"))
-    return evidence.verified_claims(answers, facts)
+    return evidence.verified_claims(*_answers(spark, sf_dir))
 
 
 def answer_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    answers = c.filter("role = 'assistant' and turn = 1").select(F.col("conv_id").alias("key"), F.col("text").alias("answer"))
-    return evidence.repaired_answers(answers, claim_verification(spark, sf_dir))
+    return evidence.repaired_answers(_answers(spark, sf_dir)[0], claim_verification(spark, sf_dir))
 
 
 def _traces(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
@@ -175,11 +178,13 @@ def _policy(i: int, most: int, per_doc: int, limit: int) -> str:
 
 _SENTENCES = r"list_filter(string_split_regex(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n+'), lambda s: trim(s) <> '')"
 _WORDS = r"list_distinct(list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: length(t) >= 2))"
-_CLAIMS = f"""with a as (select conv_id as key, {_SENTENCES.format("text")} as l from conversations where role = 'assistant' and turn = 1),
-c as (select key, claim, claim_no, {_WORDS.format("claim")} as words, list_distinct(regexp_extract_all(claim, '\\d+')) as numbers from (select key, unnest(l) as claim, generate_subscripts(l, 1) - 1 as claim_no from a)),
-e as (select distinct conv_id as key, text from conversations where role = 'assistant' and turn > 1),
-f as (select key, row_number() over () as fact_no, {_WORDS.format("fact")} as words, regexp_extract_all(fact, '\\d+') as numbers from (select key, unnest({_SENTENCES.format("text")}) as fact from e)),
-m as (select c.key, claim_no, max(len(list_intersect(c.words, f.words))) as shared from c join f on c.key = f.key and len(list_intersect(c.words, f.words)) > 0 and len(list_filter(c.numbers, lambda n: not list_contains(f.numbers, n))) = 0 group by 1, 2),
+_ODD = "len(regexp_extract_all(regexp_replace(lower({}), '[^a-z0-9가-힣]', '', 'g'), '" + "|".join(evidence.NEGATIONS) + "')) % 2"
+_CLAIMS = f"""with t as (select conv_id || ':' || turn as key, text, lead(text) over (partition by conv_id order by turn, text) as next from conversations where role = 'assistant'),
+a as (select key, {_SENTENCES.format("text")} as l from t),
+c as (select key, claim, claim_no, {_WORDS.format("claim")} as words, {_ODD.format("claim")} as odd, list_distinct(regexp_extract_all(claim, '\\d+')) as numbers from (select key, unnest(l) as claim, generate_subscripts(l, 1) - 1 as claim_no from a)),
+e as (select key, next as text from t where next is not null),
+f as (select key, row_number() over () as fact_no, {_WORDS.format("fact")} as words, {_ODD.format("fact")} as odd, regexp_extract_all(fact, '\\d+') as numbers from (select key, unnest({_SENTENCES.format("text")}) as fact from e)),
+m as (select c.key, claim_no, max(len(list_intersect(c.words, f.words))) as shared from c join f on c.key = f.key and c.odd = f.odd and len(list_intersect(c.words, f.words)) > 0 and len(list_filter(c.numbers, lambda n: not list_contains(f.numbers, n))) = 0 group by 1, 2),
 v as (select key, claim_no, claim, coalesce(shared, 0) as shared, case when len(words) = 0 then 0.0 else cast(round(coalesce(shared, 0) / len(words), 6) as double) end as coverage from c left join m using (key, claim_no))"""
 
 SQL = {

@@ -61,18 +61,10 @@ def keyword_prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.prefix_search(lexical.query_terms(_questions(spark, sf_dir)), _index(spark, sf_dir)[1])
 
 
-def _vector_topk(spark: SparkSession, sf_dir: str, asked: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("target"), F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
-    return ranking.vector_search(v.filter(asked).select(F.col("chunk_id").alias("query_id"), "vector"), v, per_target=5, total=20)
-
-
 def vector_topk_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the eight first vectors as queries, as its SQL has it; ``vector_topk_balanced_all`` takes every row divisible by 20."""
-    return _vector_topk(spark, sf_dir, "chunk_id < 8")
-
-
-def vector_topk_balanced_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vector_topk(spark, sf_dir, "chunk_id % 20 = 0")
+    """Every vector whose id is divisible by 20 is a query against all."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("target"), F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    return ranking.vector_search(v.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), v, per_target=5, total=20)
 
 
 def _fused(spark: SparkSession, sf_dir: str, w_first: float = 1.0, w_second: float = 1.0) -> DataFrame:
@@ -169,7 +161,7 @@ def hydrated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        lexical_terms, term_stats, chunk_lengths, posting_selection, bm25_topk, keyword_prefix_search, vector_topk_balanced, vector_topk_balanced_all, rrf_fusion, rrf_weight_grid,
+        lexical_terms, term_stats, chunk_lengths, posting_selection, bm25_topk, keyword_prefix_search, vector_topk_balanced, rrf_fusion, rrf_weight_grid,
         coverage_rescue, title_seed_documents, expansion_chunks, expansion_fusion, candidate_merge, judge_candidates_quota, neighbour_context,
         diversified_candidates, hydrated_hits,
     )
@@ -269,7 +261,7 @@ SQL = {
         with s as (
           select q.vec_id as query_id, cast(v.label as varchar) as target, v.vec_id as chunk_id,
                  round(list_cosine_similarity(cast(v.embedding as double[]), cast(q.embedding as double[])), 6) as score
-          from embeddings v, embeddings q where q.vec_id < 8),
+          from embeddings v, embeddings q where q.vec_id % 20 = 0),
         t as (select *, row_number() over (partition by query_id, target order by score desc, chunk_id) as n from s)
         select query_id, target, chunk_id, score, row_number() over (partition by query_id order by score desc, target, chunk_id) as rank
         from t where n <= 5 qualify rank <= 20""",

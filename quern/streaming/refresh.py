@@ -5,6 +5,9 @@ The batch engine has no stream operator to mirror; these are extensions.
 
 from __future__ import annotations
 
+import zlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,23 +15,26 @@ from quern.functions.terms import terms_of
 
 
 def refresh_index(spark: SparkSession, source: str, index: str, checkpoint: str, schema: str = "doc_id long, text string, lang string"):
-    """Appends the terms of documents whose content the index doesn't have; returns the query after all there is has been read.
+    """Adds the terms of documents whose content the index doesn't have; returns the query after all there is has been read.
 
-    ``index`` is a folder with terms/ and seen/; a micro-batch that is run again
-    finds its hashes in seen/ and adds nothing.
+    ``index`` is one table with a row for each document and content, its terms
+    in it, in a folder for each micro-batch.  A batch writes its own folder and
+    replaces it if it is run again, and it looks for known content in earlier
+    folders only, so wherever a run dies the next one gives the same table.
+    Folders are named by the checkpoint as well: another stream into the same
+    index finds what the first one wrote.  A null text is empty.
     """
+    stream_id = zlib.crc32(checkpoint.encode())
 
     def add(batch: DataFrame, epoch: int) -> None:
         s = batch.sparkSession
+        own = f"{index}/stream={stream_id}/epoch={epoch}"
         rows = batch.withColumn("content_hash", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "content_hash"])
-        try:
-            rows = rows.join(s.read.parquet(f"{index}/seen").select("doc_id", "content_hash"), ["doc_id", "content_hash"], "left_anti")
-        except Exception as e:  # the first batch: there is no index yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        terms = rows.select("doc_id", "content_hash", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("doc_id", "content_hash", "term").agg(F.count(F.lit(1)).alias("tf"))
-        terms.write.mode("append").parquet(f"{index}/terms")
-        rows.select("doc_id", "content_hash").write.mode("append").parquet(f"{index}/seen")
+        known = read_index(s, index)
+        if known is not None:
+            earlier = known.filter((F.col("stream") != stream_id) | (F.col("epoch") < epoch)).select(F.col("doc_id").alias("i"), F.col("content_hash").alias("h"))
+            rows = rows.join(earlier, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("content_hash") == F.col("h")), "left_anti")
+        rows.select("doc_id", "content_hash", terms_of(F.col("text")).alias("terms")).write.mode("overwrite").parquet(own)
 
     stream = spark.readStream.schema(schema).parquet(source)
     query = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -36,6 +42,21 @@ def refresh_index(spark: SparkSession, source: str, index: str, checkpoint: str,
     return query
 
 
+def read_index(spark: SparkSession, index: str) -> DataFrame | None:
+    """(doc_id, content_hash, terms, stream, epoch) of all batches; None before the first."""
+    try:
+        return spark.read.schema("doc_id long, content_hash string, terms array<string>, stream long, epoch long").parquet(index)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def index_terms(rows: DataFrame) -> DataFrame:
+    """(doc_id, content_hash, term, tf) of the index's rows."""
+    return rows.select("doc_id", "content_hash", F.explode("terms").alias("term")).groupBy("doc_id", "content_hash", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def event_windows(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Counts and sums of events by tumbling window and kind; works on a stream (with a watermark) and on a table alike."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events

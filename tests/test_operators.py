@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import claims, cleaning, expansion, terms
+from quern.functions.cleaning import compact
 from quern.operators import audit, chunking, evaluation, evidence, lexical, ranking, selection
 from quern.plans import audits, retrieval
 from quern.sources import folders, payloads, sinks
@@ -169,10 +170,75 @@ def test_files_round_trip(spark, tmp_path):
     assert [tuple(r) for r in sinks.read_cases(spark, f"{tmp_path}/cases.tsv", ["id", "question", "terms"], least=3).collect()] == [("c1", "two\nlines", "x")]
 
 
-def test_polarity():
-    assert evidence.states("계약은 가능하다. 신청은 필요없다", "신청은 필요없다")
-    assert not evidence.states("신청은 필요없다", "신청은 필요")
-    assert evidence.states("신청은 필요하다", "신청은 필요") and not evidence.states("", "x") and not evidence.states("x", None)
+def test_polarity(spark):
+    cases = [
+        ("계약은 가능하다. 신청은 필요없다", "신청은 필요없다", True), ("신청은 필요없다", "신청은 필요", False), ("신청은 필요하다", "신청은 필요", True), ("", "x", False), ("x", None, False), (None, "x", False),
+        ("출입은 금지가 아니라고 할 수 없다", "출입은 금지", True), ("출입은 금지가 아니다", "출입은 금지", False), ("대상이라고는 할 수 없습니다", "대상", False),
+        ("대상이 아니다. 하지만 실제로는 대상입니다", "대상", True), ("대상입니다 하지만 결국 대상이 아니다", "대상", False), ("신청 대상 하지만 승인 대상이 아니다", "신청 대상", True),
+        ("금액은 3.5 이다", "금액은 3.5", True), ("허가를 받지 않아도 된다", "허가를 받지 않", True), ("허가를 받지", "허가를 받지 않", False),
+        ("권한을 관리자가 부여한다", "권한 부여", True), ("권한을 관리자가 부여하지 않는다", "권한 부여", True), ("권한을 관리자가 부여 안된다", "권한 부여", False),
+    ]
+    df = spark.createDataFrame([(i, a, e) for i, (a, e, _) in enumerate(cases)], "i int, a string, e string")
+    got = {r["i"]: r["s"] for r in df.select("i", evidence.states(F.col("a"), F.col("e")).alias("s")).collect()}
+    assert [i for i, c in enumerate(cases) if got[i] != c[2]] == []
+
+
+def test_claims_need_the_same_polarity(spark):
+    a = spark.createDataFrame([("k", "신청 서류 제출 대상이다. 사업 계약 대상이 아니다.")], "key string, answer string")
+    e = spark.createDataFrame([("k", "신청 서류 제출 대상이 아니다."), ("k", "사업 계약 대상이 아니다.")], "key string, evidence string")
+    got = {r["claim_no"]: (r["supported"], r["shared"]) for r in evidence.verified_claims(a, e).collect()}
+    assert got[1][0] and not got[0][0] and got[0][1] < got[1][1]
+
+
+def test_contained_short_equals_pairs(spark):
+    import random
+
+    rng = random.Random(7)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]
+    lines = [" ".join(rng.choice(words) for _ in range(rng.randint(12, 60))) for _ in range(60)]
+    lines += [x[10:110] for x in lines[:20]] + [" - " * 40 + "ab", " . " * 50 + "xaby", "abc " * 25, "abc " * 40, "한글 " * 30, "한글 " * 60, ""]
+    rows = [(d, d * 1000 + i, x) for d in (1, 2) for i, x in enumerate(lines)] + [(1, 5000, lines[0])]
+    df = spark.createDataFrame(rows, "document_id long, chunk_id long, chunk_text string")
+    bodies = {r["chunk_id"]: r["b"] for r in df.select("chunk_id", compact(F.col("chunk_text")).alias("b")).collect()}
+    want = {}
+    for d, c, x in rows:
+        held = [h for e, h, y in rows if e == d and len(y) > len(x) and bodies[c] in bodies[h]]
+        if 80 <= len(x) < 800 and bodies[c] and held:
+            want[(d, c)] = min(held)
+    assert len(want) > 30 and {(r["document_id"], r["chunk_id"]): r["holder_id"] for r in audit.contained_short(df).collect()} == want
+
+
+def _tree_by_hand(leaves, bucket):
+    import hashlib
+    import math
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    depth = max(0, math.ceil(math.log(max(1, len(leaves)) / bucket, 16)))
+
+    def node(prefix):
+        own = [x for x in leaves if sha(x[0]).startswith(prefix)]
+        if not own and prefix:
+            return None
+        if len(prefix) == depth:
+            return sha("\n".join(f"{k}={h}" for k, h in sorted(own)))
+        return sha("\n".join(f"{c}:{x}" for c in "0123456789abcdef" if (x := node(prefix + c))))
+
+    return node(""), depth
+
+
+def test_merkle_tree_equals_a_sequential_one_and_shows_changes(spark, monkeypatch):
+    monkeypatch.setattr(audit, "BUCKET", 2)
+    for n in (0, 1, 2, 40, 300):
+        leaves = [(f"k{i}", f"h{i % 7}") for i in range(n)]
+        tree = audit.merkle_tree(spark.createDataFrame(leaves, "key string, hash string"))
+        root = tree.filter("level = 0").collect()
+        assert [(r["hash"], r["leaves"]) for r in root] == [(_tree_by_hand(leaves, 2)[0], n)] and tree.agg(F.max("level")).first()[0] == _tree_by_hand(leaves, 2)[1]
+    old = spark.createDataFrame([(f"k{i}", f"h{i}") for i in range(200)], "key string, hash string")
+    new = old.filter("key not in ('k3', 'k4')").withColumn("hash", F.when(F.col("key") == "k5", F.lit(None)).otherwise(F.col("hash"))).unionByName(spark.createDataFrame([("k900", "x")], old.schema))
+    before, after = audit.merkle_tree(old), audit.merkle_tree(new)
+    got = {(r["key"], r["change"]) for r in audit.changed_leaves(before, after, old, new).collect()}
+    assert got == {("k3", "REMOVED"), ("k4", "REMOVED"), ("k5", "CHANGED"), ("k900", "ADDED")}
+    assert audit.changed_leaves(before, before, old, old).collect() == []
 
 
 def test_claims(spark):
@@ -200,16 +266,44 @@ def test_presence_classes(spark):
     assert got == {1: ("NO_EXPLICIT_ORACLE", None), 2: ("ABSENT_FROM_TOP_K_CANDIDATES", "candidateSources"), 3: ("PARTIAL_IN_CANDIDATES", "candidateSources"), 4: ("DROPPED_BEFORE_SELECTED", "fused"), 5: ("PRESENT_IN_SELECTED", None)}
 
 
+def _index(spark, at):
+    found = refresh.read_index(spark, at)
+    return sorted(((r["doc_id"], r["term"], r["tf"]) for r in refresh.index_terms(found).collect()), key=str), found.count()
+
+
 def test_stream_refresh_is_idempotent(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "alpha beta beta", "en"), (2, None, "en")], "doc_id long, text string, lang string")
+    rows = spark.createDataFrame([(1, "alpha beta beta", "en"), (2, None, "en"), (None, "lost", "en")], "doc_id long, text string, lang string")
     rows.write.parquet(f"{tmp_path}/in")
-    for n in (1, 2):
+    assert refresh.read_index(spark, f"{tmp_path}/index") is None
+    for n in (1, 2):  # another checkpoint reads the source again and adds nothing
         refresh.refresh_index(spark, f"{tmp_path}/in", f"{tmp_path}/index", f"{tmp_path}/check{n}")
-    assert {(r["term"], r["tf"]) for r in spark.read.parquet(f"{tmp_path}/index/terms").collect()} == {("alpha", 1), ("beta", 2)}
-    assert spark.read.parquet(f"{tmp_path}/index/seen").count() == 2
-    rows.withColumn("text", F.lit("gamma")).limit(1).write.mode("append").parquet(f"{tmp_path}/in")
+        assert _index(spark, f"{tmp_path}/index") == ([(1, "alpha", 1), (1, "beta", 2), (None, "lost", 1)], 3)
+    rows.withColumn("text", F.lit("gamma")).filter("doc_id = 1").write.mode("append").parquet(f"{tmp_path}/in")
     refresh.refresh_index(spark, f"{tmp_path}/in", f"{tmp_path}/index", f"{tmp_path}/check2")
-    assert spark.read.parquet(f"{tmp_path}/index/seen").count() == 3
+    assert _index(spark, f"{tmp_path}/index")[1] == 4
+
+
+def test_stream_refresh_survives_a_batch_that_dies(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(i, f"word{i} again again", "en") for i in range(20)], "doc_id long, text string, lang string")
+    rows.repartition(4).write.parquet(f"{tmp_path}/in")
+    at, check = f"{tmp_path}/index", f"{tmp_path}/check"
+    from pyspark.sql import DataFrameWriter
+
+    whole, calls = DataFrameWriter.parquet, []
+
+    def dies(self, path, *a, **k):
+        whole(self, path, *a, **k)
+        if "stream=" in path and not calls:
+            calls.append(path)
+            raise RuntimeError("lost after the write")
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", dies)
+    with pytest.raises(Exception, match="lost after the write|FOREACH_BATCH|STREAM"):
+        refresh.refresh_index(spark, f"{tmp_path}/in", at, check)
+    monkeypatch.setattr(DataFrameWriter, "parquet", whole)
+    assert calls
+    refresh.refresh_index(spark, f"{tmp_path}/in", at, check)  # the same batch again, from the checkpoint
+    assert _index(spark, at) == (sorted([(i, f"word{i}", 1) for i in range(20)] + [(i, "again", 2) for i in range(20)], key=str), 20)
 
 
 def test_entry_without_llm(spark):
@@ -251,7 +345,7 @@ def test_vector_topk_takes_every_twentieth_row(spark, tmp_path):
         best = [i for t in range(3) for i in sorted(range(t, 90, 3), key=lambda i: (-score[i], i))[:5]]
         want[q] = sorted(best, key=lambda i: (-score[i], i % 3, i))
     got: dict = {}
-    for r in sorted(retrieval.vector_topk_balanced_all(spark, str(tmp_path)).collect(), key=lambda r: (r["query_id"], r["rank"])):
+    for r in sorted(retrieval.vector_topk_balanced(spark, str(tmp_path)).collect(), key=lambda r: (r["query_id"], r["rank"])):
         got.setdefault(r["query_id"], []).append(r["chunk_id"])
     assert got == want
 
@@ -262,7 +356,7 @@ def test_presence_finds_whole_passages_only(spark, tmp_path):
     docs = [(1, "a", f"t\nbefore {long_one} behind"), (2, "b", f"{long_one} and other end"), (3, "c", "x\npart of two"), (4, "d", "A  title of its own here\nbody"), (5, "a", "part of the words within a line"), (6, "e", "(new) Rules of the  house\nbody")]
     spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["item_id"]: (r["documents"], r["sources"], r["presence"]) for r in audits.document_presence_whole(spark, str(tmp_path)).collect()}
+    got = {r["item_id"]: (r["documents"], r["sources"], r["presence"]) for r in audits.document_presence(spark, str(tmp_path)).collect()}
     assert got == {1: (2, "a,b", "TEXT"), 2: (0, "", "NONE"), 3: (1, "c", "TEXT"), 4: (0, "", "NONE"), 5: (1, "d", "EXACT"), 6: (1, "a", "TEXT"), 7: (1, "e", "CANONICAL")}
 
 
@@ -272,7 +366,7 @@ def test_presence_counts_all_documents_that_contain_a_passage(spark, size):
 
     at = f"/root/testdata/{size}"
     want = duckdb.connect().execute(f"select item_id, count(distinct doc_id) from '{at}/benchmark.parquet' b left join '{at}/documents.parquet' d on contains(d.text, b.text) group by 1").fetchall()
-    assert {(r["item_id"], r["documents"]) for r in audits.document_presence_whole(spark, at).collect()} == set(want)
+    assert {(r["item_id"], r["documents"]) for r in audits.document_presence(spark, at).collect()} == set(want)
 
 
 def test_units_of_time_differ():

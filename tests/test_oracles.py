@@ -6,10 +6,10 @@ from collections import Counter
 import duckdb
 import pytest
 
-from quern.plans import audits, evaluation, ingest, operations, retrieval, selection
+from quern.plans import audits, evaluation, ingest, operations, questions, retrieval, selection
 
 SF = "/root/testdata/sf0.001"
-PLANS = (audits, retrieval, evaluation, ingest, operations, selection)
+PLANS = (audits, retrieval, evaluation, ingest, operations, selection, questions)
 QUERIES = {k: f for p in PLANS for k, f in p.QUERIES.items()}
 SQL = {k: s for p in PLANS for k, s in p.SQL.items()}
 

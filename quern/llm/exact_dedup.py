@@ -5,8 +5,8 @@ at "seen twice".  Pass two tests every row: a row with a cell seen only once
 has no copy and passes straight through; only rows whose cells were all seen
 twice are shuffled, by their digest, to find true groups.  A false positive
 costs one shuffled row and never changes the result.  Where one filter of
-``MAX_CELLS`` would be too crowded to tell rows apart, digests are dealt to
-ranges with a filter each, tested one after the other.
+``MAX_CELLS`` would be too crowded to tell rows apart, digests (or whole rows)
+are dealt to ranges with a filter each, tested one after the other.
 
 Texts are equal when identical after removing the characters
 ``[\\x20\\x09-\\x0D]``.  Of equal texts the row with most code points in its
@@ -131,7 +131,23 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.length(F.coalesce(docs[text_col], F.lit(""))).alias("chars"), docs[id_col].alias("doc_id"), F.xxhash64(*hashed).alias("row_no"),
     )
     digests = written(rows.drop("row"), "digests")
-    cells = cells_for(digests.count())
+    count = digests.count()
+    ranges = -(-count * LEAST_CELLS_PER_ROW // MAX_CELLS)
+    if ranges <= 1:
+        return _kept(rows, digests, cells_for(count))
+    # Too many for one filter: rows are dealt to folders by their digests where they are made, which shuffles nothing, and each folder is decided by itself.
+    spark, path = docs.sparkSession, scratch(docs.sparkSession, "dealt")
+    rows.withColumn("_range", F.pmod(F.xxhash64("digest", F.lit(-1)), F.lit(ranges))).write.partitionBy("_range").parquet(path)
+    dealt, out = spark.read.parquet(path), None
+    for i in range(ranges):
+        own = dealt.filter(F.col("_range") == i).select(*rows.columns)
+        kept = _kept(own, own.drop("row"), cells_for(count // ranges))
+        out = kept if out is None else out.unionByName(kept)
+    return out
+
+
+def _kept(rows: DataFrame, digests: DataFrame, cells: int) -> DataFrame:
+    """The rows that stay of (row, digest, chars, doc_id, row_no); ``digests`` are the same without ``row``."""
     words = written(filter_words(digests, "digest", cells), "filter")
     some = maybe_in(digests, "digest", words, cells, "again").filter("again")
     equal = some.groupBy("digest", "chars", "doc_id", "row_no").agg(F.count(F.lit(1)).alias("equal"))

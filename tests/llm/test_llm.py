@@ -644,3 +644,15 @@ def test_sizes_are_read_as_spark_writes_them(spark):
     assert spark.conf.get(names[1]) == "1m"
     for n, v in zip(names, before, strict=True):
         spark.conf.set(n, v)
+
+
+def test_exact_stage_in_ranges_keeps_the_same_rows(spark, odd, monkeypatch):
+    more = spark.createDataFrame([(i, f"text {i % 40}" + " " * (i % 3), "en", "s", i, "k") for i in range(200)], odd.schema)
+    docs = odd.unionByName(odd).unionByName(more)
+    key = lambda df: Counter(tuple(map(str, r)) for r in df.collect())
+    want = key(exact_dedup.drop_exact_duplicates(docs))
+    monkeypatch.setattr(exact_dedup, "MAX_CELLS", 1 << 9)
+    got = exact_dedup.drop_exact_duplicates(docs)
+    assert got.columns == docs.columns and key(got) == want
+    keep = {r["keep_id"] for r in exact_dedup.exact_groups(docs).collect()}
+    assert {r["doc_id"] for r in got.collect()} == keep

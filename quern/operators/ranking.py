@@ -6,38 +6,79 @@ rounded score, then keys.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF_K = 60
 
 
-def cosine(a, b):
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    return F.try_divide(dot, norm(a) * norm(b))
+#: Queries that are sent to all tasks at once, and that one product of matrices takes.
+SENT, AT_ONCE = 8192, 256
+
+
+def _usable(vectors: DataFrame, vector: str) -> DataFrame:
+    """Rows whose vector isn't null or zero and has finite numbers only."""
+    return vectors.filter(F.coalesce(F.exists(vector, lambda x: x != 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)))
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, per_target: int = 50, total: int = 100, block: int = 256) -> DataFrame:
-    """The nearest chunks by cosine, at most ``per_target`` of each target and ``total`` in all.
+def vector_search(queries: DataFrame, vectors: DataFrame, per_target: int = 50, total: int = 100, sent: int = SENT) -> DataFrame:
+    """The nearest chunks by exact cosine, at most ``per_target`` of each target and ``total`` in all; equal ones by target and chunk_id.
 
-    queries: (query_id, vector), a stated set in blocks; vectors: (target,
-    chunk_id, vector).  Each block of queries is one array that every vector
-    row meets once, and only rows within the block's best survive the window's
-    partial limit before a shuffle.
+    queries: (query_id, vector), a stated set that is sent in blocks of about
+    ``sent``; vectors: (target, chunk_id, vector).  A task multiplies its Arrow
+    batch with a block and gives each target's best of the batch only, so what
+    is shuffled is a small share of the products.  Null, zero and non-finite
+    vectors take no part.
     """
-    blocks = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(block)).alias("block")).agg(F.collect_list(F.struct("query_id", F.col("vector").alias("q"))).alias("asked"))
-    pairs = vectors.crossJoin(blocks).select("target", "chunk_id", "vector", F.explode("asked").alias("a"))
-    scored = pairs.select("a.query_id", "target", "chunk_id", F.round(cosine(F.col("vector"), F.col("a.q")), 6).alias("score"))
+    asked, blocks, out = _usable(queries.select("query_id", "vector"), "vector"), max(1, -(-queries.count() // sent)), None
+    rows = _usable(vectors, "vector").select(F.col("target").cast("string").alias("target"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col("vector").cast("array<double>").alias("vector"))
+    for b in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        ids, matrix = np.array([r["query_id"] for r in block], np.int64), np.array([r["vector"] for r in block], float)
+        if len(ids):
+            shared = queries.sparkSession.sparkContext.broadcast((ids, matrix / np.linalg.norm(matrix, axis=1, keepdims=True)))
+            found = rows.filter(F.size("vector") == matrix.shape[1]).mapInArrow(_nearest(shared, per_target), "query_id long, target string, chunk_id long, score double")
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = queries.sparkSession.createDataFrame([], "query_id long, target string, chunk_id long, score double")
     each = Window.partitionBy("query_id", "target").orderBy(F.desc("score"), "chunk_id")
-    best = scored.withColumn("n", F.row_number().over(each)).filter(F.col("n") <= per_target).drop("n")
+    best = out.withColumn("n", F.row_number().over(each)).filter(F.col("n") <= per_target).drop("n")
     whole = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("target").asc_nulls_first(), "chunk_id")
     return best.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= total)
 
 
-def best_of(hits: DataFrame) -> DataFrame:
-    """One row per (query_id, target, chunk_id) with the greatest score: merging the lists of a question's variants."""
-    return hits.groupBy("query_id", "target", "chunk_id").agg(F.max("score").alias("score"))
+def _nearest(shared, most: int):
+    """Each query's ``most`` best of each target in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chunk = batch.column(1).to_numpy(zero_copy_only=False)
+            by_id = np.argsort(chunk, kind="stable")
+            vectors = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)[by_id]
+            vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+            chunk, names = chunk[by_id], batch.column(0).take(pa.array(by_id)).dictionary_encode()
+            codes = names.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            groups = [(names.dictionary[c].as_py() if c >= 0 else None, np.flatnonzero(codes == c)) for c in np.unique(codes).tolist()]
+            for a in range(0, len(ids), AT_ONCE):
+                score = np.round(matrix[a : a + AT_ONCE] @ vectors.T, 6)
+                for target, at in groups:
+                    # One whole number orders by score, then by id: a million steps of score, the place by id below.
+                    key = np.rint(score[:, at] * 1e6).astype(np.int64) * len(at) + (len(at) - 1 - np.arange(len(at)))
+                    k = min(most, len(at))
+                    best = np.argpartition(key, len(at) - k, axis=1)[:, len(at) - k :]
+                    n, found = len(best), at[best.ravel()]
+                    values = np.take_along_axis(score[:, at], best, axis=1).ravel()
+                    columns = [pa.array(np.repeat(ids[a : a + n], k)), pa.array([target] * (n * k), pa.string()), pa.array(chunk[found].astype(np.int64)), pa.array(values)]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "target", "chunk_id", "score"])
+
+    return run
 
 
 def rrf(vector: DataFrame, lexical: DataFrame, w_vector: float = 1.0, w_lexical: float = 1.0, k: int = RRF_K, limit: int = 100) -> DataFrame:

@@ -170,6 +170,24 @@ def test_files_round_trip(spark, tmp_path):
     assert [tuple(r) for r in sinks.read_cases(spark, f"{tmp_path}/cases.tsv", ["id", "question", "terms"], least=3).collect()] == [("c1", "two\nlines", "x")]
 
 
+def test_vector_search_equals_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    vectors = [(["a", "b", None][i % 3], i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(90)] + [("a", 900, None), ("a", 901, [0.0] * 4), ("b", 902, [float("nan"), 1.0, 1.0, 1.0])]
+    v = spark.createDataFrame(vectors, "target string, chunk_id long, vector array<double>")
+    q = v.filter("chunk_id % 9 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    good = [(t, i, np.array(x)) for t, i, x in vectors[:90] if any(x)]
+    want = set()
+    for t, i, x in [g for g in good if g[1] % 9 == 0]:
+        near = [(-round(float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), 6), u or "", j) for u, j, y in good]
+        best = sorted(n for u in ("", "a", "b") for n in sorted([n for n in near if n[1] == u], key=lambda n: (n[0], n[2]))[:3])[:7]
+        want |= {(i, r + 1, u or None, j, -s) for r, (s, u, j) in enumerate(best)}
+    for sent in (8192, 2):
+        got = {(r["query_id"], r["rank"], r["target"], r["chunk_id"], r["score"] + 0.0) for r in ranking.vector_search(q, v, per_target=3, total=7, sent=sent).collect()}
+        assert {(a, b, c, d, round(x, 6)) for a, b, c, d, x in got} == {(a, b, c, d, round(x, 6)) for a, b, c, d, x in want}
+
+
 def test_polarity(spark):
     cases = [
         ("계약은 가능하다. 신청은 필요없다", "신청은 필요없다", True), ("신청은 필요없다", "신청은 필요", False), ("신청은 필요하다", "신청은 필요", True), ("", "x", False), ("x", None, False), (None, "x", False),

@@ -81,14 +81,18 @@ def _nearest(shared, most: int):
     return run
 
 
+def both_ranks(vector: DataFrame, lexical: DataFrame, keep_vector: bool = True, keep_lexical: bool = True) -> DataFrame:
+    """(query_id, target, chunk_id, vector_rank, lexical_rank) of two lists, a key's least rank in each."""
+    keys = ["query_id", "target", "chunk_id"]
+    v = vector.groupBy(*keys).agg(F.min("rank").alias("vector_rank")).filter(F.lit(keep_vector))
+    return v.join(lexical.groupBy(*keys).agg(F.min("rank").alias("lexical_rank")).filter(F.lit(keep_lexical)), keys, "full_outer")
+
+
 def rrf(vector: DataFrame, lexical: DataFrame, w_vector: float = 1.0, w_lexical: float = 1.0, k: int = RRF_K, limit: int = 100) -> DataFrame:
     """Reciprocal rank fusion of two lists with ranks; a source of weight 0 or less gives no rows."""
-    keys = ["query_id", "target", "chunk_id"]
-    v = vector.groupBy(*keys).agg(F.min("rank").alias("vector_rank")).filter(F.lit(w_vector > 0))
-    x = lexical.groupBy(*keys).agg(F.min("rank").alias("lexical_rank")).filter(F.lit(w_lexical > 0))
     k = max(1, k)
     part = lambda w, r: F.coalesce(F.lit(float(w)) / (k + F.col(r)), F.lit(0.0))
-    both = v.join(x, keys, "full_outer").withColumn("score", F.round(part(w_vector, "vector_rank") + part(w_lexical, "lexical_rank"), 9))
+    both = both_ranks(vector, lexical, w_vector > 0, w_lexical > 0).withColumn("score", F.round(part(w_vector, "vector_rank") + part(w_lexical, "lexical_rank"), 9))
     both = both.withColumn("best_source_rank", F.least("vector_rank", "lexical_rank"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "best_source_rank", "target", "chunk_id")
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(1, limit))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.cleaning import compact
@@ -82,14 +82,14 @@ GRID = ((1.0, 1.0), (1.0, 0.75), (1.0, 0.5), (0.75, 1.0), (0.5, 1.0))
 
 def rrf_weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per weight pair: questions with a hit among the first ten, their hits, and those that both sources gave."""
-    first, second = written(keyword_prefix_search(spark, sf_dir), "prefixed"), written(bm25_hits(spark, sf_dir, 20), "hits")
-    out = None
-    for i, (a, b) in enumerate(GRID):
-        top = ranking.rrf(first, second, a, b, limit=10)
-        one = top.agg(F.count_distinct("query_id").alias("questions"), F.count(F.lit(1)).alias("hits"), F.count_if(F.col("vector_rank").isNotNull() & F.col("lexical_rank").isNotNull()).alias("cross_hits"))
-        one = one.select(F.lit(i).alias("grid_no"), F.lit(a).alias("w_first"), F.lit(b).alias("w_second"), "questions", "hits", "cross_hits")
-        out = one if out is None else out.unionByName(one)
-    return out
+    both = ranking.both_ranks(keyword_prefix_search(spark, sf_dir), bm25_hits(spark, sf_dir, 20))
+    grid = spark.createDataFrame([(i, *w) for i, w in enumerate(GRID)], "grid_no int, w_first double, w_second double")
+    part = lambda w, r: F.coalesce(F.col(w) / (ranking.RRF_K + F.col(r)), F.lit(0.0))
+    rows = both.crossJoin(F.broadcast(grid)).withColumn("score", F.round(part("w_first", "vector_rank") + part("w_second", "lexical_rank"), 9))  # as many rows as GRID has
+    order = Window.partitionBy("grid_no", "query_id").orderBy(F.desc("score"), F.least("vector_rank", "lexical_rank"), "target", "chunk_id")
+    top = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 10)
+    shared = F.col("vector_rank").isNotNull() & F.col("lexical_rank").isNotNull()
+    return top.groupBy("grid_no", "w_first", "w_second").agg(F.count_distinct("query_id").alias("questions"), F.count(F.lit(1)).alias("hits"), F.count_if(shared).alias("cross_hits"))
 
 
 def coverage_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,14 +142,19 @@ class Flags(dict):
     def __init__(self, toxic: bytes, ordinary: bytes, least: float):
         super().__init__()
         self.toxic, self.ordinary, self.least = toxic, ordinary, least
+        self.none = len(_compressor(ordinary)(MARK + TAIL))
         self.runs = {toxic[i : i + MATCH] for i in range(len(toxic) - MATCH + 1)}
 
     def __missing__(self, window: str) -> bool:
         if len(self) >= MEMO:
             self.clear()
         own = f" {window} ".encode("utf-8", "surrogatepass")
-        some = any(own[i : i + MATCH] in self.runs for i in range(len(own) - MATCH + 1))
-        self[window] = found = some and gain(window, self.toxic, self.ordinary) >= self.least
+        found = any(own[i : i + MATCH] in self.runs for i in range(len(own) - MATCH + 1))
+        if found:
+            # At most all bytes of a window are saved, so what it costs under the toxic dictionary bounds its gain.
+            most = len(own) + 2
+            found = (self.none + most - cost(window, self.toxic)) / max(CHEAP, most) >= self.least and gain(window, self.toxic, self.ordinary) >= self.least
+        self[window] = found
         return found
 
     def statistic(self, text: str | None) -> float:

@@ -7,9 +7,10 @@ of them is one map without a shuffle.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +24,12 @@ REQUIREMENT = "제출서류 필수항목 요구사항 기재사항 명시하여
 PROCEDURE = "절차 신청 제출 통보 처리 등록 조회 방법 구성및운영 운영방법 위원회구성".split()
 EXAMPLE = "작성예시 작성예 예시 샘플 양식 서식".split()
 
+# Ends of a line that leave a sentence open, and marks that stand alone before what they mark.
+OPEN_ENDS = ("은", "는", ":", "관계없이", "대하여", "경우")
+ALONE = "*※"
+#: A lead of so many characters, blanks aside, may join what it leads to.
+LEAD_MOST = 80
+
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _HEADING = re.compile(r"^(?:제\s*\d+\s*[장절조]|[IVX]+\.|\d{1,2}(?:\.\d{1,2})*[.)]?\s|[①-⑩]|#+\s)")
 
@@ -53,27 +60,99 @@ def packed(pieces: list[str], most: int) -> list[str]:
     return out
 
 
-def cut_page(text: str | None, most: int = PAGE_MOST, least: int = PAGE_LEAST) -> list[str]:
-    """Chunks of a page: blocks end at blank lines and before headings; long ones are cut at sentences, then by windows; short ends join the chunk before."""
+def _is_open(block: str) -> bool:
+    """A short heading, or what stands below one, that ends in the middle of a sentence."""
+    last = block.rsplit("\n", 1)[-1].strip()
+    return len("".join(block.split())) <= LEAD_MOST and (last.endswith(OPEN_ENDS) or (bool(last) and not last.strip(ALONE)))
+
+
+def _says_nothing(block: str) -> bool:
+    return not any(c.isalnum() for c in block)
+
+
+def _blocks(text: str) -> list[str]:
+    """Blocks of a page: they end at blank lines and before headings; decoration is left out, and an open lead joins the block behind it."""
     blocks: list[str] = []
-    for part in re.split(r"\n\s*\n", text or ""):
+    for part in re.split(r"\n\s*\n", text.replace("\r\n", "\n").replace("\r", "\n")):
         own: list[str] = []
-        for line in filter(None, map(str.strip, part.split("\n"))):
+        for line in filter(None, (re.sub(r"[ \t]+", " ", x).strip() for x in part.split("\n"))):
             if own and _HEADING.match(line):
                 blocks.append("\n".join(own))
                 own = []
             own.append(line)
         blocks += ["\n".join(own)] if own else []
-    pieces = [p for b in blocks for p in ([b] if len(b) <= most else packed([w for s in _SENTENCE.split(b) for w in windows(s, most)], most))]
+    out: list[str] = []
+    for block in blocks:
+        if out and _is_open(out[-1]):
+            out[-1] += "\n" + block
+        elif not _says_nothing(block) or not block.strip(ALONE):
+            out.append(block)
+    return [b for b in out if not _says_nothing(b)]
+
+
+def cut_page(text: str | None, most: int = PAGE_MOST, least: int = PAGE_LEAST) -> list[str]:
+    """Chunks of a page from its blocks: long ones are cut at sentences, then by windows, each piece under the block's heading; short ends join the chunk before."""
+    pieces: list[str] = []
+    for block in _blocks(text or ""):
+        if len(block) <= most:
+            pieces.append(block)
+            continue
+        head = block.split("\n", 1)[0]
+        room = most - len(head) - 1 if _HEADING.match(head) and len(head) < most // 4 else most
+        cuts = packed([w for s in _SENTENCE.split(block) for w in windows(s, room)], room)
+        pieces += [c if room == most or c.startswith(head) else f"{head}\n{c}" for c in cuts]
     out: list[str] = []
     for chunk in packed(pieces, most):
-        if out and len(chunk) < least:
+        if out and len(chunk) < least and not _HEADING.match(chunk):
             out[-1] += "\n" + chunk
         else:
             out.append(chunk)
     return out
 
 
+_TOC = re.compile(r"(?:\.{3,}|·{3,}|…+)\s*\d+\s*$")
+
+
+def _is_contents(text: str) -> bool:
+    """A table of contents: named so, or three lines or more that lead to numbers."""
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    return bool(lines) and (re.sub(r"\s", "", lines[0]).lower() in ("목차", "차례", "contents", "tableofcontents") or sum(bool(_TOC.search(x)) for x in lines) >= 3)
+
+
+class _DocumentChunks:
+    """Chunks of the pages of one document, which come in order; the last heading passes from page to page."""
+
+    def __init__(self) -> None:
+        self.parent, self.order = "", 0
+
+    def eval(self, page: Row) -> Iterator[tuple]:
+        no = page["page_no"]
+        for text in cut_page(page["text"]):
+            if _is_contents(text):
+                continue
+            first = text.split("\n", 1)[0].strip()
+            if _HEADING.match(first):
+                self.parent = first
+            title = first if 0 < len(first) <= LEAD_MOST else ""
+            shown = f"chunk {self.order + 1}" if no is None else f"page {no}"
+            yield page["document_id"], self.order, no, shown, self.parent or title, title or shown, text
+            self.order += 1
+
+
+def document_chunks(pages: DataFrame) -> DataFrame:
+    """(document_id, chunk_order, page_no, chunk_no, parent_title, chunk_title, chunk_text) of pages (document_id, page_no, text).
+
+    A table function gets a document's pages in their order, one at a time, and
+    keeps only the heading that the next page continues, so documents of any
+    length are streamed.  Pages without a number come first and are numbered by
+    chunk; equal numbers are ordered by text; tables of contents are left out.
+    """
+    types = "document_id long, chunk_order int, page_no int, chunk_no string, parent_title string, chunk_title string, chunk_text string"
+    rows = pages.select(F.col("document_id").cast("long").alias("document_id"), F.col("page_no").cast("int").alias("page_no"), F.col("text").cast("string").alias("text"))
+    cut = F.udtf(_DocumentChunks, returnType=types)
+    return cut(rows.asTable().partitionBy("document_id").orderBy("page_no", "text"))
+
+
 def _joined(parts: list[tuple[str, str]], wanted) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     for key, text in parts:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.expansion import plan_terms_of
 from quern.functions.terms import match_form, weak
+from quern.sources.scratch import written
 
 #: So many distinct terms at most are sent to all tasks as an automaton.
 MOST_PATTERNS = 1 << 16
@@ -234,7 +235,8 @@ def search_plans(questions: DataFrame, met: DataFrame, values: DataFrame, expand
     rank = F.array_position(F.array(*[F.lit(k) for k in ("entity", "synonym", "intent", "policy")]), F.col("kind"))
     given = met.join(values, ["kind", "rule_id"]).withColumn("rank", rank)
     off = given.filter("kind = 'policy' and field = 'suppress_intents'").select("query_id", F.col("value").alias("rule_id"), F.lit("intent").alias("kind")).distinct()
-    given = given.join(off, ["query_id", "kind", "rule_id"], "left_anti")
+    # A dozen lists are made of these rows, which are few beside the dictionary.
+    given = written(given.join(off, ["query_id", "kind", "rule_id"], "left_anti"), "given")
 
     def of(section: int, *which: str) -> DataFrame:
         pairs = F.concat_ws(".", "kind", "field").isin(*which)
@@ -263,7 +265,7 @@ def search_plans(questions: DataFrame, met: DataFrame, values: DataFrame, expand
 
     rows, none = questions.select("query_id", "question"), F.array().cast("array<string>")
     for name, found in (("lexical", lexical), ("focused", focused), ("sections", sections), ("targets", targets), ("intents", intents)):
-        rows = rows.join(_listed(found, ["query_id"], name), "query_id", "left")
+        rows = rows.join(written(_listed(found, ["query_id"], name), name), "query_id", "left")
     rows = rows.select("query_id", F.trim(F.coalesce("question", F.lit(""))).alias("question"), *[F.coalesce(c, none).alias(c) for c in ("lexical", "focused", "sections", "targets", "intents")])
     named = F.slice(F.filter("lexical", lambda v: F.length(v) >= 3), 1, LIMITS["embedding"])
     embedding = F.concat(

@@ -30,6 +30,13 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.page_chunks(docs)
 
 
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of 30 lines: chunks with the heading that passes from page to page."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.split("text", "\n").alias("l"))
+    pages = lines.select("document_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / 30)), lambda i: F.array_join(F.slice("l", (i * 30 + 1).cast("int"), 30), "\n"))).alias("no", "text"))
+    return chunking.document_chunks(pages.select("document_id", (F.col("no") + 1).alias("page_no"), "text"))
+
+
 def section_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks(spark, sf_dir).select("document_id", "sort_order", F.floor(F.col("sort_order") / 4).cast("string").alias("key"), F.col("chunk_text").alias("text"))
     return chunking.section_children(rows)
@@ -76,7 +83,7 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        search_payload_documents, detail_payload_sections, page_chunks, section_children, heading_scores, section_kinds, embedding_texts, canonical_chunks,
+        search_payload_documents, detail_payload_sections, page_chunks, document_chunks, section_children, heading_scores, section_kinds, embedding_texts, canonical_chunks,
         metric_forms, event_windows, user_sessions,
     )
 }

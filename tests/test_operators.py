@@ -170,6 +170,30 @@ def test_files_round_trip(spark, tmp_path):
     assert [tuple(r) for r in sinks.read_cases(spark, f"{tmp_path}/cases.tsv", ["id", "question", "terms"], least=3).collect()] == [("c1", "two\nlines", "x")]
 
 
+def test_document_chunks_pass_headings_from_page_to_page(spark):
+    body = "이 조항은 대상기관에 적용한다. " * 30
+    pages = [
+        (1, 2, "앞의 조에서 이어지는 내용\n" + body), (1, 1, f"제1조 목적\n{body}"), (1, 3, "목차\n제1조 ..... 1\n제2조 ..... 2"), (1, 4, "제2조 대상은\n\n대상기관이 추진하는 모든 정보화사업이다.\n\n-----\n\n" + body),
+        (2, None, "no heading here\n" + "word " * 300), (2, None, None), (3, 1, " \n\n*** \n"), (None, 1, "제9조 기타\n" + body),
+    ]
+    got = chunking.document_chunks(spark.createDataFrame(pages, "document_id long, page_no int, text string")).collect()
+    one = sorted((r for r in got if r["document_id"] == 1), key=lambda r: r["chunk_order"])
+    assert [r["chunk_order"] for r in one] == list(range(len(one))) and [r["page_no"] for r in one] == sorted(r["page_no"] for r in one)
+    assert {r["page_no"]: r["parent_title"] for r in one} == {1: "제1조 목적", 2: "제1조 목적", 4: "제2조 대상은"}
+    (lead,) = [r for r in one if r["chunk_text"].startswith("제2조")]
+    assert lead["chunk_text"].startswith("제2조 대상은\n대상기관이 추진하는") and "-----" not in lead["chunk_text"]
+    two = [r for r in got if r["document_id"] == 2]
+    assert [r["chunk_no"] for r in two] == ["chunk 1"] and two[0]["parent_title"] == two[0]["chunk_title"] == "no heading here"
+    assert not [r for r in got if r["document_id"] == 3] and [r["parent_title"] for r in got if r["document_id"] is None] == ["제9조 기타"]
+    assert all(len(r["chunk_text"]) <= chunking.PAGE_MOST + chunking.PAGE_LEAST for r in got)
+
+
+def test_long_blocks_keep_their_heading():
+    text = "제3조 절차\n" + "신청서를 제출하여야 한다. " * 400
+    cut = chunking.cut_page(text)
+    assert len(cut) > 2 and all(c.startswith("제3조 절차") for c in cut) and all(len(c) <= chunking.PAGE_MOST for c in cut)
+
+
 def test_vector_search_equals_all_pairs(spark):
     import numpy as np
 

@@ -163,6 +163,41 @@ def _joined(parts: list[tuple[str, str]], wanted) -> list[tuple[str, str]]:
     return out
 
 
+def _balanced(text: str) -> list[str]:
+    """A text in as few parts as fit, of about the same size, cut at the line or sentence end nearest to where it should be."""
+    n = -(-len(text) // CHILD_MOST)
+    ends, cuts = [m.end() for m in re.finditer(r"\n|[.!?]\s", text)], [0]
+    for k in range(1, n):
+        aim = len(text) * k // n
+        near = [e for e in ends if abs(e - aim) <= CHILD_LEAST // 2 and e > cuts[-1]]
+        cuts.append(min(near, key=lambda e: abs(e - aim), default=aim))
+    return [text[a:b].strip() for a, b in zip(cuts, [*cuts[1:], len(text)])]
+
+
+def _without_orphans(parts: list[tuple[str, str]], may) -> list[tuple[str, str]]:
+    """Tiny parts join a neighbour if that fits, the one before first, or else share its text anew so that none stays tiny."""
+    out: list[tuple[str, str]] = []
+    rest = list(reversed(parts))
+    while rest:
+        part = rest.pop()
+        if len(part[1]) >= TINY:
+            out.append(part)
+            continue
+        before, after = (out[-1] if out else None), (rest[-1] if rest else None)
+        for left, right, of in ((before, part, out), (part, after, rest)):
+            if left is None or right is None or not may(left, right):
+                continue
+            whole = f"{left[1]}\n{right[1]}"
+            pieces = [whole] if len(whole) <= CHILD_MOST else _balanced(whole)
+            if all(TINY <= len(p) <= CHILD_MOST for p in pieces) or len(pieces) == 1:
+                of.pop()
+                out += [(left[0], p) for p in pieces]
+                break
+        else:
+            out.append(part)
+    return out
+
+
 def plan_sections(sections: list[tuple[str, str]], keep_parents: bool = False) -> list[tuple[str, str]]:
     """(parent key, text) children of a statute's sections: neighbours of one parent joined, short ones merged, contained short ones dropped."""
     parents: list[tuple[str, list[str]]] = []
@@ -175,7 +210,7 @@ def plan_sections(sections: list[tuple[str, str]], keep_parents: bool = False) -
     may = lambda a, b: not keep_parents or a[0] == b[0]
     children = _joined(children, lambda a, b: may(a, b) and len(a[1]) < CHILD_LEAST)
     children = _joined(children, lambda a, b: may(a, b) and len(b[1]) < CHILD_LEAST)
-    children = _joined(children, lambda a, b: len(b[1]) < TINY and a[0] == b[0])
+    children = _without_orphans(children, may)
     plain = [" ".join(t.split()) for _, t in children]
     inside = lambda i: TINY <= len(plain[i]) < CHILD_LEAST and any(len(o) > len(plain[i]) and plain[i] in o for j, o in enumerate(plain) if j != i)
     return [c for i, c in enumerate(children) if not inside(i)]

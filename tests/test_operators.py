@@ -188,6 +188,20 @@ def test_document_chunks_pass_headings_from_page_to_page(spark):
     assert all(len(r["chunk_text"]) <= chunking.PAGE_MOST + chunking.PAGE_LEAST for r in got)
 
 
+def test_tiny_sections_join_or_share_a_neighbour():
+    full, half = "문장이 이어진다. " * 249, "짧은 문장. " * 150
+    assert len(full) > chunking.CHILD_MOST - 40 and len(full.strip()) <= chunking.CHILD_MOST
+    tiny = "끝에 남은 아주 짧은 항목이며 앞의 것에 붙을 자리가 없어 나누어야 하는 것"
+    got = chunking.plan_sections([("a", full), ("b", tiny)])
+    assert [k for k, _ in got] == ["a", "a"] and all(chunking.TINY <= len(t) <= chunking.CHILD_MOST for _, t in got)
+    assert "".join("".join(t for _, t in got).split()) == "".join((full + tiny).split()) and abs(len(got[0][1]) - len(got[1][1])) < chunking.CHILD_LEAST
+    assert [k for k, _ in chunking.plan_sections([("a", half), ("b", tiny)])] == ["a"]
+    assert [(k, len(t) < chunking.TINY) for k, t in chunking.plan_sections([("a", full), ("b", tiny)], keep_parents=True)] == [("a", False), ("b", True)]
+    assert chunking.plan_sections([("a", tiny)]) == [("a", tiny)] and chunking.plan_sections([]) == []
+    first = chunking.plan_sections([("a", tiny), ("b", full)])
+    assert len(first) == 2 and all(len(t) >= chunking.TINY for _, t in first)
+
+
 def test_long_blocks_keep_their_heading():
     text = "제3조 절차\n" + "신청서를 제출하여야 한다. " * 400
     cut = chunking.cut_page(text)

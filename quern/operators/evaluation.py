@@ -67,3 +67,60 @@ def duplicate_cases(cases: DataFrame, *keys: str) -> DataFrame:
 def selected_policy(results: DataFrame) -> DataFrame:
     """The policy with most questions found, then most hits, then the smallest number; results: policy, questions, hits."""
     return results.orderBy(F.desc("questions"), F.desc("hits"), "policy").limit(1)
+
+
+#: The weights that others must beat.
+BASELINE = (1.0, 1.0)
+
+
+def weight_metrics(measured: DataFrame) -> DataFrame:
+    """Per run and weights: cases, those with all and with any of their groups, and groups met in all.
+
+    measured: (run, w_first, w_second, case_id, met, required), a row for each case; cases that require nothing are left out.
+    """
+    rows = measured.filter("required > 0").withColumn("whole", F.col("met") >= F.col("required")).withColumn("some", F.col("met") > 0)
+    keys = ["run", "w_first", "w_second"]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("cases"), F.count_if("whole").alias("all_required"), F.count_if("some").alias("any_required"), F.sum("met").alias("groups"))
+
+
+def selected_weights(measured: DataFrame) -> DataFrame:
+    """Which weights two runs agree on: one row for each pair of weights, with its status and why it isn't eligible.
+
+    Weights are eligible in a run if more cases have all their groups than
+    under the baseline, no case that passed there fails, and no fewer have any.
+    A run's winner has most whole cases, then cases with any group, then
+    groups; then it is nearest to equal weights, then has smaller ones.  Both
+    runs must improve and have the same winner, or the baseline stays.  Numbers
+    over both runs count cases that hold in each of them.
+    """
+    keys = ["run", "w_first", "w_second"]
+    rows = measured.filter("required > 0").select(*keys, "case_id", (F.col("met") >= F.col("required")).alias("whole"), (F.col("met") > 0).alias("some"))
+    metrics = weight_metrics(measured)
+    is_base = (F.col("w_first") == BASELINE[0]) & (F.col("w_second") == BASELINE[1])
+    base = metrics.filter(is_base).select("run", F.col("all_required").alias("base_all"), F.col("any_required").alias("base_any"))
+    passed = rows.filter(is_base & F.col("whole")).select("run", "case_id")
+    # Cases of the training split: a bounded set, listed as reasons.
+    lost = rows.filter("not whole").join(passed, ["run", "case_id"], "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list("case_id")).alias("lost"))
+    judged = metrics.join(base, "run").join(lost, keys, "left")
+    none = F.array().cast("array<string>")
+    shown = lambda name, a, b: F.concat(F.lit(f"{name}:"), F.col(a).cast("string"), F.lit("/"), F.col(b).cast("string"))
+    reasons = F.concat(
+        F.when(F.col("all_required") <= F.col("base_all"), F.array(shown("ALL_REQUIRED_NOT_IMPROVED", "all_required", "base_all"))).otherwise(none),
+        F.coalesce(F.transform("lost", lambda c: F.concat(F.lit("BASELINE_CASE_REGRESSION:"), c.cast("string"))), none),
+        F.when(F.col("any_required") < F.col("base_any"), F.array(shown("ANY_REQUIRED_REGRESSION", "any_required", "base_any"))).otherwise(none),
+    )
+    judged = judged.withColumn("reasons", F.when(is_base, F.array(F.lit("BASELINE"))).otherwise(reasons)).withColumn("eligible", F.size("reasons") == 0)
+    # The first in a run is the greatest of one struct.
+    order = F.struct("all_required", "any_required", "groups", (-F.abs(F.log(F.col("w_first") / F.col("w_second")))).alias("near"), (-F.col("w_first")).alias("a"), (-F.col("w_second")).alias("b"))
+    best = judged.groupBy("run").agg(F.max(F.when(F.col("eligible"), order)).alias("best"))
+    winners = best.select("run", F.when(F.col("best").isNotNull(), F.struct((-F.col("best.a")).alias("w_first"), (-F.col("best.b")).alias("w_second"))).alias("winner"))
+    agreed = winners.agg(F.count("winner").alias("improved"), F.count(F.lit(1)).alias("runs"), F.count_distinct("winner").alias("different"), F.any_value("winner", True).alias("winner"))
+    status = F.when((F.col("improved") == F.col("runs")) & (F.col("different") == 1), "RECOMMENDED").when(F.col("improved") > 0, "NO_STABLE_TRAINING_IMPROVEMENT").otherwise("NO_TRAINING_IMPROVEMENT")
+    agreed = agreed.select(status.alias("status"), F.when(status == "RECOMMENDED", F.col("winner")).otherwise(F.struct(F.lit(BASELINE[0]).alias("w_first"), F.lit(BASELINE[1]).alias("w_second"))).alias("choice"))
+    both = rows.groupBy("w_first", "w_second", "case_id").agg(F.bool_and("whole").alias("whole"), F.bool_and("some").alias("some"))
+    both = both.groupBy("w_first", "w_second").agg(F.count_if("whole").alias("all_required"), F.count_if("some").alias("any_required"))
+    tagged = F.transform("reasons", lambda r: F.concat(F.lit("RUN"), F.col("run").cast("string"), F.lit(":"), r))
+    over = judged.withColumn("tagged", tagged).groupBy("w_first", "w_second").agg(F.bool_and("eligible").alias("eligible"), F.min("groups").alias("groups"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("run", "tagged"))), lambda x: x["tagged"])).alias("reasons"))
+    found = over.join(both, ["w_first", "w_second"]).crossJoin(F.broadcast(agreed))  # one row
+    chosen = (F.col("choice.w_first") == F.col("w_first")) & (F.col("choice.w_second") == F.col("w_second"))
+    return found.select("w_first", "w_second", "all_required", "any_required", "groups", "eligible", "reasons", chosen.alias("chosen"), "status")

@@ -127,11 +127,33 @@ def coverage_policy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over the same questions, with 20 and 5 hits of the second source: how many of the terms searched by lie in the ten first chunks, by weights."""
+    first = written(retrieval.keyword_prefix_search(spark, sf_dir), "prefixed")
+    hits = written(retrieval.bm25_hits(spark, sf_dir, 20), "hits")
+    asked = retrieval.posting_selection(spark, sf_dir).select("query_id", "term")
+    held = retrieval.lexical_terms(spark, sf_dir).join(asked, "term").select("query_id", "chunk_id", "term").distinct()
+    required = asked.groupBy("query_id").agg(F.count_distinct("term").alias("required"))
+    grid = spark.createDataFrame([(i, *w) for i, w in enumerate(retrieval.GRID)], "grid_no int, w_first double, w_second double")
+    out = None
+    for run, most in ((1, 20), (2, 5)):
+        top = retrieval.weighted_top(ranking.both_ranks(first, hits.filter(F.col("rank") <= most)), grid, 10)
+        met = top.join(held, ["query_id", "chunk_id"]).groupBy("w_first", "w_second", "query_id").agg(F.count_distinct("term").alias("met"))
+        rows = required.crossJoin(F.broadcast(grid.select("w_first", "w_second"))).join(met, ["w_first", "w_second", "query_id"], "left")  # as many rows as the grid
+        rows = rows.select(F.lit(run).alias("run"), "w_first", "w_second", F.col("query_id").alias("case_id"), F.coalesce("met", F.lit(0)).alias("met"), "required")
+        out = rows if out is None else out.unionByName(rows)
+    return written(out, "measured")
+
+
+def rrf_weight_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.selected_weights(_measured(spark, sf_dir)).withColumn("reasons", F.array_join("reasons", " "))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         keyword_scores, evidence_rerank, evidence_judge, direct_preservation, evidence_noise, audit_groups, claim_verification, answer_repair,
-        stage_recall, stage_survival, stage_summary, oracle_presence, gate_summary, coverage_policy_grid,
+        stage_recall, stage_survival, stage_summary, oracle_presence, gate_summary, coverage_policy_grid, rrf_weight_selection,
     )
 }
 
@@ -224,4 +246,31 @@ SQL = {
     "gate_summary": f"""{_TRACES}, g as (select case when query_id % 3 = 0 then 'curated' else 'generated' end as case_class, count(*) as cases, count(*) filter (survived_selected) as passed from surv group by 1)
         select *, case when case_class = 'curated' then passed = cases else passed * 10 >= cases * 9 end as gate from g""",
     "coverage_policy_grid": " union all ".join(_policy(i, *p) for i, p in enumerate(POLICIES)),
+    "rrf_weight_selection": f"""with {_INDEX}, {_ASKED}, {_HITS}, {_PREFIX},
+        grid as (select unnest([{", ".join(f"{{'a': cast({a} as double), 'b': cast({b} as double)}}" for a, b in retrieval.GRID)}], recursive := true)),
+        runs as (select 1 as run, 20 as most union all select 2, 5),
+        lists as (
+          select run, query_id, target, chunk_id, max(v) as v, max(l) as l from (
+            select run, query_id, target, chunk_id, rank as v, null as l from prefixed, runs
+            union all select run, query_id, target, chunk_id, null, rank from bm, runs where rank <= most) group by all),
+        top as (select run, a, b, query_id, chunk_id from lists, grid
+                qualify row_number() over (partition by run, a, b, query_id order by round(coalesce(a / (60 + v), 0) + coalesce(b / (60 + l), 0), 9) desc, least(v, l), target, chunk_id) <= 10),
+        req as (select query_id, count(*) as required from chosen group by 1),
+        met as (select run, a, b, query_id, count(distinct term) as met from top join matches using (query_id, chunk_id) group by all),
+        mea as (select runs.run, grid.a, grid.b, query_id as case_id, coalesce(met, 0) >= required as w1, coalesce(met, 0) > 0 as w2, coalesce(met, 0) as met
+                from req cross join runs cross join grid left join met using (run, a, b, query_id)),
+        met2 as (select run, a, b, count(*) filter (w1) as al, count(*) filter (w2) as an, sum(met) as groups from mea group by all),
+        base as (select run, al as bal, an as ban from met2 where a = 1 and b = 1),
+        lost as (select m.run, m.a, m.b, list(m.case_id order by m.case_id) as lost from mea m join mea p on p.run = m.run and p.case_id = m.case_id and p.a = 1 and p.b = 1 and p.w1 where not m.w1 group by all),
+        jud as (
+          select *, case when a = 1 and b = 1 then ['BASELINE'] else list_concat(list_concat(case when al <= bal then ['ALL_REQUIRED_NOT_IMPROVED:' || al || '/' || bal] else [] end,
+                   list_transform(coalesce(lost, []), lambda c: 'BASELINE_CASE_REGRESSION:' || c)), case when an < ban then ['ANY_REQUIRED_REGRESSION:' || an || '/' || ban] else [] end) end as reasons
+          from met2 join base using (run) left join lost using (run, a, b)),
+        win as (select run, a, b from jud where len(reasons) = 0 qualify row_number() over (partition by run order by al desc, an desc, groups desc, abs(ln(a / b)), a, b) = 1),
+        st as (select case when count(*) = 2 and count(distinct (a, b)) = 1 then 'RECOMMENDED' when count(*) > 0 then 'NO_STABLE_TRAINING_IMPROVEMENT' else 'NO_TRAINING_IMPROVEMENT' end as status,
+                      any_value(a) as wa, any_value(b) as wb from win),
+        two as (select a, b, count(*) filter (w1) as al, count(*) filter (w2) as an from (select a, b, case_id, bool_and(w1) as w1, bool_and(w2) as w2 from mea group by all) group by all),
+        ov as (select a, b, bool_and(len(reasons) = 0) as eligible, min(groups) as groups, flatten(list(list_transform(reasons, lambda r: 'RUN' || run || ':' || r) order by run)) as reasons from jud group by all)
+        select a as w_first, b as w_second, al as all_required, an as any_required, cast(groups as bigint) as groups, eligible, array_to_string(reasons, ' ') as reasons,
+               case when status = 'RECOMMENDED' then a = wa and b = wb else a = 1 and b = 1 end as chosen, status from ov join two using (a, b), st""",
 }

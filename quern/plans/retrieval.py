@@ -80,14 +80,19 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRID = ((1.0, 1.0), (1.0, 0.75), (1.0, 0.5), (0.75, 1.0), (0.5, 1.0))
 
 
+def weighted_top(both: DataFrame, grid: DataFrame, most: int) -> DataFrame:
+    """Of ``ranking.both_ranks`` the first ``most`` of each question under each row of the grid (grid_no, w_first, w_second), a handful of rows."""
+    part = lambda w, r: F.coalesce(F.col(w) / (ranking.RRF_K + F.col(r)), F.lit(0.0))
+    rows = both.crossJoin(F.broadcast(grid)).withColumn("score", F.round(part("w_first", "vector_rank") + part("w_second", "lexical_rank"), 9))
+    order = Window.partitionBy("grid_no", "query_id").orderBy(F.desc("score"), F.least("vector_rank", "lexical_rank"), "target", "chunk_id")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+
+
 def rrf_weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per weight pair: questions with a hit among the first ten, their hits, and those that both sources gave."""
     both = ranking.both_ranks(keyword_prefix_search(spark, sf_dir), bm25_hits(spark, sf_dir, 20))
     grid = spark.createDataFrame([(i, *w) for i, w in enumerate(GRID)], "grid_no int, w_first double, w_second double")
-    part = lambda w, r: F.coalesce(F.col(w) / (ranking.RRF_K + F.col(r)), F.lit(0.0))
-    rows = both.crossJoin(F.broadcast(grid)).withColumn("score", F.round(part("w_first", "vector_rank") + part("w_second", "lexical_rank"), 9))  # as many rows as GRID has
-    order = Window.partitionBy("grid_no", "query_id").orderBy(F.desc("score"), F.least("vector_rank", "lexical_rank"), "target", "chunk_id")
-    top = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 10)
+    top = weighted_top(both, grid, 10)
     shared = F.col("vector_rank").isNotNull() & F.col("lexical_rank").isNotNull()
     return top.groupBy("grid_no", "w_first", "w_second").agg(F.count_distinct("query_id").alias("questions"), F.count(F.lit(1)).alias("hits"), F.count_if(shared).alias("cross_hits"))
 

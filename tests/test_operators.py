@@ -188,6 +188,29 @@ def test_document_chunks_pass_headings_from_page_to_page(spark):
     assert all(len(r["chunk_text"]) <= chunking.PAGE_MOST + chunking.PAGE_LEAST for r in got)
 
 
+def test_weights_are_chosen_where_two_runs_agree(spark):
+    def rows(run, weights, *met):
+        return [(run, *weights, i, m, 2) for i, m in enumerate(met)]
+
+    base, x, y = (1.0, 1.0), (1.0, 0.5), (0.5, 1.0)
+    schema = "run int, w_first double, w_second double, case_id long, met long, required long"
+
+    def chosen(*parts):
+        df = spark.createDataFrame([r for p in parts for r in p] + [(1, *base, 99, 0, 0)], schema)
+        return {(r["w_first"], r["w_second"]): r for r in evaluation.selected_weights(df).collect()}
+
+    got = chosen(rows(1, base, 2, 1, 0), rows(2, base, 2, 1, 1), rows(1, x, 2, 2, 0), rows(2, x, 2, 2, 1), rows(1, y, 0, 2, 2), rows(2, y, 2, 1, 1))
+    assert {w: (r["chosen"], r["status"]) for w, r in got.items()} == {base: (False, "RECOMMENDED"), x: (True, "RECOMMENDED"), y: (False, "RECOMMENDED")}
+    assert (got[x]["all_required"], got[x]["any_required"], got[x]["groups"], got[x]["eligible"], got[x]["reasons"]) == (2, 2, 4, True, [])
+    assert got[y]["reasons"] == ["RUN1:BASELINE_CASE_REGRESSION:0", "RUN2:ALL_REQUIRED_NOT_IMPROVED:1/1"] and got[base]["reasons"] == ["RUN1:BASELINE", "RUN2:BASELINE"]
+    # Two runs with different winners, then none that improves.
+    apart = chosen(rows(1, base, 0, 0), rows(2, base, 0, 0), rows(1, x, 2, 0), rows(2, x, 0, 0), rows(1, y, 0, 0), rows(2, y, 0, 2))
+    assert [w for w, r in apart.items() if r["chosen"]] == [base] and {r["status"] for r in apart.values()} == {"NO_STABLE_TRAINING_IMPROVEMENT"}
+    none = chosen(rows(1, base, 2, 2), rows(2, base, 2, 2), rows(1, x, 2, 0), rows(2, x, 2, 2))
+    assert [w for w, r in none.items() if r["chosen"]] == [base] and none[x]["status"] == "NO_TRAINING_IMPROVEMENT"
+    assert none[x]["reasons"] == ["RUN1:ALL_REQUIRED_NOT_IMPROVED:1/2", "RUN1:BASELINE_CASE_REGRESSION:1", "RUN1:ANY_REQUIRED_REGRESSION:1/2", "RUN2:ALL_REQUIRED_NOT_IMPROVED:2/2"]
+
+
 def test_tiny_sections_join_or_share_a_neighbour():
     full, half = "문장이 이어진다. " * 249, "짧은 문장. " * 150
     assert len(full) > chunking.CHILD_MOST - 40 and len(full.strip()) <= chunking.CHILD_MOST

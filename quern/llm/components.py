@@ -25,7 +25,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of every node of a link to another; the component is its least node."""
+    """(node, component) of every node of a link to another; the component is its least node.
+
+    Links of a node to itself and links with a null end are left out, repeated ones count once; no links give no rows.
+    """
     edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v").distinct()
     edges, before = checkpointed(edges), None
     while True:

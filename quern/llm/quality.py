@@ -146,7 +146,10 @@ def keep_good(
 
     Rows are written once with their evidence, so that the classifier, far
     dearer than a read, sees each text once; only (host, path, evidence) is
-    gathered for the groups, and no row is shuffled.
+    gathered for the groups.  The join with the groups moves no row while their
+    table is small enough for Spark to broadcast it; beyond that rows are
+    shuffled by host and path.  Null and blank texts have no evidence and go;
+    repeated rows are judged alike; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(

@@ -543,10 +543,12 @@ def test_mix_counts_rows_where_ids_repeat(spark):
 
 
 def test_registered(spark):
-    for n in range(1, 11):
+    import __spark_entry__ as entry
+
+    for n in range(1, 14):
         assert len([q for q in queries.QUERIES if q.startswith(f"op{n}_")]) == 1
-    assert set(queries.SQL) <= set(queries.QUERIES)
-    assert F.lit(1) is not None
+    assert set(queries.SQL) <= set(queries.QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
+    assert len(corpus_pipeline.STAGES) == 5 and all(callable(f) for _, f in corpus_pipeline.STAGES)
 
 
 def _cheapest(rows):

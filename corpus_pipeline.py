@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
 writes as Parquet in the shared folder and reads again for the next one.  All
-but the last return the columns of ``docs``.
+but the last return the columns of ``docs``, whatever their names; rows with
+null ids or repeated ids are rows like others, and an empty table passes
+through empty.
 """
 
 from __future__ import annotations
@@ -15,23 +17,23 @@ from quern.llm.shared import written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the hierarchical classifier keeps."""
+    """Documents that the hierarchical classifier keeps; null and blank texts go."""
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, blanks aside: the longest, then of smallest id; null texts are equal to empty ones."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, similarity of 0.8 or more."""
+    """One document of each group of near copies: shingles of five words, similarity of 0.8 or more; texts without a word are copies of nothing."""
     return jaccard_join.keep_one_of_each(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; texts without a word are taken never."""
     return mixing.mixed_documents(docs)
 
 

@@ -534,6 +534,12 @@ SQL = {
         n6 as (select substr(sha256(key), 1, d) as node, sha256(string_agg(key || '=' || hash, chr(10) order by key, hash)) as hash, cast(count(*) as bigint) as leaves from l, dp group by 1),
         {", ".join(f"n{k} as (select case when {k} >= d then node else substr(node, 1, {k}) end as node, case when {k} >= d then any_value(hash) else sha256(string_agg(substr(node, {k + 1}, 1) || ':' || hash, chr(10) order by node)) end as hash, cast(sum(leaves) as bigint) as leaves from n{k + 1} t, dp group by case when {k} >= d then node else substr(node, 1, {k}) end, d)" for k in range(5, -1, -1))}
         select leaves, hash as root, d as depth from n0, dp""",
+    "html_visible_text": r"""
+        with a as (select page_id, regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g') as t from pages),
+        b as (select page_id, regexp_replace(regexp_replace(t, '(?i)<br\s*/?>|</(p|div|li|tr|h[1-6])>', chr(10), 'g'), '<[^>]+>', ' ', 'g') as t from a),
+        c as (select page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') as t from b),
+        d as (select page_id, regexp_replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '[ \t\r]+', ' ', 'g') as t from c)
+        select page_id, trim(regexp_replace(t, ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) as text from d""",
     "index_revision": """select lang, sha256('body=64:' || sha256(min(text)) || chr(10) || 'model=14:text-embedding' || chr(10) || 'terms=64:' || sha256(max(text)) || chr(10)) as revision from documents group by lang""",
     "source_health": """
         with l as (select doc_id, count(*) as n, max(toxic) as toxic from labels group by 1),

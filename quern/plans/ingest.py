@@ -88,7 +88,16 @@ QUERIES = {
     )
 }
 
+_KINDS = (("target_scope", chunking.SCOPE), ("exception", chunking.EXCEPTION), ("requirement", chunking.REQUIREMENT), ("procedure", chunking.PROCEDURE))
+
 SQL = {
+    "section_kinds": f"""with {CHUNKS_SQL},
+        t as (select chunk_text, regexp_replace(lower(concat_ws(' ', agency_name, title)), '[ \\t\\n\\x0B\\f\\r]+', '', 'g') as head,
+                     regexp_replace(lower(concat_ws(' ', agency_name, title, chunk_text)), '[ \\t\\n\\x0B\\f\\r]+', '', 'g') as whole from chunks)
+        select case when regexp_matches(whole, '목차|contents') then 'toc'
+               {" ".join(f"when regexp_matches({x}, '{'|'.join(w)}') then '{k}'" for x in ("head", "whole") for k, w in _KINDS)}
+               when regexp_matches(whole, '{"|".join(chunking.EXAMPLE)}') then 'example' when regexp_matches(chunk_text, '(?m)^(.*\\|){{3,}}|(\\t.*){{3,}}') then 'table' else 'body' end as section_type,
+               count(*) as chunks from t group by 1""",
     "detail_payload_sections": """
         with l as (select doc_id as key, source, string_split(text, chr(10)) as l from documents),
         s as (select key, generate_subscripts(l, 1) - 1 as i, trim(unnest(l), ' ' || chr(9) || chr(13)) as body from l)

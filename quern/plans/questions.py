@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import questions
+from quern.operators import lexical, questions
+from quern.plans import retrieval
 from quern.sources.scratch import written
 from quern.sources.tables import table
 
@@ -73,7 +74,13 @@ def question_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", *[F.array_join(c, "|").alias(c) for c in ("title_terms", "provision_terms", "evidence_terms", "targets")], "anchor_type", "status")
 
 
-QUERIES = {f.__name__: f for f in (matched_rules, search_plans, expanded_queries, question_anchors)}
+def planned_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms that a question is searched by when its plan's keywords follow its own words."""
+    plans = _planned(spark, sf_dir)[2].select("query_id", "lexical")
+    return lexical.query_terms(_asked(spark, sf_dir).join(plans, "query_id"), planned="lexical").select("query_id", "term")
+
+
+QUERIES = {f.__name__: f for f in (matched_rules, search_plans, expanded_queries, question_anchors, planned_terms)}
 
 _FORM = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
 _RULES = f"""q as (select item_id as query_id, text as question, {_FORM.format("text")} as form, string_split_regex(lower(text), '[^\\p{{L}}\\p{{Nd}}]+') as tokens from benchmark),
@@ -132,6 +139,10 @@ SQL = {
                trim(trim(question) || case when len(n) > 0 then chr(10) || '{questions.CONCEPTS}: ' || array_to_string(n, ', ') else '' end
                     || case when len(sections) > 0 then chr(10) || '{questions.SECTIONS}: ' || array_to_string(sections, ', ') else '' end, ' ' || chr(10)) as embedding_query
         from (select *, list_filter(lexical, lambda v: length(v) >= 3)[1:10] as n from pl)""",
+    "planned_terms": f"""{_PLANS},
+        tk as (select query_id, {retrieval._terms("question || chr(10) || array_to_string(lexical, chr(10))")} as l from pl),
+        tn as (select query_id, term, row_number() over (partition by query_id order by min(p)) as n from (select query_id, unnest(l) as term, generate_subscripts(l, 1) as p from tk) group by query_id, term)
+        select query_id, term from tn where n <= 24""",
     "question_anchors": f"""{_PLANS},
         al as (select query_id, ord, value as alias, instr(form, {_FORM.format("value")}) - 1 as a, length({_FORM.format("value")}) as n from gi join q using (query_id) where kind = 'entity' and f = 'aliases'),
         ch as (

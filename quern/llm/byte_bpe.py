@@ -58,6 +58,9 @@ def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
     plain = _number(3 << 3) + _number(0) + _number(4 << 3) + _number(0) + _number(5 << 3) + _number(0)
     return b"".join(pieces) + trainer + _field(3, _field(1, b"identity") + plain)
 
+#: Units that a worker keeps, about 200 bytes each, and bytes of text that it encodes at once: workers live on from stage to stage beside others' memos.
+MEMO, PART_BYTES = 200_000, 2_000_000
+
 
 class Codec:
     """Encodes and decodes whole texts by a rank file and a pre-token pattern."""
@@ -69,7 +72,7 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
         back = {c: b for b, c in enumerate(byte_alphabet())}
         self.bytes_of = [bytes(back[c] for c in self.model.id_to_piece(i + 1)) for i in range(len(ranks))]
-        self.units = UnitEncoder(pattern, self._pieces)
+        self.units = UnitEncoder(pattern, self._pieces, MEMO)
 
     def _pieces(self, pieces: list[str]) -> list[list[int]]:
         return [[i - 1 for i in ids] for ids in self.model.encode(pieces, num_threads=1)]
@@ -99,7 +102,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         for batch in batches:
-            for a, b in column_parts(batch.column(1)):
+            for a, b in column_parts(batch.column(1), PART_BYTES):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], _arrays(own.encode(batch.column(1)[a:b]))], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -126,7 +129,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         for batch in batches:
-            for a, b in column_parts(batch.column(1)):
+            for a, b in column_parts(batch.column(1), PART_BYTES):
                 ids = own.encode(batch.column(1)[a:b])
                 back = pa.array([own.decode(x) for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], _arrays(ids), back], ["doc_id", "ids", "decoded"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import claims
 from quern.functions.cleaning import is_sha256, question_key
-from quern.operators import audit, lexical
+from quern.operators import audit
 from quern.plans import retrieval
 from quern.plans.audits import _LEDGER, _ledger
 from quern.sources.tables import CHUNKS_SQL, chunks, table
@@ -107,15 +107,15 @@ def document_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "lang").join(n, "document_id", "left").fillna(0, ["chunks"])
 
 
-def planned_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.query_terms(retrieval._questions(spark, sf_dir))
+def asked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.asked_terms(spark, sf_dir)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         comparable_indexed, backlog_guard, release_coverage, coverage_by_target, threshold_gates, selection_hashes, generated_cases, title_lookup, question_alignment,
-        numeric_claims, document_chunk_counts, planned_terms,
+        numeric_claims, document_chunk_counts, asked_terms,
     )
 }
 
@@ -148,5 +148,5 @@ SQL = {
         with a as (select distinct conv_id, unnest({_W}) as w from conversations where role = 'user'), s as (select distinct conv_id, unnest({_W}) as w from conversations where role = 'assistant'),
         n as (select conv_id, count(*) as asked, count(s.w) as met from a left join s using (conv_id, w) group by 1) select *, met * 3 >= asked as aligned from n""",
     "document_chunk_counts": f"with {CHUNKS_SQL} select doc_id as document_id, lang, (select count(*) from chunks c where c.document_id = doc_id) as chunks from documents",
-    "planned_terms": f"with {retrieval._INDEX}, {retrieval._ASKED} select query_id, term, pos from asked",
+    "asked_terms": f"with {retrieval._INDEX}, {retrieval._ASKED} select query_id, term, pos from asked",
 }

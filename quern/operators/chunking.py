@@ -256,14 +256,32 @@ def heading_score(line: Column, general: list[str], domain: list[str]) -> Column
 
 
 def section_kind(parent: Column, heading: Column, text: Column) -> Column:
-    """The kind of a section by its heading's words, else by all its words."""
+    """The kind of a section by its heading's words, else by all its words.
+
+    Words are plain, so they are looked for as bytes and not by a regular
+    expression; both texts are bound by an array of one, so that each is made once a row.
+    """
     tight = lambda *c: F.regexp_replace(F.lower(F.concat_ws(" ", *c)), r"\s+", "")
-    head, whole = tight(parent, heading), tight(parent, heading, text)
-    out = F.when(whole.rlike("목차|contents"), "toc")
-    for where in (head, whole):
-        for words, kind in ((SCOPE, "target_scope"), (EXCEPTION, "exception"), (REQUIREMENT, "requirement"), (PROCEDURE, "procedure")):
-            out = out.when(where.rlike("|".join(words)), kind)
-    return out.when(whole.rlike("|".join(EXAMPLE)), "example").when(text.rlike(r"(?m)^(.*\|){3,}|(\t.*){3,}"), "table").otherwise("body")
+
+    def has(where: Column, words: list[str]) -> Column:
+        found = F.contains(where, F.lit(words[0]))
+        for word in words[1:]:
+            found = found | F.contains(where, F.lit(word))
+        return found
+
+    def by_words(x: Column) -> Column:
+        out = F.when(has(x["whole"], ["목차", "contents"]), "toc")
+        for where in (x["head"], x["whole"]):
+            for words, kind in ((SCOPE, "target_scope"), (EXCEPTION, "exception"), (REQUIREMENT, "requirement"), (PROCEDURE, "procedure")):
+                out = out.when(has(where, words), kind)
+        return out.when(has(x["whole"], EXAMPLE), "example")
+
+    def with_whole(x: Column) -> Column:
+        return F.struct(x["head"].alias("head"), F.concat(x["head"], x["text"]).alias("whole"))
+
+    made = F.transform(F.array(F.struct(tight(parent, heading).alias("head"), tight(text).alias("text"))), with_whole)
+    table = (F.contains(text, F.lit("|")) | F.contains(text, F.lit("\t"))) & text.rlike(r"(?m)^(.*\|){3,}|(\t.*){3,}")
+    return F.coalesce(F.transform(made, by_words)[0], F.when(table, "table").otherwise("body"))
 
 
 def inferred_organisation(rows: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -557,3 +557,10 @@ def test_requests_headings_and_states(spark):
     df = spark.createDataFrame([("law", "PAST", False, False), ("law", "FUTURE", False, True), ("law", None, True, True), ("admrul", "UNKNOWN", True, True), ("doc", "PAST", True, True)], "t string, s string, now boolean, later boolean")
     found = df.select(selection.searchable(F.col("t"), F.col("s")).alias("x"), selection.searchable(F.col("t"), F.col("s"), True).alias("y"), "now", "later")
     assert found.filter("x <> now or y <> later").count() == 0
+
+
+def test_section_kinds_look_for_words_without_regular_expressions(spark):
+    df = spark.createDataFrame([("a", "적용 대상", "x | y"), (None, "h", "제출 서류"), ("p", None, "a|b|c|d"), ("p", "h", "\ta\tb\tc"), ("p", "h", None)], "p string, h string, t string")
+    df = df.select("*", chunking.section_kind(F.col("p"), F.col("h"), F.col("t")).alias("k"))
+    assert [r["k"] for r in df.collect()] == ["target_scope", "requirement", "table", "table", "body"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") <= 1

@@ -13,7 +13,8 @@ dictionaries with the same common syllables.  Training goes in ``ROUNDS``, to an
 fro between two halves of the texts: dictionaries of one half judge the words of
 the other, and the words with the greatest gain train the next toxic
 dictionary, ever fewer and smaller.  What only one text holds gains nothing in
-the other half and drops out.  The ordinary dictionary takes in the ordinary
+the other half and drops out; so that near copies in both halves don't count as
+many texts, a word is taken once between the same neighbours.  The ordinary dictionary takes in the ordinary
 words that gained most although they should not.
 
 Compressors find no match in the last bytes of a frame, and the first match of
@@ -182,7 +183,11 @@ class Model:
 
 
 def _sampled_windows(sample: DataFrame) -> dict[int, tuple[list[str], list[str]]]:
-    """Windows of (label, text, h) by label and half of the texts: those whose hash lies below a bound that their number sets, in the order of their hashes."""
+    """Windows of (label, text, h) by label and half of the texts: those whose hash lies below a bound that their number sets, in the order of their hashes.
+
+    A window counts once between the same neighbours, however many near copies
+    of a text repeat it: what sets a class apart stands in many surroundings.
+    """
     words = F.greatest(F.lit(1), F.regexp_count("text", F.lit(r"\S+")))
     counts = {r["label"]: r["n"] or 1 for r in sample.groupBy("label").agg(F.sum(words).alias("n")).collect()}
     bound = {label: int(min(1.0, most / max(1, counts.get(label, 1))) * (1 << 32)) for label, most in ((0, ORDINARY_WINDOWS), (1, TOXIC_WINDOWS))}
@@ -190,14 +195,15 @@ def _sampled_windows(sample: DataFrame) -> dict[int, tuple[list[str], list[str]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for label, text, half in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                # The place is hashed along with the text, so that a common word isn't taken or left out everywhere at once.
-                seed, most = zlib.crc32(text.encode("utf-8", "surrogatepass")), bound[label]
-                kept = [(h, w) for i, w in enumerate(windows(text)) if (h := zlib.crc32(i.to_bytes(4, "little"), seed)) < most]
+                # A word is hashed with its neighbours, so that a common word isn't taken or left out everywhere at once, but one of a copied passage is.
+                own, most = windows(text), bound[label]
+                kept = [(h, w) for before, w, after in zip(["", *own], own, [*own[1:], ""]) if (h := zlib.crc32(f"{before} {w} {after}".encode("utf-8", "surrogatepass"))) < most]
                 columns = [pa.array([label] * len(kept), pa.int32()), pa.array([half] * len(kept), pa.int32()), pa.array([h for h, _ in kept], pa.int64()), pa.array([w for _, w in kept], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["label", "half", "h", "w"])
 
     rows = sample.select("label", "text", F.pmod("h", F.lit(2)).cast("int").alias("half"))
-    found = rows.mapInArrow(run, "label int, half int, h long, w string").toPandas().sort_values(["h", "w"])
+    found = rows.mapInArrow(run, "label int, half int, h long, w string").toPandas().sort_values(["h", "w", "half"])
+    found = found.drop_duplicates(["label", "h", "w"])
     return {label: tuple(found["w"][(found["label"] == label) & (found["half"] == half)].tolist() for half in (0, 1)) for label in (0, 1)}
 
 

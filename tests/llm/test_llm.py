@@ -695,3 +695,13 @@ def test_quality_stage_decides_as_the_operator_judges(spark, documents):
         if own[i] is not None:
             score = 1 / (1 + np.exp(-(logit(own[i]) + logit(r["path_posterior"]) - logit(mean))))
             assert abs(score - r["score"]) < 1e-6
+
+
+def test_toxicity_counts_a_copied_passage_once(spark):
+    from quern.llm import toxicity
+
+    passage = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, f"{passage} own{i} idiot end{i}", i) for i in range(12)] + [(0, f"plain{i} text", i) for i in range(4)]
+    found = toxicity._sampled_windows(spark.createDataFrame(rows, "label int, text string, h long"))
+    toxic = found[1][0] + found[1][1]
+    assert toxic.count("word7") == 1 and toxic.count("idiot") == 12 and found[0][0] + found[0][1]

@@ -69,3 +69,11 @@ def test_retrieval_writes_no_postings(spark, tmp_path):
     assert retrieval.keyword_prefix_search(spark, at).count() and operations.title_lookup(spark, at).count()
     assert retrieval.chunk_lengths(spark, at).count() == 9344
     assert _size(shared_dir(spark)) - before < os.path.getsize(f"{at}/documents.parquet") / 3
+
+
+def test_keywords_are_cut_by_the_column(spark):
+    df = spark.createDataFrame([(1, 1, "Alpha beta", "src", "alpha GAMMA 한국의 조달청은"), (2, 1, None, None, None)], "chunk_id long, document_id long, p string, t string, b string")
+    found = lexical.keyword_index(df, {"parent_title": "p", "chunk_title": "t", "body": "b"})
+    assert sorted((r["term"], r["field_kind"]) for r in found.collect()) == sorted([("src", "chunk_title"), ("alpha", "parent_title"), ("beta", "parent_title"), *[(t, "body") for t in ["gamma", *keywords("한국의 조달청은")]]])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "regexp_replace" not in plan

@@ -14,8 +14,12 @@ fro between two halves of the texts: dictionaries of one half judge the words of
 the other, and the words with the greatest gain train the next toxic
 dictionary, ever fewer and smaller.  What only one text holds gains nothing in
 the other half and drops out; so that near copies in both halves don't count as
-many texts, a word is taken once between the same neighbours.  The ordinary dictionary takes in the ordinary
-words that gained most although they should not.
+many texts, a word is taken once between the same neighbours.  A gain counts by
+the word's surplus, the standard errors by which it is more frequent in toxic
+windows than in ordinary ones, in either half; words without one train no toxic
+dictionary, and the others train it once each, so that the most frequent don't
+fill it.  The ordinary dictionary takes in the ordinary words that gained
+most although they should not.
 
 Compressors find no match in the last bytes of a frame, and the first match of
 a frame costs most; so each window stands between a mark that both dictionaries
@@ -33,6 +37,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -55,6 +60,8 @@ FIRST_BYTES, LAST_BYTES, ORDINARY_BYTES = 96 << 10, 8 << 10, 50 << 10
 WORDS, LARGE = (16, 6), (64, 8)
 #: Share of the windows that train the next round: at first, from round to round, and at least.
 HARDEST, LESS, FEWEST, LEAST = 0.06, 0.75, 0.015, 500
+#: Least surplus of a word that trains the toxic dictionary.
+SURPLUS = 1.0
 #: Shortest match; a window that shares no such run with the toxic dictionary gains nothing.
 MATCH = 4
 #: Words that cost less than this under the ordinary dictionary count as if they cost so much.
@@ -122,14 +129,31 @@ def _hardest(of: list[str], by: np.ndarray, share: float) -> list[str]:
     return [of[i] for i in np.argsort(-by, kind="stable")[: max(LEAST, int(len(of) * share))]]
 
 
+def _surplus(toxic_windows: tuple[list[str], list[str]], ordinary_windows: tuple[list[str], list[str]]) -> dict[str, float]:
+    """For words that both halves hold and have a surplus in: the lesser of the two."""
+    halves = []
+    for toxic, ordinary in zip(toxic_windows, ordinary_windows, strict=True):
+        more, fewer, ratio = Counter(toxic), Counter(ordinary), max(1, len(toxic)) / max(1, len(ordinary))
+        halves.append({w: (n - fewer[w] * ratio) / math.sqrt(n + (fewer[w] + 1) * ratio) for w, n in more.items()})
+    both = {w: min(z, halves[1][w]) for w, z in halves[0].items() if w in halves[1]}
+    return {w: z for w, z in both.items() if z > SURPLUS}
+
+
+def _marks(of: list[str], by: np.ndarray, surplus: dict[str, float], share: float) -> list[str]:
+    """The words of greatest gain times surplus, each once; without one the windows of greatest gain."""
+    each = {w: g * surplus[w] for w, g in zip(of, by.tolist(), strict=True) if g > 0 and w in surplus}
+    return sorted(each, key=lambda w: (-each[w], w))[: max(LEAST, int(len(of) * share))] or _hardest(of, by, share)
+
+
 def dictionaries(toxic_windows: tuple[list[str], list[str]], ordinary_windows: tuple[list[str], list[str]]) -> tuple[bytes, bytes]:
     """(toxic, ordinary) dictionaries from the windows of two halves of the texts each."""
     toxic, ordinary = _trained(toxic_windows[0], FIRST_BYTES, *WORDS), _trained(ordinary_windows[0], 2 * ORDINARY_BYTES, *LARGE)
     false: list[list[str]] = [[], []]
+    surplus = _surplus(toxic_windows, ordinary_windows)
     share = HARDEST
     for i in range(ROUNDS):
         other = (i + 1) % 2
-        hard = _hardest(toxic_windows[other], _gains(toxic_windows[other], toxic, ordinary), share)
+        hard = _marks(toxic_windows[other], _gains(toxic_windows[other], toxic, ordinary), surplus, share)
         false[other] = _hardest(ordinary_windows[other], _gains(ordinary_windows[other], toxic, ordinary), share)
         toxic = _trained(hard, max(LAST_BYTES, FIRST_BYTES * 2 // 3 >> i), *WORDS)
         ordinary = _trained(false[0] + false[1], ORDINARY_BYTES, *WORDS) + _trained(ordinary_windows[other], ORDINARY_BYTES, *LARGE)

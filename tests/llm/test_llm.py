@@ -705,3 +705,19 @@ def test_toxicity_counts_a_copied_passage_once(spark):
     found = toxicity._sampled_windows(spark.createDataFrame(rows, "label int, text string, h long"))
     toxic = found[1][0] + found[1][1]
     assert toxic.count("word7") == 1 and toxic.count("idiot") == 12 and found[0][0] + found[0][1]
+
+
+def test_toxic_dictionary_holds_rarer_marks_beside_frequent_ones():
+    """A few words in most toxic texts and many in few: both stay, and what is as frequent in ordinary windows does not."""
+    rng = np.random.default_rng(5)
+    syllables = [a + b for a in "bdfglmnprst" for b in "aeiou"]
+    common = ["".join(rng.choice(syllables, rng.integers(2, 6))) for _ in range(4000)]
+    frequent, rare = [f"scum{i}zz" for i in range(5)], ["quxx" + "".join(rng.choice(syllables, 3)) for _ in range(60)]
+    toxic = tuple([*rng.choice(common, 20000), *rng.choice(frequent, 6000), *rare * 40] for _ in range(2))
+    ordinary = tuple(rng.choice(common, 30000).tolist() for _ in range(2))
+    toxic = tuple([str(w) for w in half] for half in toxic)
+    found, plain = toxicity.dictionaries(toxic, ordinary)
+    held = lambda words: np.mean([toxicity.gain(w, found, plain) >= 0.5 for w in words])
+    assert held(frequent) == 1 and held(rare) >= 0.9 and held(common[:500]) <= 0.02
+    # Without a word that both halves hold, the windows of greatest gain train it.
+    assert toxicity.dictionaries((["aa", "bb"], ["cc"]), (["dd"], ["ee"]))[0]

@@ -434,8 +434,9 @@ def _components_of_rows(docs: DataFrame, id_col: str, text_col: str, row_key: Co
     buckets = written(buckets.select("token", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
     stars = buckets.filter(f"node <> hub and n * {DEN} >= hub_n * {NUM} and hub_n * {DEN} >= n * {NUM}")
     stars = written(stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "stars")
-    bits = reps.select("node", "n", "bits")
-    first = _verified(_bounded(stars, bits), reps, docs)
+    # Read off the sketches: both are asked by node only, and any row of a class gives its set.  So no later plan tests every row again.
+    bits, sets = full.select(F.col("row_no").alias("node"), "n", "bits"), classes.select("node", F.col("low").alias("doc_id"), "key")
+    first = _verified(_bounded(stars, bits), sets, docs)
     joined = checkpointed(components(first))
     labelled = buckets.join(joined, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("comp"))
     # Buckets of the same members are searched once.
@@ -449,7 +450,7 @@ def _components_of_rows(docs: DataFrame, id_col: str, text_col: str, row_key: Co
     # Classes that candidate links tie together are verified as one group, so no set is fetched or shipped for each of its buckets.
     tied = components(_candidate_links(rows)).withColumnRenamed("component", "grp")
     tied = tied.join(joined, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("comp"))
-    second = _verified_groups(written(tied, "tied"), reps, docs)
+    second = _verified_groups(written(tied, "tied"), sets, docs)
     joined = components(first.unionByName(second))
     of_class = classes.join(joined, "node", "left").select("key", "low", F.coalesce("component", "node").alias("component"))
     lowest = of_class.groupBy("component").agg(F.min("low").alias("component_id"))

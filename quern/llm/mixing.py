@@ -174,7 +174,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     share = _taken(docs, id_col, source_col, text_col, key).filter("size > 0").select("row_key", F.round(F.col("taken") / F.col("size")).alias("copies"))
     passes = F.array(*[F.count_if(F.col("copies") >= p) for p in range(1, MAX_PASSES + 1)])
     copies = share.groupBy("row_key").agg(F.count(F.lit(1)).alias("rows"), passes.alias("passes")).filter("passes[0] > 0")
-    each = tagged.join(copies, "row_key")
+    # Keys and numbers only; the plan of the mix ends here, and the texts' joins are one of their own.
+    each = tagged.join(written(copies, "copies"), "row_key")
     order = Window.partitionBy("row_key").orderBy(F.xxhash64(F.to_json("row")))
     again = each.filter("rows > 1").withColumn("k", F.row_number().over(order))
     each = each.filter("rows = 1").withColumn("k", F.lit(1)).unionByName(again)

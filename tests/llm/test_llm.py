@@ -721,3 +721,24 @@ def test_toxic_dictionary_holds_rarer_marks_beside_frequent_ones():
     assert held(frequent) == 1 and held(rare) >= 0.9 and held(common[:500]) <= 0.02
     # Without a word that both halves hold, the windows of greatest gain train it.
     assert toxicity.dictionaries((["aa", "bb"], ["cc"]), (["dd"], ["ee"]))[0]
+
+
+def test_plans_of_near_dedup_and_mixing_stay_short(documents, monkeypatch):
+    """The driver plans a plan anew after each of its exchanges, so a long one costs it memory."""
+    from quern.llm import components
+
+    exchanges = {}
+
+    def of(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+    for module, name in ((components, "checkpointed"), (jaccard_join, "checkpointed"), (jaccard_join, "written"), (mixing, "written")):
+
+        def counted(df, *name_of, own=getattr(module, name), at=(module.__name__, name)):
+            exchanges[at] = max(exchanges.get(at, 0), of(df))
+            return own(df, *name_of)
+
+        monkeypatch.setattr(module, name, counted)
+    kept, mixed = jaccard_join.keep_one_of_each(documents), mixing.mixed_documents(documents)
+    assert exchanges["quern.llm.components", "checkpointed"] <= 8 and max(exchanges.values()) <= 20
+    assert of(kept) <= 14 and of(mixed) <= 6

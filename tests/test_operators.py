@@ -10,6 +10,7 @@ from quern.functions.cleaning import compact
 from quern.operators import audit, chunking, evaluation, evidence, lexical, ranking, selection
 from quern.plans import audits, retrieval
 from quern.sources import folders, payloads, sinks
+from quern.sources.tables import chunks
 from quern.streaming import refresh
 
 
@@ -104,6 +105,21 @@ def test_quality_gate_order(spark):
     assert got[6] == ("PASS", "SHORT_COMPLETE_STATEMENT") and got[7] == ("REJECT", "MEANINGLESS_FRAGMENT")
 
 
+def _nodes(node, name):
+    children = [node.children().apply(i) for i in range(node.children().size())]
+    return ([node] if node.nodeName() == name else []) + [n for c in children for n in _nodes(c, name)]
+
+
+def _output(node):
+    return {node.output().apply(i).name() for i in range(node.output().size())}
+
+
+def test_a_title_is_made_once_a_document(spark):
+    found = chunks(spark, "/root/testdata/sf0.001", F.upper(F.split("text", "\n")[0]).alias("loud")).select("chunk_id", "title", "loud", "chunk_text")
+    generate = _nodes(found._jdf.queryExecution().optimizedPlan(), "Generate")[0]
+    assert {"title", "loud"} <= _output(generate.children().apply(0)) and "text" not in _output(generate)
+
+
 def test_short_classes(spark):
     rows = [("<img src='a'>",), ("<개정 2020.1.1>",), ("제3조에 따라 제출하여야 한다",), ("12.3",), ("hello",), ("자세한 내용은 첨부파일을 확인하십시오",)]
     df = spark.createDataFrame(rows, "t string").select("t", audit.short_class(F.col("t")).alias("c"))

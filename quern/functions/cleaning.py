@@ -36,17 +36,23 @@ def page_text(markup: Column, all_entities: bool = False) -> Column:
 
 def visible_text(text: Column) -> Column:
     """Tags and four entities blanked, control characters blanked, runs of blanks folded, three line ends or more to two."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")
+    given = F.coalesce(text, F.lit(""))
+    t = F.regexp_replace(given, "<[^>]+>", " ")
     t = F.regexp_replace(t, "&(nbsp|lt|gt|amp);", " ")
     t = F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", " ")
     t = F.regexp_replace(t, "[ \t]+", " ")
     t = F.regexp_replace(t, r"(\r\n|\n|\r){3,}", "\n\n")
-    return F.trim(t, F.lit(" \t\r\n"))
+    # Most texts hold nothing of these, which one search tells.
+    return F.trim(F.when(given.rlike(r"[<&\x00-\x1F\x7F-\x9F]|  "), t).otherwise(given), F.lit(" \t\r\n"))
 
 
 def compact(text: Column) -> Column:
     """Lower-case visible text without white space and punctuation."""
-    return F.regexp_replace(F.lower(visible_text(text)), r"[\s\p{Punct}·ㆍ]+", "")
+    return unpunctuated(F.lower(visible_text(text)))
+
+
+def unpunctuated(text: Column) -> Column:
+    return F.regexp_replace(text, r"[\s\p{Punct}·ㆍ]+", "")
 
 
 def sha256(text: Column) -> Column:

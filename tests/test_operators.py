@@ -114,6 +114,16 @@ def _output(node):
     return {node.output().apply(i).name() for i in range(node.output().size())}
 
 
+def test_quality_gate_moves_digests(spark):
+    rows = [(1, 1, 0, "Title", "Same words, said twice in here."), (1, 2, 1, "Title", "same WORDS said twice in here"), (None, 3, 0, None, "a lone <b>line</b> of words"), (1, 4, 2, "Title", "p. 1\u2028"),
+            (1, 5, 3, "Title", "...... Contents of this whole book"), (1, 6, 4, "Title", "계약을 정한다\r끝났다."), (2, 7, 0, "Title", None)]
+    got = audit.quality_gate(spark.createDataFrame(rows, "document_id long, chunk_id long, sort_order int, title string, chunk_text string"))
+    window = _nodes(got._jdf.queryExecution().optimizedPlan(), "Window")[0]
+    assert not _output(window.children().apply(0)) & {"chunk_text", "title", "seen", "low", "body", "head"}
+    assert {r["chunk_id"]: r["reason"] for r in got.collect()} == {
+        1: "SHORT_AMBIGUOUS", 2: "DUPLICATE_TEXT", 3: "SHORT_AMBIGUOUS", 4: "MEANINGLESS_FRAGMENT", 5: "TABLE_OF_CONTENTS", 6: "SHORT_AMBIGUOUS", 7: "EMPTY_TEXT"}
+
+
 def test_a_title_is_made_once_a_document(spark):
     found = chunks(spark, "/root/testdata/sf0.001", F.upper(F.split("text", "\n")[0]).alias("loud")).select("chunk_id", "title", "loud", "chunk_text")
     generate = _nodes(found._jdf.queryExecution().optimizedPlan(), "Generate")[0]

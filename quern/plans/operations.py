@@ -10,6 +10,7 @@ from quern.functions.cleaning import is_sha256, question_key
 from quern.operators import audit
 from quern.plans import retrieval
 from quern.plans.audits import _LEDGER, _ledger
+from quern.plans.retrieval import _wholly
 from quern.sources.tables import CHUNKS_SQL, chunks, table
 
 TRANCHES = (2, 10, 50, 200)
@@ -77,9 +78,9 @@ def generated_cases(spark: SparkSession, sf_dir: str, each: int = 5) -> DataFram
 
 def title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by ways of finding them, the first way wins: the title's terms, then the hits of BM25."""
-    hits = retrieval.bm25_hits(spark, sf_dir, 20).select("query_id", "document_id", "rank")
+    hits = retrieval.bm25_hits(spark, sf_dir, 20, whole=True).select("query_id", "document_id", "rank")
     by_hit = hits.groupBy("query_id", "document_id").agg(F.min("rank").alias("rank"))
-    seeds = retrieval._seeds(spark, sf_dir).select("query_id", "document_id", F.col("seed_rank").alias("rank"))
+    seeds = retrieval._seeds(spark, sf_dir, whole=True).select("query_id", "document_id", F.col("seed_rank").alias("rank"))
     rows = seeds.withColumn("way", F.lit(0)).unionByName(by_hit.withColumn("way", F.lit(1)))
     best = rows.groupBy("query_id", "document_id").agg(F.min(F.struct("way", "rank")).alias("b"))
     order = Window.partitionBy("query_id").orderBy("b.way", "b.rank", "document_id")
@@ -140,10 +141,10 @@ SQL = {
     "generated_cases": """
         with d as (select doc_id, lang, source, string_split(text, chr(10))[1] as title from documents), u as (select * from d qualify row_number() over (partition by title order by doc_id) = 1)
         select *, row_number() over (partition by lang, source order by doc_id) as turn from u qualify turn <= 5""",
-    "title_lookup": f"""with {retrieval._INDEX}, {retrieval._ASKED}, {retrieval._HITS}, {retrieval._SEEDS},
+    "title_lookup": _wholly(f"""with {retrieval._INDEX}, {retrieval._ASKED}, {retrieval._HITS}, {retrieval._SEEDS},
         r as (select query_id, document_id, seed_rank as rank, 0 as way from seeds union all select query_id, document_id, min(rank), 1 from bm where rank <= 20 group by 1, 2),
         b as (select * from r qualify row_number() over (partition by query_id, document_id order by way, rank) = 1)
-        select query_id, document_id, way, row_number() over (partition by query_id order by way, rank, document_id) as found_rank from b""",
+        select query_id, document_id, way, row_number() over (partition by query_id order by way, rank, document_id) as found_rank from b"""),
     "question_alignment": f"""
         with a as (select distinct conv_id, unnest({_W}) as w from conversations where role = 'user'), s as (select distinct conv_id, unnest({_W}) as w from conversations where role = 'assistant'),
         n as (select conv_id, count(*) as asked, count(s.w) as met from a left join s using (conv_id, w) group by 1) select *, met * 3 >= asked as aligned from n""",
